@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, token_count, toxicity, url_filter
+from . import chunk_dedup, decontamination, exact_dedup, language_id, near_dedup, packing, suffix_dedup, token_count, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        suffix_dedup.op1_suffix_dedup,
         url_filter.op2_url_filter,
         packing.op3_packing,
         language_id.op4_language_id,
         token_count.op5_token_count,
         toxicity.op6_toxicity,
         exact_dedup.op7_exact_dedup,
+        near_dedup.op8_near_dedup,
+        decontamination.op9_decontamination,
+        chunk_dedup.op10_chunk_dedup,
     )
 }
 
