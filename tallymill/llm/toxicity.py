@@ -28,7 +28,7 @@ from .ngrams import ngram_buckets, word_buckets, word_bytes
 
 BITS, SIZES, DIM = 16, (4, 5, 6), 8
 #: Rows of class 0 and 1 in the training sample, at most about; passes over it, as many as make STEPS steps at least.
-TRAIN, EPOCHS, STEPS, BATCH, RATE, DECAY = (9000, 3000), 10, 1500, 64, 0.05, 1e-4
+TRAIN, EPOCHS, STEPS, BATCH, RATE, DECAY = (5000, 2500), 10, 1500, 64, 0.05, 1e-4
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +50,8 @@ class SubwordModel:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> SubwordModel:
-        """rows: (buckets, their shares of the text). Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, seed: int = 7) -> SubwordModel:
+        """rows: (buckets, their counts, all n-grams of the text). Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
         rng = np.random.default_rng(seed)
         emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
         out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -62,7 +62,7 @@ class SubwordModel:
             for a in range(0, len(order), BATCH):
                 at = order[a : a + BATCH]
                 ids = np.concatenate([rows[i][0] for i in at]).astype(np.int64)
-                share = np.concatenate([rows[i][1] for i in at])
+                share = np.concatenate([rows[i][1] / np.float32(rows[i][2] + NEUTRAL) for i in at])
                 doc = np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at])
                 some, inv = np.unique(ids, return_inverse=True)
                 x = np.zeros((len(at), len(some)), np.float32)
@@ -103,18 +103,18 @@ def train(docs: DataFrame, labels: DataFrame) -> SubwordModel | None:
             bucket, doc = bags(batch.column("text"))
             key, n = np.unique(doc << BITS | bucket, return_counts=True)
             cut = np.searchsorted(key, np.arange(batch.num_rows + 1) << BITS)
-            share = n / (np.bincount(doc, minlength=batch.num_rows) + NEUTRAL)[key >> BITS]
+            total = np.bincount(doc, minlength=batch.num_rows)
             ids = [(key[a:b] & (1 << BITS) - 1).astype(np.uint16).tobytes() for a, b in zip(cut, cut[1:])]
-            shares = [share[a:b].astype(np.float16).tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["id", "y", "ids", "share"])
+            counts = [np.minimum(n[a:b], 255).astype(np.uint8).tobytes() for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array(total), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "y", "total", "ids", "counts"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
-    rows = joined.mapInArrow(featurise, "id string, y int, ids binary, share binary").collect()
+    rows = joined.mapInArrow(featurise, "id string, y int, total long, ids binary, counts binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["ids"]))
     rows = [r for r in rows if r["ids"]]
     if not rows:
         return None
-    return SubwordModel.fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["share"], np.float16).astype(np.float32)) for r in rows], np.asarray([r["y"] for r in rows]))
+    return SubwordModel.fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint8), r["total"]) for r in rows], np.asarray([r["y"] for r in rows]))
 
 
 def score(docs: DataFrame, model: SubwordModel | None, cutoff: float = 0.5) -> DataFrame:
