@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the array operators; bounds their temporaries.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 @functools.cache
@@ -64,6 +65,14 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle Python worker keeps its share of the executor's memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split batches so that ``column`` holds about ``limit`` bytes at most (one longer text stays whole)."""
     for batch in batches:
@@ -74,6 +83,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+        release()
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

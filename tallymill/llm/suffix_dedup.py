@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_dedup import cut_out
-from .common import materialize, mix, raw, slices, table
+from .common import materialize, raw, release, slices, table
 from .suffix_array import Suffixes, prefix_sums, window_hash
 
 LENGTH, K = 200, 64
-#: Different runs of an anchor that one task sorts together; bytes of runs that are sorted together; bytes of runs counted together in a task.
-SPLIT, SORT_BYTES, COMBINE_BYTES = 1024, 1 << 20, 32 << 20
+#: Runs of an anchor that one task sorts together (about a megabyte of them); bytes of runs that are sorted together; bytes of runs counted together in a task.
+SPLIT, SORT_BYTES, COMBINE_BYTES = 4096, 1 << 19, 16 << 20
 #: What identifies a row's text: null-safe keys for joins.
 KEY = ["doc_id", "t1"]
 
@@ -188,11 +188,15 @@ def sorted_runs(bodies: DataFrame) -> DataFrame:
             n, at = len(new), row[new]
             void = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in at], pa.int64()), pa.array([part[i][1] for i in at], pa.int64()), spans, void, void, pa.nulls(n, pa.int32())], names)
+            seen = set()  # equal windows of this portion are marked already: one of them stands for all
             for d1, d2, _, body, split in part:
                 if split:
-                    k = len(body) - LENGTH + 1
-                    w = halves([hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest() for i in range(k)])
-                    yield pa.RecordBatch.from_arrays([pa.array([d1] * k, pa.int64()), pa.array([d2] * k, pa.int64()), pa.nulls(k, spans.type), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.arange(k, dtype=np.int32))], names)
+                    all_ = {hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest(): i for i in range(len(body) - LENGTH + 1)}
+                    new = [(d, i) for d, i in all_.items() if d not in seen]
+                    seen.update(all_)
+                    k, w = len(new), halves([d for d, _ in new])
+                    yield pa.RecordBatch.from_arrays([pa.array([d1] * k, pa.int64()), pa.array([d2] * k, pa.int64()), pa.nulls(k, spans.type), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([i for _, i in new], pa.int32())], names)
+            release()
 
     return bodies.mapInArrow(run, "d1 long, d2 long, spans array<int>, w1 long, w2 long, window int")
 
@@ -261,5 +265,23 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     return with_marks(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def filter_docs(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``; ``text`` lacks the removed bytes (characters that a span cuts in two go as a whole)."""
+
+    @F.pandas_udf("string")
+    def cleaned(texts, marks):
+        import pandas as pd
+
+        out = []
+        for text, found in zip(texts, marks, strict=True):
+            body = (text or "").encode()
+            spans = spans_of(None if found is None else list(found), len(body))
+            out.append(cut_out(body, spans).decode("utf-8", "ignore") if spans else text)
+        return pd.Series(out, dtype="object")
+
+    mine = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return with_marks(mine).select("row", cleaned("text", "marks").alias("text")).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
