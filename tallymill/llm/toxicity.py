@@ -8,7 +8,7 @@ Training sample: at most about TRAIN labelled rows of each class, chosen by a fi
 fold is not 0 (a documented bound on a fitted classifier); each is reduced to its hashed bag before it reaches the
 driver.
 
-Defined results: a null or empty text has an empty bag and is scored by the bias alone; without training rows every
+Defined results: a null or empty text has an empty bag and is scored by the bias alone, which training holds to class 0; without training rows every
 score is 0.0; labels other than 0 and 1 are ignored; if a doc_id has several labels, all count; rows that repeat a
 doc_id are scored each; other columns are ignored.
 """
@@ -51,8 +51,11 @@ class SubwordModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, seed: int = 7) -> SubwordModel:
-        """rows: (buckets, their counts, all n-grams of the text). Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
+        """rows: (buckets, their counts, all n-grams of the text). Every 32nd row that training sees is an empty text of class 0. Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
         rng = np.random.default_rng(seed)
+        empty = -(-len(rows) // 32)
+        rows = rows + [(np.zeros(0, np.uint16), np.zeros(0, np.uint8), 0)] * empty
+        labels = np.concatenate([labels, np.zeros(empty, labels.dtype)])
         emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
         out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
