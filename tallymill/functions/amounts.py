@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits, first_of, strip
+from .text import digits, first_of, let, strip
 
 # What must be recognised for equal results.
 CURRENCY_WORDS = r"(?i)\b(rp|idr|usd|sgd|myr|eur|krw|won|php|thb|vnd)\b\.?"
@@ -21,13 +21,20 @@ def parse_amount(c: Column) -> Column:
     """The first number of a printed amount, or null. A last separator before one or two digits is the decimal point, every other one groups digits."""
     symbols = "".join(SYMBOL_CODES)
     clean = strip(F.translate(F.regexp_replace(c, CURRENCY_WORDS, " "), symbols, " " * len(symbols)))
-    run = F.regexp_extract(clean, r"-?\s*\d[\d.,\s]*", 0)
-    negative = run.startswith("-") | (clean.startswith("(") & clean.endswith(")"))
-    number = F.regexp_replace(F.regexp_replace(run, r"[\s-]", ""), r"^[.,]+|[.,]+$", "")
-    decimals = F.regexp_extract(number, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.regexp_replace(number, r"[.,]\d{1,2}$", ""), "[.,]", "")
-    value = F.concat(F.lit("0"), whole, F.lit("."), decimals, F.lit("0")).try_cast("double")
-    return F.when(run != "", F.when(negative, -value).otherwise(value))
+
+    def of_clean(text: Column) -> Column:
+        return let(F.regexp_extract(text, r"-?\s*\d[\d.,\s]*", 0), lambda run: of_run(run, run.startswith("-") | (text.startswith("(") & text.endswith(")"))))
+
+    def of_run(run: Column, negative: Column) -> Column:
+        number = F.regexp_replace(F.regexp_replace(run, r"[\s-]", ""), r"^[.,]+|[.,]+$", "")
+        return F.when(run != "", let(number, lambda n: F.when(negative, -of_number(n)).otherwise(of_number(n))))
+
+    def of_number(number: Column) -> Column:
+        decimals = F.regexp_extract(number, r"[.,](\d{1,2})$", 1)
+        whole = F.regexp_replace(F.regexp_replace(number, r"[.,]\d{1,2}$", ""), "[.,]", "")
+        return F.concat(F.lit("0"), whole, F.lit("."), decimals, F.lit("0")).try_cast("double")
+
+    return let(clean, of_clean)
 
 
 def parse_amount_list(arr: Column) -> Column:

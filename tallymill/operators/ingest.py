@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import detect_currency, parse_amount, parse_quantity
-from ..functions.text import blank_to_null, first_of, strip
+from ..functions.text import blank_to_null, first_of, let, strip
 from ..types import ITEM, MONEY_FIELDS, RECEIPT
 
 
@@ -31,29 +31,32 @@ def text_of(v: Column) -> Column:
     return F.when(~kind(v).isin("ARRAY", "OBJECT"), F.try_variant_get(v, "$", "string"))
 
 
-def is_number(v: Column) -> Column:
-    return kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "TINYINT", "SMALLINT")
+NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "TINYINT", "SMALLINT")
 
 
 def scalar_amount(v: Column) -> Column:
-    number = F.try_variant_get(v, "$", "double")
-    return F.when(is_number(v), number).when(kind(v) == "STRING", parse_amount(text_of(v)))
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    return let(kind(v), lambda k: F.when(k.isin(*NUMBERS), number).when(k == "STRING", parse_amount(text)))
 
 
 def amount_of(v: Column) -> Column:
     """Without sign; of a list the first member that parses."""
-    return F.abs(first_of(F.filter(F.transform(elements(v), scalar_amount), lambda x: x.isNotNull())))
+    return F.abs(first_of(F.filter(F.transform(let(v, elements), scalar_amount), lambda x: x.isNotNull())))
 
 
 def first_member(v: Column) -> Column:
     """The first element of an array, else the value itself; an empty array gives null."""
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
+    return let(v, lambda x: F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$[0]", "variant")).otherwise(x))
 
 
 def quantity_of(v: Column) -> Column:
     """Numbers keep their sign; of a list only the first element counts."""
-    one = first_member(v)
-    return F.when(is_number(one), F.try_variant_get(one, "$", "double")).when(kind(one) == "STRING", parse_quantity(text_of(one)))
+
+    def of_scalar(one: Column) -> Column:
+        number, text = F.try_variant_get(one, "$", "double"), F.try_variant_get(one, "$", "string")
+        return let(kind(one), lambda k: F.when(k.isin(*NUMBERS), number).when(k == "STRING", parse_quantity(text)))
+
+    return let(let(v, first_member), of_scalar)
 
 
 def objects(v: Column) -> Column:
@@ -69,18 +72,18 @@ def tree_record(tree: Column) -> Column:
     """The record of a labelled tree (menu, sub_total, total). Entries without a name are no items; modifiers do not count."""
 
     def item(e: Column) -> Column:
-        name = first_member(at(e, "$.nm"))
-        price, whole = amount_of(first_member(at(e, "$.price"))), amount_of(first_member(at(e, "$.itemsubtotal")))
-        unit = amount_of(first_member(at(e, "$.unitprice")))
-        return F.when(
-            kind(name).isNotNull(),
-            F.struct(
+        amounts = F.array(*[amount_of(first_member(at(e, f"$.{f}"))) for f in ("price", "itemsubtotal", "unitprice")])
+
+        def shaped(name: Column, a: Column) -> Column:
+            price, whole, unit = (F.get(a, F.lit(k)) for k in range(3))
+            return F.struct(
                 strip(F.coalesce(text_of(name), F.lit(""))).alias("name"),
-                quantity_of(first_member(at(e, "$.cnt"))).alias("quantity"),
+                quantity_of(at(e, "$.cnt")).alias("quantity"),
                 F.when(whole.isNotNull(), F.coalesce(unit, price)).otherwise(unit).alias("unit_price"),
                 F.coalesce(whole, price).alias("line_total"),
-            ),
-        )
+            )
+
+        return let(first_member(at(e, "$.nm")), lambda name: F.when(kind(name).isNotNull(), let(amounts, lambda a: shaped(name, a))))
 
     items = F.filter(F.transform(objects(at(tree, "$.menu")), item), lambda x: x.isNotNull())
     sub, total = first_member(at(tree, "$.sub_total")), first_member(at(tree, "$.total"))
