@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +59,21 @@ def read_lines(quads: np.ndarray, texts: list[str], min_overlap: float = MIN_OVE
 def reconstruct_lines(ocr: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """(id, lines) from (id, boxes): order and medians depend on what came before, so each record's boxes are read in Python, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = []
-            for boxes in pdf["boxes"]:
-                boxes = [] if boxes is None else list(boxes)
-                quads = np.array([[list(p) for p in b["quad"]] for b in boxes], float).reshape(-1, 4, 2)
-                lines.append(read_lines(quads, [b["text"] or "" for b in boxes], min_overlap))
-            yield pd.DataFrame({"id": pdf["id"], "lines": lines})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = batch.column("boxes")
+            sizes = pc.list_value_length(boxes).fill_null(0).to_numpy(zero_copy_only=False)
+            flat, lines, at = boxes.flatten(), [], 0
+            if len(flat):  # children of empty lists have no offsets to read
+                quads = flat.field("quad").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 2)
+                texts = [t or "" for t in flat.field("text").to_pylist()]
+            for n in sizes:
+                lines.append(read_lines(quads[at : at + n], texts[at : at + n], min_overlap) if n else [])
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lines, pa.list_(pa.string()))], ["id", "lines"])
 
     kind = ocr.schema["id"].dataType.simpleString()
-    return ocr.select("id", "boxes").mapInPandas(run, f"id {kind}, lines array<string>")
+    return ocr.select("id", "boxes").mapInArrow(run, f"id {kind}, lines array<string>")
 
 
 def word_lines(words: DataFrame) -> DataFrame:
