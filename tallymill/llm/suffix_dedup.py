@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunk_dedup import cut_out
 from .common import materialize, raw, release, slices, table
@@ -268,19 +269,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 def filter_docs(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` lacks the removed bytes (characters that a span cuts in two go as a whole)."""
 
-    @F.pandas_udf("string")
-    def cleaned(texts, marks):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, marks, strict=True):
-            body = (text or "").encode()
-            spans = spans_of(None if found is None else list(found), len(body))
-            out.append(cut_out(body, spans).decode("utf-8", "ignore") if spans else text)
-        return pd.Series(out, dtype="object")
-
-    mine = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return with_marks(mine).select("row", cleaned("text", "marks").alias("text")).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks"), strict=True):
+                body = (text or "").encode()
+                spans = spans_of(marks.as_py(), len(body))
+                out.append(cut_out(body, spans).decode("utf-8", "ignore") if spans else text)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
+
+    marked = with_marks(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "text", "marks")
+    cleaned = marked.mapInArrow(run, T.StructType([marked.schema["row"], T.StructField("text", T.StringType())]))
+    return cleaned.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

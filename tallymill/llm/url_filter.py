@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: (verdict, host, path)
 RULES = (
@@ -131,8 +131,15 @@ def lexicon_of(texts: DataFrame, column: str = "html") -> Lexicon:
     """Word counts of all page texts (tags removed); the LEXICON most frequent words are kept."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
     words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LONGEST))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(LEXICON).collect()}
+    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    step = F.floor(F.log2("n") * 16).cast("int")  # at most a thousand steps of frequency; the rare steps that would exceed the lexicon stay out
+    least, room = 0, LEXICON
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.step):
+        room -= r.k
+        if room < 0:
+            least = r.step + 1
+            break
+    top = {r.w: r.n for r in counts.filter(step >= least).collect()}
     base = max(10, sum(top.values()) // 2000)
     for w in (*HOST_WORDS, *BLOCK_SEEDS, *ALLOW_SEEDS):
         top[w] = max(top.get(w, 0), base)
