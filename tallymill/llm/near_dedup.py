@@ -6,10 +6,12 @@ as its next arrival comes after every register's first one (early termination),
 plus M ln M steps. Two signatures agree in a register with the probability Jaccard similarity J_P of the texts.
 
 Texts with the same words are one node. Nodes that share a band of registers are candidates. First every node is
-compared with its smallest bucket mate; then, in buckets that still hold several groups, every node outside the
-largest group is compared with all nodes of other groups. So no pair that shares a band goes unchecked unless it is
-connected already, while a bucket of near copies costs one comparison each. A pair is linked if its exact J_P or
-its set Jaccard similarity is at least SIMILAR. Classes are the connected components of the links.
+compared with its smallest bucket mate. Then, in buckets that still hold several groups, the nodes outside the
+largest group are compared with a member of it, and all nodes with the bucket's centre, the text with the fewest
+shingles of its own. Last, every node still outside is compared with all nodes of other groups, except where what
+each lacks of the centre, and what it has besides, shows that the two cannot be similar. So no pair that shares a
+band goes unchecked unless it is connected already or cannot be a link. A pair is linked if the exact Jaccard
+similarity of its shingle sets is at least SIMILAR. Classes are the connected components of the links.
 
 Chance to miss a pair of similarity s: (1 - s**ROWS)**BANDS, 6e-5 at 0.8 and 5e-8 at 0.85.
 
@@ -36,6 +38,9 @@ from .shingles import weighted
 
 SIMILAR, BANDS, ROWS = 0.8, 32, 6
 M = BANDS * ROWS
+#: Turns in which nodes outside a bucket's largest group are compared with one of its members, before the nearest text of the bucket takes its place.
+STARS = 1
+MAPS = [f"m{k}" for k in range(8)]
 #: Before texts are fetched, pairs whose signatures agree in a smaller share of registers are left out: over 6 standard deviations under SIMILAR.
 SURE = 0.6
 
@@ -111,19 +116,22 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """The larger of set Jaccard and probability Jaccard of two weighted sets with ascending hashes."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets without repeats."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
+    """What two signatures agree in on average: the sum over shared i of 1 / (sum over j of max(a_j / a_i, b_j / b_i))."""
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0
     x, y = wa[i], wb[j]
-    only_x, only_y = wa.sum() - x.sum(), wb.sum() - y.sum()
-    # sum over j of max(x_j / x_i, y_j / y_i): elements with a larger ratio x/y than i count as x_j / x_i, the others as y_j / y_i
+    # elements with a larger ratio x/y than i count as x_j / x_i, the others as y_j / y_i
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]
-    above = only_x + x.sum() - np.cumsum(x)
-    below = only_y + np.cumsum(y)
-    return max(len(i) / (len(ha) + len(hb) - len(i)), float((1 / (above / x + below / y)).sum()))
+    above = wa.sum() - np.cumsum(x)
+    below = wb.sum() - y.sum() + np.cumsum(y)
+    return float((1 / (above / x + below / y)).sum())
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,11 +142,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for batch in slices(iter([big]), "tb"):
                 parts = []
                 for c in ("ta", "tb"):
-                    doc, h, n = weighted(batch.column(c))
+                    doc, h, _ = weighted(batch.column(c))
                     cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                    w = 1 + np.log(n)
-                    parts.append([(h[a:b], w[a:b]) for a, b in zip(cut, cut[1:], strict=False)])
-                ok = [similarity(*x, *y) >= SIMILAR - 1e-12 for x, y in zip(*parts, strict=True)]
+                    parts.append([h[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+                ok = [jaccard(x, y) >= SIMILAR - 1e-12 for x, y in zip(*parts, strict=True)]
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -146,6 +153,71 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def outlook(texts: DataFrame) -> DataFrame:
+    """(doc_id, size, own): distinct shingles of each text (doc_id, text), and how many of them no other of the texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            doc, h, _ = weighted(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(h.view(np.int64))], ["doc_id", "h"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    held = materialize(texts.mapInArrow(run, f"doc_id {kind}, h long"), "held")
+    single = held.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
+    own = single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    return held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size")).join(own, "doc_id", "left").select("doc_id", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similar, outside, n_b, m0 ... m7) of every pair (a, b): whether it is a link, how many shingles of a are not in b, the size of b, and
+    a 512-bit map of b's shingles that a lacks (several may share a bit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(iter([big]), "tb"):
+                parts = []
+                for c in ("ta", "tb"):
+                    doc, h, _ = weighted(batch.column(c))
+                    cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                    parts.append([h[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+                lacks = np.zeros((batch.num_rows, 512), np.uint8)
+                for k, (x, y) in enumerate(zip(*parts, strict=True)):
+                    lacks[k, (np.setdiff1d(y, x, assume_unique=True) >> np.uint64(20)).astype(np.int64) & 511] = 1
+                maps = np.packbits(lacks, axis=1).view(np.int64)
+                ok = [jaccard(x, y) >= SIMILAR - 1e-12 for x, y in zip(*parts, strict=True)]
+                outside = [len(x) - len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*parts, strict=True)]
+                cols = [batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(outside, pa.int64()), pa.array([len(y) for y in parts[1]], pa.int64()), *(pa.array(maps[:, k]) for k in range(8))]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "similar", "outside", "n_b", *MAPS])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "ta"), ("b", "tb")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similar boolean, outside long, n_b long, " + ", ".join(f"{m} long" for m in MAPS))
+
+
+def open_pairs(open_: DataFrame, seen: DataFrame, centre: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): all pairs of open rows (band, doc_id, grp, big) in a bucket that can be links, each in the first band it shares.
+
+    seen: as of ``outlook``; centre: (band, b), a text for each bucket; near: every open text compared with its buckets' centres.
+    What two texts share lies in the centre or outside of it. In the centre it is at most what neither of them lacks;
+    outside it is at most what is not a text's own. Pairs that cannot reach SIMILAR even so are left out, which leaves
+    few pairs in a large group of almost similar texts.
+    """
+    sized = open_.join(seen, "doc_id").join(centre.withColumnRenamed("b", "centre"), "band")
+    near = near.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "outside", "n_b", *MAPS)
+    sized = sized.join(near, ["doc_id", "centre"]).join(nodes.select("doc_id", "bands"), "doc_id")
+    sized = materialize(sized.withColumn("free", F.greatest(F.lit(0), F.col("outside") - F.col("own"))), "sized")
+    cols = ["doc_id", "grp", "size", "free", "bands", *MAPS]
+    a = sized.filter("grp <> big").select("band", "n_b", *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = sized.select(F.col("band").alias("band_b"), "big", *[F.col(c).alias(f"{c}_b") for c in cols])
+    within = F.col("n_b")
+    for m in MAPS:
+        within = within - F.bit_count(F.col(f"{m}_a").bitwiseOR(F.col(f"{m}_b")))
+    most = within + F.least("free_a", "free_b")
+    reach = (F.col("grp_a") != F.col("grp_b")) & ((F.col("grp_b") == F.col("big")) | (F.col("doc_id_a") > F.col("doc_id_b"))) & (most >= (F.col("size_a") + F.col("size_b") - most) * SIMILAR - 1e-9)
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+    return a.join(b, (F.col("band") == F.col("band_b")) & reach & first).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): verified links between nodes (doc_id, sig, bands), enough of them to connect every class."""
     rows = materialize(nodes.select("doc_id", F.explode("bands").alias("band")), "bands")
@@ -155,21 +227,37 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     some = materialize(full.select("doc_id").distinct(), "candidates")
     texts = materialize(docs.select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]), "texts")
     sigs = nodes.select("doc_id", "sig").join(some, "doc_id", "left_semi")
-    first = full.groupBy("doc_id").agg(F.min("low").alias("b")).filter("b < doc_id").select(F.col("doc_id").alias("a"), "b")
-    stars = materialize(verified(agreement(first, sigs), texts), "stars")
-
-    group = F.coalesce("b", "doc_id").alias("grp")
-    marked = materialize(full.select("band", "doc_id").join(stars, F.col("doc_id") == F.col("a"), "left").select("band", "doc_id", group), "marked")
-    sizes = marked.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialize(sizes.groupBy("band").agg(F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("band", F.col("top.grp").alias("big")), "mixed")
-    # what stands in buckets with several groups: every node outside the largest one meets all of the other groups
-    open_ = materialize(marked.join(mixed, "band"), "open")
-    x = open_.filter("grp <> big").select("band", F.col("doc_id").alias("a"), F.col("grp").alias("ga"))
-    y = open_.select("band", F.col("doc_id").alias("b"), F.col("grp").alias("gb"), "big")
-    pairs = x.join(y, "band").filter("ga <> gb AND (gb = big OR a > b)")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = materialize(verified(agreement(pairs, sigs), texts), "rest")
-    return stars.unionByName(rest)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links; each only once, the larger id first."""
+        once = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        return materialize(verified(materialize(agreement(once, sigs), "agreeing"), texts), "links")
+
+    found = check(full.groupBy("doc_id").agg(F.min("low").alias("b")).filter("b < doc_id").select(F.col("doc_id").alias("a"), "b"))
+    for turn in range(STARS + 2):
+        roots = components(found)
+        marked = full.select("band", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("grp"))
+        marked = materialize(marked, "marked")
+        sizes = marked.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.groupBy("band").agg(F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+        mixed = materialize(top.select("band", F.col("top.grp").alias("big")), "mixed")
+        if mixed.isEmpty():
+            break
+        open_ = materialize(marked.join(mixed, "band"), "open")
+        outside = open_.filter("grp <> big").select("band", F.col("doc_id").alias("a"), F.col("grp").alias("ga"))
+        if turn == STARS + 1:
+            found = found.unionByName(check(open_pairs(open_, seen, centre, near, nodes)))
+            break
+        if turn < STARS:  # a member of each bucket's largest group
+            centre = open_.filter("grp = big").groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("b"))
+            found = found.unionByName(check(outside.join(centre, "band").select("a", "b")))
+        else:  # the text with the fewest shingles of its own is nearest to all others
+            seen = materialize(outlook(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")), "outlook")
+            centre = materialize(open_.join(seen, "doc_id").groupBy("band").agg(F.min_by("doc_id", F.struct("own", "doc_id")).alias("b")), "centres")
+            star = materialize(open_.select("band", F.col("doc_id").alias("a")).join(centre, "band").select("a", "b").distinct(), "pairs")
+            near = materialize(compared(star, texts), "compared")
+            found = found.unionByName(near.filter("similar AND a <> b").select("a", "b"))
+    return found
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, hash_below, slices, table
+from .common import fold, hash_below, release, slices, table
 from .ngrams import ngram_buckets, word_buckets, word_bytes
 
 BITS, SIZES, DIM = 16, (4, 5, 6), 8
@@ -117,7 +117,10 @@ def train(docs: DataFrame, labels: DataFrame) -> SubwordModel | None:
     rows = [r for r in rows if r["ids"]]
     if not rows:
         return None
-    return SubwordModel.fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint8), r["total"]) for r in rows], np.asarray([r["y"] for r in rows]))
+    model = SubwordModel.fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint8), r["total"]) for r in rows], np.asarray([r["y"] for r in rows]))
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: SubwordModel | None, cutoff: float = 0.5) -> DataFrame:
