@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sets import last_wins
+from ..types import OCR
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, on any file system Spark reads."""
@@ -30,7 +33,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_jsonl_ordered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with the place of each row (file, then order in it), for rules like "the last row wins"."""
     rows = read_jsonl(spark, path, schema)
-    return rows.withColumn("file_pos", F.monotonically_increasing_id())
+    if not exists(spark, path):
+        return rows.withColumn("file_pos", F.lit(None).cast("long"))
+    # files are cut into splits, and splits dealt to tasks by size: the file and the split's start come first
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("file_pos", place)
+
+
+def split_file(folder: str, split: str) -> str:
+    """The file of a split; dev stands for validation."""
+    return f"{folder.rstrip('/')}/{'validation' if split == 'dev' else split}.jsonl"
+
+
+def read_gold(spark: SparkSession, folder: str, split: str, schema: str) -> DataFrame:
+    return read_jsonl(spark, split_file(folder, split), schema)
+
+
+def read_ocr(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """One row for each id: of repeated ones the last of the file."""
+    return last_wins(read_jsonl_ordered(spark, split_file(folder, split), OCR), "id", "file_pos").drop("file_pos")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

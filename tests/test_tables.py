@@ -32,6 +32,20 @@ def test_jsonl(spark, tmp_path):
     assert files.query(spark, "SELECT count(*) AS n FROM rows_view WHERE id = :id", id="a").first().n == 2
 
 
+def test_settings_and_splits(spark, tmp_path):
+    from tallymill import config
+
+    assert config.load().abs_tol == 1.0 and config.load() is config.load()
+    (tmp_path / "c.json").write_text('{"rel_tol": 0.1}')
+    assert config.load(str(tmp_path / "c.json")).rel_tol == 0.1
+    (tmp_path / "bad.json").write_text('{"typo": 1}')
+    with pytest.raises(ValueError, match="typo"):
+        config.load(str(tmp_path / "bad.json"))
+    (tmp_path / "validation.jsonl").write_text('{"id":"a","lines":["x"]}\n{"id":"a","lines":["y"]}\n')
+    assert [(r.id, r.lines) for r in files.read_ocr(spark, str(tmp_path), "dev").collect()] == [("a", ["y"])]
+    assert files.read_gold(spark, str(tmp_path), "test", "id string").count() == 0
+
+
 def test_sets(spark):
     gold = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     preds = spark.createDataFrame([("a", None), ("b", "boom"), ("z", "")], "id string, exception string")
