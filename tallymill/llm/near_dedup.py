@@ -1,9 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Five-word shingles are weighted 1 + ln(count). A shingle's arrivals form a Poisson process whose rate is its weight;
-each arrival falls on a random register, which keeps the shingle of its first arrival. A shingle is dropped as soon
-as its next arrival comes after every register's first one (early termination), so a text costs about its length
-plus M ln M steps. Two signatures agree in a register with the probability Jaccard similarity J_P of the texts.
+A five-word shingle's arrivals form a Poisson process whose rate is its weight; each arrival falls on a random
+register, which keeps the shingle of its first arrival. A shingle is dropped as soon as its next arrival comes after
+every register's first one (early termination), so a text costs about its length plus M ln M steps. Two signatures
+agree in a register with the probability Jaccard similarity J_P of the texts. Links are decided by the Jaccard
+similarity of the shingle sets, so every distinct shingle weighs 1: J_P is then that similarity, however often the
+texts repeat a line.
 
 Texts with the same words are one node. Nodes that share a band of registers are candidates. First every node is
 compared with its smallest bucket mate. Then, in buckets that still hold several groups, the nodes outside the
@@ -13,7 +15,7 @@ each lacks of the centre, and what it has besides, shows that the two cannot be
 band goes unchecked unless it is connected already or cannot be a link. A pair is linked if the exact Jaccard
 similarity of its shingle sets is at least SIMILAR. Classes are the connected components of the links.
 
-Chance to miss a pair of similarity s: (1 - s**ROWS)**BANDS, 6e-5 at 0.8 and 5e-8 at 0.85.
+Chance that a pair of set similarity s shares no band: (1 - s**ROWS)**BANDS, 6e-5 at 0.8 and 5e-8 at 0.85.
 
 Defined results: a text without words (null, empty, punctuation) is alone in its class, as is its every row; texts of
 one to four words have one shingle; class_id is the smallest doc_id of a class and that row stays; rows that repeat
@@ -41,7 +43,7 @@ M = BANDS * ROWS
 #: Turns in which nodes outside a bucket's largest group are compared with one of its members, before the nearest text of the bucket takes its place.
 STARS = 1
 MAPS = [f"m{k}" for k in range(8)]
-#: Before texts are fetched, pairs whose signatures agree in a smaller share of registers are left out: over 6 standard deviations under SIMILAR.
+#: Before texts are fetched, pairs whose signatures agree in a smaller share of registers are left out: over 6 standard deviations under the set similarity SIMILAR.
 SURE = 0.6
 
 
@@ -90,10 +92,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             data, row = word_bytes(texts)
             cut = np.searchsorted(row, np.arange(n + 1)).tolist()
             whole = data.tobytes()
-            doc, h, count = weighted(texts)
+            doc, h, _ = weighted(texts)
             some = np.bincount(doc, minlength=n) > 0
             fp = [hashlib.blake2b(whole[a:b], digest_size=16).digest() if ok else None for a, b, ok in zip(cut, cut[1:], some, strict=False)]
-            reg = probminhash(doc, h, 1 + np.log(count), n)
+            reg = probminhash(doc, h, np.ones(len(h)), n)
             sig = [x.tobytes() for x in (reg >> np.uint64(48)).astype(np.uint16)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(reg).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), bands], ["doc_id", "fp", "sig", "bands"])

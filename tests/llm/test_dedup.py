@@ -177,6 +177,20 @@ def test_near_dedup_finds_links_in_groups_of_almost_similar_texts(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_finds_near_copies_that_repeat_a_line(spark):
+    """Set Jaccard similarity 0.87 or more, while the repeats of a line lower what weighted registers agree in."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 100).split()
+        changed = list(words)
+        if i % 2:
+            changed[80] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed[:30] * (20, 100)[i % 3 > 0] + changed[30:]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, rows)).collect()}
+    assert got == brute_classes(rows) and all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
 def test_near_filter_keeps_columns(spark):
     d = table(spark, corpus())
     out = near_dedup.filter_docs(d)
