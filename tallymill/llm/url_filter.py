@@ -1,7 +1,8 @@
 """URL filter: allow/block rules first, then host word segmentation and naive Bayes.
 
-Hosts are split into words by a unigram Viterbi search (word counts from all page texts); the words of host and
-path are scored by a multinomial naive Bayes model. It learns from the URLs that a rule decides (the rule's verdict
+Hosts are split into words by a unigram Viterbi search. Every word of all page texts counts: the distinct names in
+hosts and paths are dealt out, and their substrings joined with the whole table of word counts. The words of host
+and path are scored by a multinomial naive Bayes model. It learns from the URLs that a rule decides (the rule's verdict
 is the label, counted over all pages) and from two short seed lists.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed (score 0);
@@ -10,7 +11,6 @@ rules of equal length are told apart by order of the list; an empty table gives
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -38,8 +38,8 @@ ALLOW_SEEDS = ("blog", "news", "docs", "wiki", "library", "school", "museum", "u
 SEED_WEIGHT = 20
 #: Common host words that page texts may lack.
 HOST_WORDS = ("www", "blog", "shop", "news", "mail", "farm", "wiki", "docs", "info", "site", "web", "com", "net", "org", "example")
-#: Size of the model: distinct lexicon words (the most frequent ones) and naive Bayes buckets.
-LEXICON, BUCKETS, LONGEST = 20_000, 1 << 15, 20
+#: Naive Bayes buckets, and the longest piece that is tried as a word: a whole label of a host.
+BUCKETS, LONGEST = 1 << 15, 63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,17 +92,19 @@ class Lexicon:
         return words[::-1]
 
 
-class Tokens:
-    """Tokens of hosts and paths; the splits of recent names are kept."""
+def host_parts(host: str) -> list[str]:
+    """The labels of a host; "#" stands for one that is not made of letters."""
+    return [label if label.isalpha() else "#" for label in re.split(r"[^a-z0-9]+", host) if label]
 
-    def __init__(self, lexicon: Lexicon):
-        self.split = functools.lru_cache(100_000)(lambda s: tuple(lexicon.segment(s)))
 
-    def host(self, host: str) -> list[str]:
-        return [w for label in re.split(r"[^a-z0-9]+", host) if label for w in (self.split(label) if label.isalpha() else ("#",))]
+def path_parts(path: str) -> list[str]:
+    """Runs of letters; "#" stands for a run of digits."""
+    return ["#" if part[0].isdigit() else part for part in re.findall(r"[^\W\d_]+|\d+", path.lower())]
 
-    def path(self, path: str) -> list[str]:
-        return [f"/{w}" for part in re.findall(r"[^\W\d_]+|\d+", path.lower()) for w in (("#",) if part[0].isdigit() else self.split(part))]
+
+def tokens(host: str, path: str, words: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+    """Those of host and path; words: the split of each part."""
+    return [w for x in host_parts(host) for w in words[x]], [f"/{w}" for x in path_parts(path) for w in words[x]]
 
 
 def bucket(token: str) -> int:
@@ -127,43 +129,73 @@ class NaiveBayes:
         return self.prior + sum(self.odds[bucket(t)] for t in tokens)
 
 
-def lexicon_of(texts: DataFrame, column: str = "html") -> Lexicon:
-    """Word counts of all page texts (tags removed); the LEXICON most frequent words are kept."""
+def word_counts(texts: DataFrame, column: str = "html") -> DataFrame:
+    """(w, n): every word of all page texts (tags removed)."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
-    words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LONGEST))
-    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    step = F.floor(F.log2("n") * 16).cast("int")  # at most a thousand steps of frequency; the rare steps that would exceed the lexicon stay out
-    least, room = 0, LEXICON
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.step):
-        room -= r.k
-        if room < 0:
-            least = r.step + 1
-            break
-    top = {r.w: r.n for r in counts.filter(step >= least).collect()}
-    base = max(10, sum(top.values()) // 2000)
-    for w in (*HOST_WORDS, *BLOCK_SEEDS, *ALLOW_SEEDS):
-        top[w] = max(top.get(w, 0), base)
-    return Lexicon.of(top)
-
-
-def train(parsed: DataFrame, lexicon: Lexicon) -> NaiveBayes:
-    """parsed: host, path, rule_verdict. Counts over all rows that a rule decides; at most 2 x BUCKETS sums reach the driver."""
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Tokens(lexicon)
+    words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+    return materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+
+def split_parts(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, words): the likeliest split of every distinct part, by all word counts."""
+    listed = sorted({*HOST_WORDS, *BLOCK_SEEDS, *ALLOW_SEEDS})
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    base, has = max(10, total // 2000), {r.w: r.n for r in counts.filter(F.col("w").isin(listed)).collect()}
+    least = {w: max(has.get(w, 0), base) for w in listed}
+    total += sum(least.values()) - sum(has.values())
+    unknown = math.log(0.1 / total)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 200):
+                rows = [(x, w) for x in pdf["part"][a : a + 200] for w in {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}]
+                yield pd.DataFrame(rows, columns=["part", "w"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = []
+            for x, hits in zip(pdf["part"], pdf["hits"], strict=True):
+                n = {w: k for w, k in least.items() if w in x} | {h["w"]: least.get(h["w"], h["n"]) for h in (hits if hits is not None else ())}
+                words.append(["#"] if x == "#" else Lexicon({w: math.log(k / total) for w, k in n.items()}, unknown).segment(x))
+            yield pd.DataFrame({"part": pdf["part"], "words": words})
+
+    distinct = materialize(parts.select("part").distinct(), "parts")
+    # plain equi-join with the word counts: a letter that most parts hold is split by adaptive execution
+    found = materialize(distinct.mapInPandas(pieces, "part string, w string"), "pieces").join(counts.hint("merge"), "w")
+    hits = found.groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("hits"))
+    return materialize(distinct.join(hits, "part", "left").select("part", "hits").mapInPandas(split, "part string, words array<string>"), "split-parts")
+
+
+def split_urls(parsed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, path, rule_verdict, n, words) of every distinct URL: its number of pages, and (part, words) of its parts."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            each = [sorted({*host_parts(h), *path_parts(p)}) or [""] for h, p in zip(pdf["host"], pdf["path"], strict=True)]
+            yield pdf.assign(part=each).explode("part")
+
+    urls = parsed.groupBy("host", "path", "rule_verdict").agg(F.count(F.lit(1)).alias("n"))
+    some = materialize(urls.mapInPandas(parts, "host string, path string, rule_verdict string, n long, part string"), "url-parts")
+    whole = some.join(split_parts(some, counts).hint("merge"), "part")
+    return materialize(whole.groupBy("host", "path", "rule_verdict", "n").agg(F.collect_list(F.struct("part", "words")).alias("words")), "split-urls")
+
+
+def train(urls: DataFrame) -> NaiveBayes:
+    """urls: as of ``split_urls``. Counts over all pages that a rule decides; at most 2 x BUCKETS sums reach the driver."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: dict[tuple[int, int], int] = {}
-            for h, p, v in zip(pdf["host"], pdf["path"], pdf["rule_verdict"], strict=True):
+            for h, p, v, n, words in zip(pdf["host"], pdf["path"], pdf["rule_verdict"], pdf["n"], pdf["words"], strict=True):
                 label = int(v == "block")
-                for t in (*split.host(h), *split.path(p)):
+                for t in sum(tokens(h, p, {x["part"]: list(x["words"]) for x in words}), []):
                     k = label, bucket(t)
-                    rows[k] = rows.get(k, 0) + 1
+                    rows[k] = rows.get(k, 0) + n
             yield pd.DataFrame({"label": [k[0] for k in rows], "bucket": [k[1] for k in rows], "n": list(rows.values())}).astype("int64")
 
-    known = parsed.filter(F.col("rule_verdict").isNotNull()).select("host", "path", "rule_verdict")
-    sums = known.mapInPandas(tokens, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    known = urls.filter(F.col("rule_verdict").isNotNull())
     counts = np.zeros((2, BUCKETS))
-    for r in sums:
+    for r in known.mapInPandas(sums, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.bucket] += r.n
     for label, seeds in enumerate((ALLOW_SEEDS, BLOCK_SEEDS)):
         for w in seeds:
@@ -171,26 +203,25 @@ def train(parsed: DataFrame, lexicon: Lexicon) -> NaiveBayes:
     return NaiveBayes.of(counts)
 
 
-def url_filter(pages: DataFrame, rules=RULES, lexicon: Lexicon | None = None, model: NaiveBayes | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, model: NaiveBayes | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-odds of block), words (the segmented host) of every page."""
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
-    lexicon = lexicon or lexicon_of(pages)
-    model = model or train(parsed, lexicon)
-
-    @F.pandas_udf("score double, words string")
-    def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        split = Tokens(lexicon)
-        for hosts, paths in parts:
-            words = [split.host(h) for h in hosts]
-            scores = [model.score([*w, *split.path(p)]) if w else 0.0 for w, p in zip(words, paths, strict=True)]
-            yield pd.DataFrame({"score": scores, "words": [" ".join(w) for w in words]}).astype({"score": "float64", "words": "object"})
-
-    judged = parsed.withColumn("j", judge("host", "path"))
-    method = F.when(F.col("j.score") > 0, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "j.score", "j.words")
+    urls = split_urls(parsed, word_counts(pages))
+    model = model or train(urls)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            split = [tokens(h, p, {x["part"]: list(x["words"]) for x in words}) for h, p, words in zip(pdf["host"], pdf["path"], pdf["words"], strict=True)]
+            scores = [float(model.score([*w, *rest])) if w else 0.0 for w, rest in split]
+            yield pd.DataFrame({"host": pdf["host"], "path": pdf["path"], "score": scores, "words": [" ".join(w) for w, _ in split]})
+
+    judged = materialize(urls.select("host", "path", "words").mapInPandas(judge, "host string, path string, score double, words string"), "judged")
+    method = F.when(F.col("score") > 0, "block").otherwise("allow")
+    # one row for each URL; a URL of very many pages is split by adaptive execution
+    return parsed.join(judged.hint("merge"), ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score", "words")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,15 @@ def test_url_verdict_of_seed_words(spark):
     assert rows[0].words == "spam farm xyz" and rows[0].verdict == "block" and rows[1].verdict == "allow"
 
 
+def test_url_words_count_however_many_there_are(spark):
+    """25,000 words of like frequency and a word of 24 letters, all known to the segmentation."""
+    words = ["".join("bcdfghjklm"[int(d)] + "aeiou"[int(d) % 5] for d in f"{i:05d}") for i in range(25_000)]
+    rare = "counterrevolutionariesxx"
+    html = spark.createDataFrame([(0, f"http://{words[7]}{words[24_999]}.xyz/{words[12_345]}", " ".join([*words, rare])), (1, f"http://{words[3]}{rare}.xyz/", "")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in url.url_filter(html).collect()}
+    assert rows[0].words == f"{words[7]} {words[24_999]} xyz" and rows[1].words == f"{words[3]} {rare} xyz"
+
+
 # ---------------------------------------------------------------- packing
 
 TEXTS = ["", None, "Hello world", "x" * 9000, "a <|endoftext|> b", "naïve Straße 日本語 😀", "  spaces \n\n tabs\t", "I'll we've 123 456", "dup dup"] + ["word " * n for n in (1, 700, 1022, 1023, 1024, 5000)] + ["same text"] * 40
