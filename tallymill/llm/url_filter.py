@@ -93,8 +93,8 @@ class Lexicon:
 
 
 def host_parts(host: str) -> list[str]:
-    """The labels of a host; "#" stands for one that is not made of letters."""
-    return [label if label.isalpha() else "#" for label in re.split(r"[^a-z0-9]+", host) if label]
+    """Runs of letters in the labels of a host; "#" stands for a run of digits."""
+    return ["#" if part[0].isdigit() else part for part in re.findall(r"[a-z]+|[0-9]+", host)]
 
 
 def path_parts(path: str) -> list[str]:

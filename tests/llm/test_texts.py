@@ -85,6 +85,12 @@ def test_url_words_count_however_many_there_are(spark):
     assert rows[0].words == f"{words[7]} {words[24_999]} xyz" and rows[1].words == f"{words[3]} {rare} xyz"
 
 
+def test_url_hosts_with_digits_give_words(spark):
+    rows = {r.page_id: r for r in url.url_filter(pages(spark, ["http://casino24.xyz/a", "http://best4poker.xyz/a", "http://museum7news.xyz/a"])).collect()}
+    assert rows[0].words == "casino # xyz" and rows[1].words.endswith("# poker xyz") and rows[2].words == "museum # news xyz"
+    assert (rows[0].verdict, rows[1].verdict, rows[2].verdict) == ("block", "block", "allow")
+
+
 # ---------------------------------------------------------------- packing
 
 TEXTS = ["", None, "Hello world", "x" * 9000, "a <|endoftext|> b", "naïve Straße 日本語 😀", "  spaces \n\n tabs\t", "I'll we've 123 456", "dup dup"] + ["word " * n for n in (1, 700, 1022, 1023, 1024, 5000)] + ["same text"] * 40
