@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 32 bytes chooses the cut points, so boundaries follow the content and an insertion
 moves only the cuts near it. Chunks are compared by a 128-bit digest; of equal chunks the first one stays (smallest
-doc_id, then position), the others are removed. Chunks shorter than the least size (ends of texts) take no part.
+doc_id, then position), the others are removed. The last chunk of a text takes part however short it is.
 
 Defined results: null counts as the empty text (no chunk, nothing removed); rows that repeat a doc_id are the same
 document and get the same result; a row without doc_id loses only what it repeats itself; other columns are ignored
@@ -50,8 +50,8 @@ def cut_points(marks: list[int], size: int) -> list[int]:
     return ends
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[bytes, list[int], list[bytes | None]]]:
-    """(text, ends of its chunks, their digests; None for a short one) of every text."""
+def chunks(texts: pa.Array) -> Iterator[tuple[bytes, list[int], list[bytes]]]:
+    """(text, ends of its chunks, their digests) of every text."""
     data, off = raw(texts)
     marks = np.flatnonzero(gear(data) >> np.uint32(32 - BITS) == 0) + 1
     cut = np.searchsorted(marks, off, "right")
@@ -60,7 +60,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[bytes, list[int], list[bytes | Non
         ends = cut_points((marks[i:j] - a).tolist(), b - a)
         digests, start = [], a
         for e in ends:
-            digests.append(hashlib.blake2b(whole[start : a + e], digest_size=16).digest() if a + e - start >= LEAST else None)
+            digests.append(hashlib.blake2b(whole[start : a + e], digest_size=16).digest())
             start = a + e
         yield whole[a:b], ends, digests
 
@@ -70,7 +70,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            each = [{d for d in digests if d} for _, _, digests in chunks(batch.column("text"))]
+            each = [set(digests) for _, _, digests in chunks(batch.column("text"))]
             halves = np.frombuffer(b"".join(b"".join(x) for x in each), np.int64).reshape(-1, 2)
             row = np.repeat(np.arange(len(each)), [len(x) for x in each])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "d1", "d2"])
@@ -89,14 +89,13 @@ def foreign(docs: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_set("d1").alias("drop"))
 
 
-def removed(ends: list[int], digests: list[bytes | None], drop: set[int]) -> list[tuple[int, int]]:
+def removed(ends: list[int], digests: list[bytes], drop: set[int]) -> list[tuple[int, int]]:
     """Maximal removed spans of a text."""
     spans, seen, start = [], set(), 0
     for e, d in zip(ends, digests, strict=True):
-        if d and (d in seen or int.from_bytes(d[:8], "little", signed=True) in drop):
+        if d in seen or int.from_bytes(d[:8], "little", signed=True) in drop:
             spans[-1:] = [(spans[-1][0], e)] if spans and spans[-1][1] == start else [*spans[-1:], (start, e)]
-        if d:
-            seen.add(d)
+        seen.add(d)
         start = e
     return spans
 

@@ -294,6 +294,14 @@ def test_chunks_resist_insertions():
         assert e[-1:] == [len(body)][: len(e)] and (sizes <= chunk_dedup.MOST).all() and (sizes[:-1] >= chunk_dedup.LEAST).all()
 
 
+def test_chunks_of_short_texts_and_ends_take_part(spark):
+    text = prose(random.Random(5), 400)
+    rows = [(0, "a short text"), (1, "a short text"), (2, text), (3, text), (4, "another one")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in chunk_dedup.chunk_dedup(table(spark, rows)).collect()}
+    assert got == {0: (12, 0), 1: (12, 12), 2: (len(text), 0), 3: (len(text), len(text)), 4: (11, 0)}
+    assert all(len(ds) == len(e) and None not in ds for _, e, ds in chunk_dedup.chunks(pa.array([t for _, t in rows])))
+
+
 def test_chunk_filter_keeps_columns(spark):
     d = table(spark, corpus())
     out = chunk_dedup.filter_docs(d)
