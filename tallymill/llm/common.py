@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the array operators; bounds their temporaries.
 SLICE_BYTES = 1 << 20
+#: A key is hot if it has at least HOT_LEAST rows and 1/HOT_SHARE of all rows. At most HOT_SHARE keys can be hot, which bounds their broadcast.
+HOT_SHARE, HOT_LEAST, SALTS = 1024, 1000, 32
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
@@ -26,8 +29,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a folder of this process only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where it is unset, a folder of this process, but only on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or _own_dir()).rstrip("/")
 
 
 @contextlib.contextmanager
@@ -43,15 +49,66 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. ``tidy`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tidy(label: str) -> Callable:
+    """Decorator: the function's DataFrame is written out, then the intermediate tables it made are deleted."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(*args, **named) -> DataFrame:
+            made: list[str] = []
+            token = _made.set(made)
+            try:
+                try:
+                    df = f(*args, **named)
+                finally:
+                    _made.reset(token)
+                return materialize(df, label)
+            finally:
+                for path in made:
+                    remove(SparkSession.active(), path)
+
+        return run
+
+    return wrap
+
+
+def hot_keys(sizes: DataFrame, *keys: str) -> DataFrame:
+    """The hot keys of (keys, n), n being their numbers of rows."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.filter(F.col("n") >= max(HOT_LEAST, -(-total // HOT_SHARE))).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the much smaller ``right`` on ``keys``: the left rows of a hot key are dealt out by a hash of ``spread``, its right rows
+    copied to each deal. The result is that of a plain join."""
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    deal = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(hot, keys, "left").withColumn("__deal", deal).drop("__hot")
+    b = right.join(hot, keys, "left").withColumn("__deal", F.explode(every)).drop("__hot")
+    return a.join(b.hint("merge"), [*keys, "__deal"], how).drop("__deal")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
+@tidy("components")
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); root is the smallest node of the component.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, slices, table, tidy
 
 SEQUENCE, END, DIMS, LEVELS, HASHED = 1024, 0, 4, 12, 1 << 12
 #: Coordinates are divided by this before the logistic function spreads them over the grid.
@@ -118,6 +118,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, key long, full boolean, ids_crc32 long, ids binary")
 
 
+@tidy("packed")
 def pack(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key."""
     spark = docs.sparkSession

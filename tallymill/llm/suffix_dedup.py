@@ -16,7 +16,7 @@ surroundings) is dealt to several tasks by run. Each sorts its own suffixes; win
 compared across these tasks, by 128-bit digest, summed before the shuffle.
 
 Defined results: null counts as the empty text; every row is a place of its own, so rows that repeat a document
-repeat all its windows; texts under LENGTH bytes stay whole; other columns are ignored (``filter_docs`` keeps them);
+repeat all its windows; texts under LENGTH bytes stay whole; texts of any length are searched whole; other columns are ignored (``filter_docs`` keeps them);
 an empty table gives no rows.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunk_dedup import cut_out
-from .common import materialize, raw, release, slices, table
+from .common import hot_keys, materialize, raw, release, salted_join, slices, table, tidy
 from .suffix_array import Suffixes, prefix_sums, window_hash
 
 LENGTH, K = 200, 64
@@ -202,13 +202,15 @@ def sorted_runs(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(run, "d1 long, d2 long, spans array<int>, w1 long, w2 long, window int")
 
 
+@tidy("repeats")
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, spans): for documents with repeated windows, their first bytes as a list of [first, past last, ...] lists. docs: as of ``keyed``."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = materialize(anchors(docs), "anchors")
-    shared = materialize(mine.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "shared-anchors")
-    hits = mine.select("doc_id", "t1", "h").join(shared.hint("merge"), "h")
+    shared = materialize(mine.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "shared-anchors")
+    often = materialize(hot_keys(shared, "h"), "hot-anchors")
+    hits = salted_join(mine.select("doc_id", "t1", "h"), shared.select("h"), ["h"], often, KEY)
     hits = hits.groupBy("doc_id", "t1").agg(F.collect_set("h").alias("hs"))
     wanted = docs.join(hits.hint("merge"), same_row(docs, hits)).select(docs["doc_id"], docs["t1"], docs["text"], hits["hs"])
     cut = materialize(cut_runs(wanted), "runs")
@@ -224,7 +226,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"), "split-windows")
     across = windows.join(again.hint("merge"), ["w1", "w2"]).select("d1", "d2", F.array("window", F.col("window") + 1).alias("spans"))
     marks = materialize(marks.unionByName(across).groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "run-marks")
-    known = places.join(marks.hint("merge"), ["d1", "d2"])
+    copied = materialize(hot_keys(places.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")), "d1", "d2"), "hot-runs")
+    known = salted_join(places, marks, ["d1", "d2"], copied, [*KEY, "at"])
     return known.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("at"), F.col("spans"))).alias("marks"))
 
 
@@ -249,6 +252,7 @@ def with_marks(docs: DataFrame) -> DataFrame:
     return mine.join(found.hint("merge"), same_row(mine, found), "left").select(*[mine[c] for c in mine.columns], found["marks"])
 
 
+@tidy("suffix-dedup")
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
