@@ -1,150 +1,145 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
-Documents fall into size classes by their number of shingles, as powers of two. A class has its own number of
-MinHash bins (one permutation, OVERSAMPLE bins for each shingle of its largest document), so that a short item's
-minima survive in long documents as well as in short ones. An item whose signature for the class shares a bin's
-minimum with the document is a candidate; it counts if at least CONTAINED of its distinct shingles lie in the
-document. Items with fewer than FEW shingles have too short a signature and are looked up by every shingle instead.
-
-Items are searched in blocks of bounded bytes; every block runs over all documents, and only a block is broadcast.
-
-Defined results: documents or items without words (null, empty) match nothing; a text of one to four words has one
-shingle, so it matches only the same words as a whole text; rows with the same item_id and different texts are
-different items under one id; rows that repeat a document are matched each; other columns are ignored
-(``filter_docs`` keeps them); empty tables give no rows.
+Items fall into size classes by their number of distinct shingles, as powers of two. The sketch of an item is its
+shingle hashes under the limit of its class: all of them up to KEEP shingles, about KEEP/2 to KEEP of larger items. A
+document of any length is sketched by the same limits, so the two agree on every shared shingle under the limit, and a
+short item shows in a long document as well as in a short one. A document can contain an item only if it holds some of
+the sketch; how many of it may be missing says how many of the sketch's hashes need to be looked up, and the ones that
+fewest items share are taken. Whole sketches make this exact; of sampled ones LEAST must be shared, and an item of which
+0.8 is contained shares less with probability under 1e-6. Candidates are verified by counting shared shingles in full.
+
+Everything is joins of tables by shingle hash. What is broadcast is one bit map of all items' shingles, of at most
+2**MOST_BITS bits however many items there are; a document's shingles that it does not hold are dropped where they arise.
+
+Defined results: an item of one to four words has one shingle, all its words, and is found wherever they stand in a row;
+documents or items without words (null, empty) match nothing; rows with the same item_id and different texts are different
+items under one id, equal rows are one item; rows that repeat a document with its text are one document, those with another
+text are matched by their own; texts of any length are searched whole; ids may be of any type and null; other columns are
+ignored (``filter_docs`` keeps them); empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .shingles import weighted
-
-CONTAINED, OVERSAMPLE, FEW, CLASSES = 0.8, 2, 8, 40
-#: Bytes of item texts in a block (the broadcast is of about that size).
-BLOCK_BYTES = 16 << 20
-
-
-def size_class(n: np.ndarray) -> np.ndarray:
-    """log2 of the number of bins: OVERSAMPLE bits more than the size needs."""
-    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + OVERSAMPLE
-
-
-def minima(row: np.ndarray, h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of the least hash of each (row, bin); rows sorted, hashes ascending in a row; bits: of each element's row."""
-    cell = h >> (np.uint64(64) - bits.astype(np.uint64))
-    new = np.ones(len(h), bool)
-    new[1:] = (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])
-    return np.flatnonzero(new)
-
-
-@dataclass(frozen=True)
-class ItemIndex:
-    """Items' shingles as postings sorted by hash; sig[c]: whether a posting is in its item's signature of size class c."""
-
-    ids: list
-    hashes: np.ndarray
-    item: np.ndarray
-    sig: np.ndarray  # [CLASSES, postings]
-    size: np.ndarray
-    start: np.ndarray  # of each item in own
-    own: np.ndarray  # hashes by item, ascending
-
-    @classmethod
-    def of(cls, ids: list, texts: list[str | None]) -> ItemIndex:
-        row, h, _ = weighted(pa.array(texts, pa.large_string()))
-        size = np.bincount(row, minlength=len(ids))
-        sig = np.zeros((CLASSES, len(h)), bool)
-        for c in range(CLASSES):
-            sig[c, minima(row, h, np.full(len(h), max(c, 1)))] = True
-        sig |= (size < FEW)[row]  # looked up by every shingle
-        order = np.argsort(h, kind="stable")
-        return cls(ids, h[order], row[order], sig[:, order], size, np.cumsum(size) - size, h)
-
-    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, shared shingles) of every match."""
-        doc, h, _ = weighted(texts)
-        if not len(h) or not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
-        n = np.bincount(doc, minlength=len(texts))
-        bits = np.minimum(size_class(n), CLASSES - 1)[doc]
-        at = minima(doc, h, bits)
-        if (self.size < FEW).any():  # all shingles, for the few-shingle items
-            few = np.unique(self.hashes[(self.size < FEW)[self.item]])
-            at = np.union1d(at, np.flatnonzero(few[np.minimum(np.searchsorted(few, h), len(few) - 1)] == h))
-        a, b = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
-        some = b > a
-        at, a, b = at[some], a[some], b[some]
-        posting = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-        at = np.repeat(at, b - a)
-        ok = self.sig[bits[at], posting]
-        pairs = np.unique(np.stack([doc[at[ok]], self.item[posting[ok]]], 1), axis=0)
-        first = np.cumsum(n) - n
-        shared = np.asarray([len(np.intersect1d(h[first[d] : first[d] + n[d]], self.own[self.start[i] : self.start[i] + self.size[i]], assume_unique=True)) for d, i in pairs], np.int64)
-        good = shared >= CONTAINED * self.size[pairs[:, 1]] - 1e-9 if len(pairs) else np.zeros(0, bool)
-        return pairs[good, 0], pairs[good, 1], shared[good]
-
-
-def blocks(items: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes over all items, each over about BLOCK_BYTES of texts."""
-    items = items.filter(F.col("text").isNotNull()).select("item_id", "text")
-    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        rows.sort(key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-        if rows:
-            yield ItemIndex.of([r["item_id"] for r in rows], [r["text"] for r in rows])
+from .common import hot_keys, materialize, salted_join, slices, table, tidy
+from .shingles import WIDTH, grams, shingles, weighted, words
+
+CONTAINED, KEEP, LEAST = 0.8, 32, 0.25
+#: Bits of the map for each item shingle, and log2 of the least and most bits; beyond the most (32 MB) more shingles pass and the joins drop them.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 20, 28
+MAP_BITS = 32768  # of one value of bitmap_construct_agg
+KEY = ["k1", "k2"]
+
+
+def limit(size: np.ndarray) -> np.ndarray:
+    """The largest hash in the sketch of a text with ``size`` distinct shingles."""
+    share = np.minimum(1.0, KEEP / np.exp2(np.ceil(np.log2(np.maximum(size, 1)))))
+    return np.where(share < 1, share * 2.0**64, 0).astype(np.uint64) - np.uint64(1)  # 0 - 1: all
+
+
+def needed(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many hashes of its sketch a contained item shares."""
+    return np.where(sketch == size, np.ceil(CONTAINED * sketch - 1e-9), np.ceil(LEAST * sketch)).astype(np.int64)
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """(item, item_id, h, size, width, part): every distinct shingle of every item; part: how many of the sketch are to be looked up, null outside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, n = batch.column("text"), batch.num_rows
+            row, h, _ = weighted(texts)
+            size = np.bincount(row, minlength=n)
+            width = np.clip(np.bincount(words(texts)[1], minlength=n), 1, WIDTH)
+            inside = h <= limit(size)[row]
+            inside |= (np.bincount(row[inside], minlength=n) == 0)[row]
+            sketch = np.bincount(row[inside], minlength=n)
+            part = pa.array((sketch - needed(sketch, size) + 1)[row], mask=~inside)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(at), batch.column("item_id").take(at), pa.array(h.view(np.int64)), pa.array(size[row]), pa.array(width[row]), part], ["item", "item_id", "h", "size", "width", "part"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.mapInArrow(run, f"item long, item_id {kind}, h long, size long, width long, part long")
+
+
+def bit_map(all_items: DataFrame) -> tuple[np.ndarray, int]:
+    """(bytes, log2 of the bits): the bits of the leading digits of every item shingle."""
+    n = all_items.count()
+    bits = min(max(LEAST_BITS, math.ceil(math.log2(max(1, n * BITS_EACH)))), MOST_BITS)
+    place = F.shiftrightunsigned("h", 64 - bits)
+    rows = all_items.groupBy(F.floor(place / MAP_BITS).alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(MAP_BITS))).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        out[r["at"] * MAP_BITS // 8 :][: MAP_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 128-bit key of doc_id and text."""
+    return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")})
+
+
+def hits(docs: DataFrame, known: np.ndarray, bits: int, widths: list[int]) -> DataFrame:
+    """(doc_id, k1, k2, h): the distinct shingles of each document whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w, doc = words(batch.column("text"))
+            each = [grams(w, doc, batch.num_rows, width) for width in widths] if len(w) else []
+            h, row = (np.concatenate(x) for x in zip(*each, strict=True)) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            place = h >> np.uint64(64 - bits)
+            there = known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+            h, row = h[there], row[there]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", *KEY)), pa.array(h[new].view(np.int64))], ["doc_id", *KEY, "h"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, h long").distinct()
+
+
+@tidy("contained")
+def found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, item_id, n_shared, n_item, containment of every document and item that it contains."""
+    distinct = items.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    listed = materialize(postings(materialize(distinct.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")), "postings")
+    widths = sorted(r["width"] for r in listed.select("width").distinct().collect())
+    mine = materialize(hits(docs, *bit_map(listed), widths), "hits")
+    # the sketch hashes that fewest items hold
+    share = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n_items"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("n_items", "h"))
+    asked = listed.filter(F.col("part").isNotNull()).join(share.hint("merge"), "h").withColumn("place", place).filter(F.col("place") <= F.col("part"))
+    often = materialize(hot_keys(mine.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"), "hot-hashes")
+    pairs = salted_join(mine, asked.select("h", "item"), ["h"], often, KEY).select("doc_id", *KEY, "item").distinct()
+    pairs = materialize(pairs, "candidates")
+    common = materialize(hot_keys(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item"), "hot-items")
+    wanted = salted_join(pairs, listed.select("item", "item_id", "h", "size"), ["item"], common, KEY)
+    both = wanted.join(mine.select(*KEY, "h").hint("merge"), [*KEY, "h"])
+    counted = both.groupBy("doc_id", *KEY, "item", "item_id", "size").agg(F.count(F.lit(1)).alias("n_shared"))
+    enough = counted.filter(F.col("n_shared") >= F.col("size") * CONTAINED - 1e-9)
+    return enough.select("doc_id", *KEY, "item_id", "n_shared", F.col("size").alias("n_item"), (F.col("n_shared") / F.col("size")).alias("containment"))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every document that holds an item."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_item long, containment double"
-    names = ["doc_id", "item_id", "n_shared", "n_item", "containment"]
-
-    def search(index: ItemIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                doc, item, shared = index.find(batch.column("text"))
-                size = index.size[item]
-                id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kinds[1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array([index.ids[i] for i in item], id_type), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))], names)
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    found = None
-    for index in blocks(items):
-        part = search(index)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return found(docs, items).drop(*KEY)
 
 
 def filter_docs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns (no shuffle)."""
-
-    def holds(index: ItemIndex):
-        @F.pandas_udf("boolean")
-        def test(texts):
-            import pandas as pd
-
-            out, at = np.zeros(len(texts), bool), 0
-            for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])])):
-                out[at + index.find(part.column("text"))[0]] = True
-                at += part.num_rows
-            return pd.Series(out)
-
-        return test(F.col("text"))
-
-    for index in blocks(items):
-        docs = docs.filter(~holds(index))
-    return docs
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    held = found(docs, items).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    k1, k2 = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "text", "doc_id")
+    return docs.join(held, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

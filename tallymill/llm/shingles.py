@@ -32,22 +32,24 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, at)[real]), doc[at[real]]
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, document) of every shingle, in order, repeats included."""
-    w, doc = words(texts)
-    if not len(w):
-        return w, doc
-    n = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(n) - n
-    place = np.arange(len(w)) - first[doc]
-    start = np.flatnonzero((place + WIDTH <= n[doc]) | (place == 0))
+def grams(w: np.ndarray, doc: np.ndarray, n: int, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, document) of every run of ``width`` words of the ``n`` documents, in order; short: a text of fewer words gives one run, all its words."""
+    size = np.bincount(doc, minlength=n)
+    place = np.arange(len(w)) - (np.cumsum(size) - size)[doc]
+    start = np.flatnonzero((place + width <= size[doc]) | (place == 0) & short)
     total = np.zeros(len(start), np.uint64)
-    for k in range(WIDTH):
-        there = place[start] + k < n[doc[start]]
+    for k in range(width):
+        there = place[start] + k < size[doc[start]]
         total += np.where(there, w[np.minimum(start + k, len(w) - 1)] * _STEP[k], np.uint64(0))
     return mix(total), doc[start]
 
 
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, document) of every shingle, in order, repeats included."""
+    w, doc = words(texts)
+    return grams(w, doc, len(texts), WIDTH, short=True) if len(w) else (w, doc)
+
+
 def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash, count) of every document's distinct shingles, sorted by document and hash."""
     h, doc = shingles(texts)
