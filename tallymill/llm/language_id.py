@@ -4,16 +4,20 @@ Texts become normalised TF-IDF vectors over hashed byte n-grams. Each language's
 spherical k-means; a text gets the language of the centroid with the largest cosine. A text farther from its
 centroid than nearly all training members is marked as rejected.
 
-Training sample: at most about TRAIN_PER_LANG rows of each language, chosen by a fixed hash of doc_id, from rows
-whose fold is not 0 and whose text and lang are not null (a documented bound on a fitted classifier).
+Document frequencies are counted over all rows that may be learned from: those whose fold is not 0 and whose text and lang
+are not null. The clustered sample (a documented bound on a fitted classifier) holds of these rows at most about
+TRAIN_PER_LANG for each language, however many languages there are, and at most about TRAIN_ROWS in all, chosen by a fixed
+hash of doc_id. A row is reduced to its n-grams' hashes and counts, at most 16 KB, before it reaches the driver.
 
 Defined results: null text, or text without a letter: ``und``, score 0, rejected; with no training rows at all every
 text is ``und``; rejected texts keep their nearest language unless ``reject_to_und``; ties go to the language that
-sorts first; other columns are ignored; an empty table gives no rows.
+sorts first; rows that repeat a doc_id are judged each by their own text, and all count in training; texts of any length
+are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, hash_below, slices, table
+from .common import fold, hash_below, materialize, slices, table, tidy
 from .ngrams import ngram_buckets, word_bytes
 
 BITS, SIZES = 12, (1, 2, 3)
-TRAIN_PER_LANG, CENTROIDS, ROUNDS, MOST_LANGS = 600, 4, 8, 500
+TRAIN_PER_LANG, TRAIN_ROWS, CENTROIDS, ROUNDS = 600, 12_000, 4, 8
 #: A text is rejected if its cosine is under this quantile of its centroid's training members, less the margin.
 REJECT_QUANTILE, REJECT_MARGIN = 0.005, 0.1
 
@@ -46,6 +50,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
 
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    """Of n-grams that ``df`` of ``n`` texts hold."""
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class CentroidModel:
     langs: list[str]  # of each centroid
@@ -53,17 +62,12 @@ class CentroidModel:
     centroids: np.ndarray
     least: np.ndarray  # cosine under which a text is rejected, by centroid
 
-    def vectors(self, tf: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(tf) * self.idf)
-
     @classmethod
-    def fit(cls, tf: np.ndarray, labels: list[str], k: int = CENTROIDS) -> CentroidModel:
-        """tf: [rows, 2**BITS] counts; deterministic."""
-        idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-        x, names, cents, least = unit(np.log1p(tf) * idf), [], [], []
-        y = np.asarray(labels, object)
-        for lang in sorted(set(labels)):
-            mine = x[y == lang]
+    def fit(cls, groups: Iterator[tuple[str, np.ndarray]], idf: np.ndarray, k: int = CENTROIDS) -> CentroidModel:
+        """groups: (language, [rows, 2**BITS] counts), sorted by language; deterministic."""
+        names, cents, least = [], [], []
+        for lang, tf in groups:
+            mine = unit(np.log1p(tf) * idf)
             c = unit(mine.mean(0))[None]
             while len(c) < min(k, len(mine)):  # next centre: the member farthest from the centres so far
                 c = np.concatenate([c, mine[(mine @ c.T).max(1).argmin()][None]])
@@ -81,32 +85,66 @@ class CentroidModel:
 
     def predict(self, tf: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine, rejected) of each row."""
-        cos = self.vectors(tf) @ self.centroids.T
+        cos = unit(np.log1p(tf) * self.idf) @ self.centroids.T
         at = cos.argmax(1)
         top = cos[np.arange(len(at)), at]
         return [self.langs[i] for i in at], np.clip(top, 0, 1).astype(np.float64), top < self.least[at]
 
 
-def train(docs: DataFrame) -> CentroidModel | None:
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    if not sizes:
-        return None
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(TRAIN_PER_LANG / n)) for k, n in sizes.items()], F.lit(0.0))
+def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents that hold each n-gram, documents); one row for each n-gram reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((1 << BITS) + 1, np.int64)  # the last one counts documents
+        for batch in slices(batches):
+            for a in range(0, batch.num_rows, 256):
+                tf = counts(batch.column("text").slice(a, 256))
+                df[:-1] += (tf > 0).sum(0)
+                df[-1] += len(tf)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["bucket", "n"])
+
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    for r in known.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
+def sample(known: DataFrame) -> list:
+    """Rows (lang, id, ids, tf) of the training sample: n-gram hashes and their counts, sorted."""
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    wanted = sizes.agg(F.sum(F.least("n", F.lit(TRAIN_PER_LANG)))).first()[0] or 0
+    rate = F.least(F.lit(1.0), F.lit(TRAIN_PER_LANG) / F.col("n")) * min(1.0, TRAIN_ROWS / max(1, wanted))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                rows = [x.tobytes() for x in counts(part.column("text")).astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("lang").cast(pa.string()), pa.array(rows, pa.binary())], ["id", "lang", "tf"])
+                tf = np.minimum(counts(part.column("text")), 65535).astype(np.uint16)
+                ids = [np.flatnonzero(x).astype(np.uint16) for x in tf]
+                packed = [pa.array([x.tobytes() for x in each], pa.binary()) for each in (ids, [x[i] for x, i in zip(tf, ids, strict=True)])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("lang").cast(pa.string()), *packed], ["id", "lang", "ids", "tf"])
+
+    # the languages' sizes are broadcast if they are few enough for Spark's own limit
+    chosen = known.join(sizes, "lang").filter(hash_below(F.col("doc_id"), rate)).select("doc_id", "lang", "text")
+    rows = [r for r in chosen.mapInArrow(featurise, "id string, lang string, ids binary, tf binary").collect() if r["ids"]]
+    return sorted(rows, key=lambda r: (r["lang"], r["id"] or "", r["ids"], r["tf"]))
+
+
+def train(docs: DataFrame) -> CentroidModel | None:
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text", "lang")
+    rows = sample(known)
+    if not rows:
+        return None
+
+    def groups() -> Iterator[tuple[str, np.ndarray]]:
+        for lang, mine in itertools.groupby(rows, key=lambda r: r["lang"]):
+            mine = list(mine)
+            tf = np.zeros((len(mine), 1 << BITS), np.float32)
+            for x, r in zip(tf, mine, strict=True):
+                x[np.frombuffer(r["ids"], np.uint16)] = np.frombuffer(r["tf"], np.uint16)
+            yield lang, tf
 
-    rows = known.filter(hash_below(F.col("doc_id"), rate)).mapInArrow(featurise, "id string, lang string, tf binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["id"] or "", r["tf"]))
-    tf = np.frombuffer(b"".join(r["tf"] for r in rows), np.float16).reshape(len(rows), 1 << BITS).astype(np.float32)
-    tf = np.where(np.isfinite(tf), tf, np.float32(65504))
-    some = tf.sum(1) > 0
-    return CentroidModel.fit(tf[some], [r["lang"] for r, ok in zip(rows, some, strict=True) if ok]) if some.any() else None
+    return CentroidModel.fit(groups(), idf_of(*frequencies(known)))
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, reject_to_und: bool = False) -> DataFrame:
@@ -133,6 +171,7 @@ def identify(docs: DataFrame, model: CentroidModel | None, reject_to_und: bool =
     return chosen.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+@tidy("languages-found")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
