@@ -1,16 +1,17 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is the bag of its words and their byte n-grams (the space at either end included), all hashed. Embeddings of all n-grams are averaged and fed to a two-class softmax; both layers are trained
-together by Adam. Unseen misspellings share n-grams with known words. As the model is linear after averaging,
-scoring needs one number per bucket.
+A text is the bag of its words and their byte n-grams (the space at either end included), all hashed. Embeddings of all
+n-grams are averaged and fed to a two-class softmax; both layers are trained together by Adam. Unseen misspellings share
+n-grams with known words. As the model is linear after averaging, scoring needs one number per bucket.
 
 Training sample: at most about TRAIN labelled rows of each class, chosen by a fixed hash of doc_id, whose
-fold is not 0 (a documented bound on a fitted classifier); each is reduced to its hashed bag before it reaches the
-driver.
+fold is not 0 (a documented bound on a fitted classifier); each is reduced to its hashed bag. One task trains on these
+bags, and the driver gets the finished weights only.
 
-Defined results: a null or empty text has an empty bag and is scored by the bias alone, which training holds to class 0; without training rows every
-score is 0.0; labels other than 0 and 1 are ignored; if a doc_id has several labels, all count; rows that repeat a
-doc_id are scored each; other columns are ignored.
+Defined results: a null or empty text has an empty bag and is scored by the bias alone, which training holds to class 0;
+without training rows every score is 0.0; labels other than 0 and 1 are ignored; if a doc_id has several labels, all count;
+rows that repeat a doc_id are scored each; a text of any length is scored whole; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class SubwordModel:
         """rows: (buckets, their counts, all n-grams of the text). Every 32nd row that training sees is an empty text of class 0. Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
         rng = np.random.default_rng(seed)
         empty = -(-len(rows) // 32)
-        rows = rows + [(np.zeros(0, np.uint16), np.zeros(0, np.uint8), 0)] * empty
+        rows = rows + [(np.zeros(0, np.uint16), np.zeros(0, np.uint32), 0)] * empty
         labels = np.concatenate([labels, np.zeros(empty, labels.dtype)])
         emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
         out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -108,19 +109,22 @@ def train(docs: DataFrame, labels: DataFrame) -> SubwordModel | None:
             cut = np.searchsorted(key, np.arange(batch.num_rows + 1) << BITS)
             total = np.bincount(doc, minlength=batch.num_rows)
             ids = [(key[a:b] & (1 << BITS) - 1).astype(np.uint16).tobytes() for a, b in zip(cut, cut[1:])]
-            counts = [np.minimum(n[a:b], 255).astype(np.uint8).tobytes() for a, b in zip(cut, cut[1:])]
+            counts = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array(total), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "y", "total", "ids", "counts"])
 
+    def fit(bags: pa.Table) -> pa.Table:
+        columns = [bags.column(c).to_pylist() for c in ("id", "y", "ids", "counts", "total")]
+        rows = sorted(zip(*columns, strict=True), key=lambda r: r[:4])
+        del bags, columns
+        model = SubwordModel.fit([(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint32), r[4]) for r in rows], np.asarray([r[1] for r in rows]))
+        del rows
+        release()
+        return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias]})
+
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
-    rows = joined.mapInArrow(featurise, "id string, y int, total long, ids binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], r["ids"]))
-    rows = [r for r in rows if r["ids"]]
-    if not rows:
-        return None
-    model = SubwordModel.fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint8), r["total"]) for r in rows], np.asarray([r["y"] for r in rows]))
-    del rows
-    release()
-    return model
+    bagged = joined.mapInArrow(featurise, "id string, y int, total long, ids binary, counts binary").filter("total > 0")
+    model = bagged.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "weight binary, bias double").first()
+    return SubwordModel(np.frombuffer(model["weight"], np.float32), model["bias"]) if model else None
 
 
 def score(docs: DataFrame, model: SubwordModel | None, cutoff: float = 0.5) -> DataFrame:
@@ -139,14 +143,11 @@ def score(docs: DataFrame, model: SubwordModel | None, cutoff: float = 0.5) -> D
 def filter_docs(docs: DataFrame, model: SubwordModel | None, cutoff: float = 0.5) -> DataFrame:
     """The rows of ``docs`` scored under the cutoff, with all their columns (no shuffle)."""
 
-    @F.pandas_udf("double")
-    def toxic(texts):
-        import pandas as pd
-
-        part = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        return pd.Series(np.concatenate([model.score(b.column("text")) for b in slices(iter([part]))]) if part.num_rows else [], dtype="float64")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score(batch.column("text")) < cutoff))
 
-    return docs.filter(toxic(F.col("text")) < cutoff) if model else docs
+    return docs.mapInArrow(keep, docs.schema) if model else docs
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
