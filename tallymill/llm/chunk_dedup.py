@@ -25,7 +25,7 @@ from .common import hot_keys, materialize, raw, salted_join, slices, table, tidy
 #: Chunk sizes in bytes: least (the width of the rolling hash), mean beyond the least, most.
 LEAST, BITS, MOST = 32, 5, 256
 #: Bytes of consecutive repeated chunks from which they are removed.
-RUN = 128
+RUN = 96
 GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 

@@ -430,7 +430,7 @@ def test_chunk_dedup_equals_brute_force(spark, monkeypatch, hot):
         body, kept, gone, spans, at = cut[k][0], b"", 0, 0, 0
         for drop, run in itertools.groupby(marks):
             n = len(list(run))
-            if drop and (n >= 128 or n == len(body)):
+            if drop and (n >= 96 or n == len(body)):
                 gone, spans = gone + n, spans + 1
             else:
                 kept += body[at : at + n]
