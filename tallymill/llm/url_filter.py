@@ -2,11 +2,16 @@
 
 Hosts are split into words by a unigram Viterbi search. Every word of all page texts counts: the distinct names in
 hosts and paths are dealt out, and their substrings joined with the whole table of word counts. The words of host
-and path are scored by a multinomial naive Bayes model. It learns from the URLs that a rule decides (the rule's verdict
-is the label, counted over all pages) and from two short seed lists.
+and path are scored by a multinomial naive Bayes model, which blocks if they are EVIDENCE times as likely under it.
+
+The model learns from the URLs that a rule decides, or from labelled URLs that the caller has. The rule's verdict is the
+label; the part of host and path that the rule itself names is left out, so the model does not repeat the rule. A token
+counts once for each host and label, so that a host of very many pages weighs like any other. Hosts whose crc32 modulo 5 is
+0 are held out of training: what the method says of their rule pages measures it.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed (score 0);
-rules of equal length are told apart by order of the list; an empty table gives no rows; other columns are ignored.
+rules of equal length are told apart by order of the list; rows that repeat a page_id are judged each; URLs and page texts
+of any length are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hot_keys, materialize, salted_join, table, tidy
 
 #: (verdict, host, path)
 RULES = (
@@ -32,11 +37,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Words that stand for unwanted and for wanted hosts; each counts as SEED_WEIGHT labelled occurrences.
-BLOCK_SEEDS = ("spam", "casino", "porn", "xxx", "viagra", "betting", "poker", "phishing", "malware", "warez", "pills", "escort", "clickbait", "torrent")
-ALLOW_SEEDS = ("blog", "news", "docs", "wiki", "library", "school", "museum", "university", "science", "health", "m", "www")
-SEED_WEIGHT = 20
-#: Common host words that page texts may lack.
+#: How many times likelier the tokens must be under block than under allow.
+EVIDENCE = 4.0
+#: Common host words that page texts may lack (segmentation only; they decide nothing).
 HOST_WORDS = ("www", "blog", "shop", "news", "mail", "farm", "wiki", "docs", "info", "site", "web", "com", "net", "org", "example")
 #: Naive Bayes buckets, and the longest piece that is tried as a word: a whole label of a host.
 BUCKETS, LONGEST = 1 << 15, 63
@@ -107,6 +110,12 @@ def tokens(host: str, path: str, words: dict[str, list[str]]) -> tuple[list[str]
     return [w for x in host_parts(host) for w in words[x]], [f"/{w}" for x in path_parts(path) for w in words[x]]
 
 
+def beside(host: str, path: str, rule: str) -> tuple[str, str]:
+    """What is left of host and path without what the rule names."""
+    end, slash, start = rule.partition("/")
+    return host[: len(host) - len(end)], path[len(slash + start) :]
+
+
 def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
@@ -120,7 +129,7 @@ class NaiveBayes:
 
     @classmethod
     def of(cls, counts: np.ndarray, alpha: float = 1.0) -> NaiveBayes:
-        """counts: [2, BUCKETS] of allow, block. The prior is even: how many pages the rules cover says nothing about the others."""
+        """counts: [2, BUCKETS] of allow, block. The prior is even: how many pages are labelled says nothing about the others."""
         used = max(1, int((counts.sum(0) > 0).sum()))
         logp = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * used)
         return cls(0.0, (logp[1] - logp[0]) * (counts.sum(0) > 0))
@@ -138,7 +147,7 @@ def word_counts(texts: DataFrame, column: str = "html") -> DataFrame:
 
 def split_parts(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """(part, words): the likeliest split of every distinct part, by all word counts."""
-    listed = sorted({*HOST_WORDS, *BLOCK_SEEDS, *ALLOW_SEEDS})
+    listed = sorted(HOST_WORDS)
     total = counts.agg(F.sum("n")).first()[0] or 0
     base, has = max(10, total // 2000), {r.w: r.n for r in counts.filter(F.col("w").isin(listed)).collect()}
     least = {w: max(has.get(w, 0), base) for w in listed}
@@ -167,61 +176,67 @@ def split_parts(parts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def split_urls(parsed: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, path, rule_verdict, n, words) of every distinct URL: its number of pages, and (part, words) of its parts."""
+    """(host, path, rule, label, held_out, words) of every distinct URL: words are (part, words) of its parts."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            each = [sorted({*host_parts(h), *path_parts(p)}) or [""] for h, p in zip(pdf["host"], pdf["path"], strict=True)]
+            each = []
+            for h, p, r in zip(pdf["host"], pdf["path"], pdf["rule"], strict=True):
+                h2, p2 = beside(h, p, r or "")
+                each.append(sorted({*host_parts(h), *path_parts(p), *host_parts(h2), *path_parts(p2)}) or [""])
             yield pdf.assign(part=each).explode("part")
 
-    urls = parsed.groupBy("host", "path", "rule_verdict").agg(F.count(F.lit(1)).alias("n"))
-    some = materialize(urls.mapInPandas(parts, "host string, path string, rule_verdict string, n long, part string"), "url-parts")
+    columns = "host string, path string, rule string, label string, held_out boolean"
+    urls = parsed.select("host", "path", "rule", "label", (F.crc32(F.col("host")) % 5 == 0).alias("held_out")).distinct()
+    some = materialize(urls.mapInPandas(parts, f"{columns}, part string"), "url-parts")
     whole = some.join(split_parts(some, counts).hint("merge"), "part")
-    return materialize(whole.groupBy("host", "path", "rule_verdict", "n").agg(F.collect_list(F.struct("part", "words")).alias("words")), "split-urls")
+    return materialize(whole.groupBy("host", "path", "rule", "label", "held_out").agg(F.collect_list(F.struct("part", "words")).alias("words")), "split-urls")
 
 
 def train(urls: DataFrame) -> NaiveBayes:
-    """urls: as of ``split_urls``. Counts over all pages that a rule decides; at most 2 x BUCKETS sums reach the driver."""
+    """urls: as of ``split_urls``. Counts of hosts over all labelled URLs that are not held out; at most 2 x BUCKETS sums reach the driver."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: dict[tuple[int, int], int] = {}
-            for h, p, v, n, words in zip(pdf["host"], pdf["path"], pdf["rule_verdict"], pdf["n"], pdf["words"], strict=True):
-                label = int(v == "block")
-                for t in sum(tokens(h, p, {x["part"]: list(x["words"]) for x in words}), []):
-                    k = label, bucket(t)
-                    rows[k] = rows.get(k, 0) + n
-            yield pd.DataFrame({"label": [k[0] for k in rows], "bucket": [k[1] for k in rows], "n": list(rows.values())}).astype("int64")
-
-    known = urls.filter(F.col("rule_verdict").isNotNull())
+            rows = set()
+            for h, p, r, label, words in zip(pdf["host"], pdf["path"], pdf["rule"], pdf["label"], pdf["words"], strict=True):
+                split = {x["part"]: list(x["words"]) for x in words}
+                rows |= {(int(label == "block"), bucket(t), h) for t in sum(tokens(*beside(h, p, r or ""), split), [])}
+            yield pd.DataFrame(sorted(rows), columns=["label", "bucket", "host"])
+
+    known = urls.filter("label IS NOT NULL AND NOT held_out")
+    hosts = known.mapInPandas(seen, "label long, bucket long, host string").distinct()
     counts = np.zeros((2, BUCKETS))
-    for r in known.mapInPandas(sums, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r.label, r.bucket] += r.n
-    for label, seeds in enumerate((ALLOW_SEEDS, BLOCK_SEEDS)):
-        for w in seeds:
-            counts[label, bucket(w)] += SEED_WEIGHT + counts[:, bucket(w)].sum()
+    for r in hosts.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.label, r.bucket] = r.n
     return NaiveBayes.of(counts)
 
 
-def url_filter(pages: DataFrame, rules=RULES, model: NaiveBayes | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log-odds of block), words (the segmented host) of every page."""
+@tidy("urls")
+def url_filter(pages: DataFrame, rules=RULES, model: NaiveBayes | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, method (the verdict of the method alone), score (log-odds of block), words (the segmented host) and held_out of
+    every page. labelled: (url, verdict) rows to learn from instead of the rules."""
     host, path = split_url(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    named = lambda df, *more: df.select(*more, host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
-    urls = split_urls(parsed, word_counts(pages))
-    model = model or train(urls)
+    parsed = named(pages, "page_id").select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
+    counts = word_counts(pages)
+    urls = split_urls(parsed.withColumn("label", F.col("rule_verdict")), counts)
+    if model is None:
+        examples = urls if labelled is None else split_urls(named(labelled, "verdict").select("*", F.lit(None).cast("string").alias("rule"), F.col("verdict").alias("label")), counts)
+        model = train(examples)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             split = [tokens(h, p, {x["part"]: list(x["words"]) for x in words}) for h, p, words in zip(pdf["host"], pdf["path"], pdf["words"], strict=True)]
             scores = [float(model.score([*w, *rest])) if w else 0.0 for w, rest in split]
-            yield pd.DataFrame({"host": pdf["host"], "path": pdf["path"], "score": scores, "words": [" ".join(w) for w, _ in split]})
+            yield pd.DataFrame({"host": pdf["host"], "path": pdf["path"], "held_out": pdf["held_out"], "score": scores, "words": [" ".join(w) for w, _ in split]})
 
-    judged = materialize(urls.select("host", "path", "words").mapInPandas(judge, "host string, path string, score double, words string"), "judged")
-    method = F.when(F.col("score") > 0, "block").otherwise("allow")
-    # one row for each URL; a URL of very many pages is split by adaptive execution
-    return parsed.join(judged.hint("merge"), ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score", "words")
+    judged = materialize(urls.select("host", "path", "held_out", "words").mapInPandas(judge, "host string, path string, held_out boolean, score double, words string"), "judged")
+    often = materialize(hot_keys(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "host", "path"), "hot-urls")
+    whole = salted_join(parsed, judged, ["host", "path"], often, ["page_id"])
+    method = F.when(F.col("score") > math.log(EVIDENCE), "block").otherwise("allow")
+    return whole.withColumn("method", method).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "method").alias("verdict"), "method", "score", "words", "held_out")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that judge each text by itself: URL filter, packing, language, tokens, toxicity."""
 
+import math
 import random
 import zlib
 
@@ -70,10 +71,59 @@ def test_segmentation_and_bayes():
     assert nb.score(["spam"]) == pytest.approx(np.log(10 / 1) ) and nb.score(["river", "unseen"]) < 0 < nb.score(["spam", "unseen"])
 
 
-def test_url_verdict_of_seed_words(spark):
-    urls = ["http://spamfarm.xyz/a", "http://museumnews.xyz/a", "http://x.com/en/a", "http://y.net/de/b"]
-    rows = {r.page_id: r for r in url.url_filter(pages(spark, urls)).collect()}
-    assert rows[0].words == "spam farm xyz" and rows[0].verdict == "block" and rows[1].verdict == "allow"
+def taught(spark, extra=()):
+    """Pages whose hosts the rules block or allow, by words that the rules do not name, and pages without a rule."""
+    rng = random.Random(3)
+    bad, good = ("casino", "spam", "farm", "poker"), ("museum", "news", "river", "stone")
+    urls = [f"http://{rng.choice(bad)}{rng.choice(bad)}.h{i}.com/en/{rng.choice(bad)}" for i in range(60)]
+    urls += [f"http://{rng.choice(good)}{rng.choice(good)}.h{i}.net/de/{rng.choice(good)}" for i in range(60)]
+    html = "<html><script>junk</script><p>" + " ".join((*bad, *good, "the", "word", "words")) + "</p></html>"
+    all_ = [*urls, *extra]
+    return spark.createDataFrame([(i, u, html, 5) for i, u in enumerate([*all_, all_[0]])], "page_id long, url string, html string, verdict int")
+
+
+def test_url_verdicts_equal_a_recount(spark):
+    """Lexicon, model and verdicts counted again in plain Python."""
+    extra = ["http://pokerspam.xyz/a", "http://museumstone.org/fr/1", "http://a.com/fr/x", "http://x.org/en/a", "http://casinonews.xyz/", None]
+    df = taught(spark, extra)
+    rows = df.collect()
+    count = {}
+    for r in rows:
+        for w in "".join(c if c.isalpha() else " " for c in r.html.replace("<html><script>junk</script><p>", "").replace("</p></html>", "")).split():
+            count[w] = count.get(w, 0) + 1
+    base = max(10, sum(count.values()) // 2000)
+    for w in url.HOST_WORDS:
+        count[w] = max(count.get(w, 0), base)
+    lex = url.Lexicon.of(count)
+    words = lambda part: ["#"] if part == "#" else lex.segment(part)
+    toks = lambda h, p: [w for x in url.host_parts(h) for w in words(x)] + [f"/{w}" for x in url.path_parts(p) for w in words(x)]
+    got = url.url_filter(df).collect()
+    assert len(got) == len(rows)
+    seen = set()
+    for r in got:
+        if r.rule and zlib.crc32(r.host.encode()) % 5:
+            end, path = r.rule.split("/", 1)
+            seen |= {(r.verdict, t, r.host) for t in toks(r.host[: -len(end)], r.path[len(path) + 1 :])}
+    n = {}
+    for v, t, _ in seen:
+        n[v, t] = n.get((v, t), 0) + 1
+    vocab, total = {t for _, t in n}, {v: sum(c for (w, _), c in n.items() if w == v) for v in ("allow", "block")}
+    odds = lambda t: math.log((n.get(("block", t), 0) + 1) / (total["block"] + len(vocab))) - math.log((n.get(("allow", t), 0) + 1) / (total["allow"] + len(vocab)))
+    assert len({url.bucket(t) for t in vocab}) == len(vocab)
+    for r in got:
+        want = sum(odds(t) for t in toks(r.host, r.path) if t in vocab)
+        assert r.score == pytest.approx(want) and r.method == ("block" if want > math.log(url.EVIDENCE) else "allow") and r.held_out == (zlib.crc32(r.host.encode()) % 5 == 0)
+        assert r.verdict == (r.method if r.rule is None else "block" if r.rule == "com/en/" else "allow")
+    by = {r.page_id: r for r in got}
+    assert [by[120 + k].verdict for k in range(6)] == ["block", "allow", "allow", "allow", "allow", "allow"]  # no echo of com, org or /en
+    held = [r for r in got if r.rule and r.held_out]
+    assert len(held) > 10 and all((r.method == "block") == (r.rule == "com/en/") for r in held)
+
+
+def test_url_learns_from_given_labels(spark):
+    labelled = spark.createDataFrame([(f"http://{w}.q{i}.xyz/", v) for i in range(20) for w, v in (("river", "block"), ("casino", "allow"))], "url string, verdict string")
+    rows = {r.page_id: r for r in url.url_filter(taught(spark, ["http://riverriver.xyz/", "http://casino.xyz/"]), labelled=labelled).collect()}
+    assert (rows[120].verdict, rows[121].verdict) == ("block", "allow") and rows[0].verdict == "block" and rows[0].method == "allow"
 
 
 def test_url_words_count_however_many_there_are(spark):
@@ -88,7 +138,6 @@ def test_url_words_count_however_many_there_are(spark):
 def test_url_hosts_with_digits_give_words(spark):
     rows = {r.page_id: r for r in url.url_filter(pages(spark, ["http://casino24.xyz/a", "http://best4poker.xyz/a", "http://museum7news.xyz/a"])).collect()}
     assert rows[0].words == "casino # xyz" and rows[1].words.endswith("# poker xyz") and rows[2].words == "museum # news xyz"
-    assert (rows[0].verdict, rows[1].verdict, rows[2].verdict) == ("block", "block", "allow")
 
 
 # ---------------------------------------------------------------- packing
@@ -182,6 +231,49 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in rows if r.doc_id == 1003} == {"de", "fr"}
 
 
+def test_language_equals_brute_force(spark):
+    """TF-IDF, spherical k-means and cosines in plain Python dictionaries."""
+    d = labelled(spark, 8)
+    rows = d.collect()
+    vec = lambda t: {j: float(x) for j, x in enumerate(lang.counts(pa.array([t]))[0]) if x}
+    fit = sorted((r.lang, str(r.doc_id), r.text) for r in rows if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5)
+    df = {}
+    for _, _, t in fit:
+        for j in vec(t):
+            df[j] = df.get(j, 0) + 1
+    idf = {j: math.log((1 + len(fit)) / (1 + df.get(j, 0))) + 1 for j in range(1 << lang.BITS)}
+    unit = lambda v: {j: x / (sum(y * y for y in v.values()) ** 0.5 or 1) for j, x in v.items()}
+    tfidf = lambda t: unit({j: math.log1p(x) * idf[j] for j, x in vec(t).items()})
+    cos = lambda a, b: sum(x * b.get(j, 0) for j, x in a.items())
+    mean = lambda vs: unit({j: sum(v.get(j, 0) for v in vs) / len(vs) for j in {j for v in vs for j in v}})
+    centres = []
+    for name in sorted({x[0] for x in fit}):
+        mine = [tfidf(t) for x, _, t in fit if x == name and t]
+        c = [mean(mine)]
+        while len(c) < min(lang.CENTROIDS, len(mine)):
+            c.append(min(mine, key=lambda v: max(cos(v, x) for x in c)))  # noqa: B023
+        for _ in range(lang.ROUNDS):
+            near = [max(range(len(c)), key=lambda j: cos(v, c[j])) for v in mine]  # noqa: B023
+            c = [mean([v for v, n in zip(mine, near, strict=True) if n == j]) if j in near else c[j] for j in range(len(c))]
+        near = [max(range(len(c)), key=lambda j: cos(v, c[j])) for v in mine]  # noqa: B023
+        centres += [(name, x) for j, x in enumerate(c) if j in near]
+    got = {(r.doc_id, round(r.score, 3), r.lang_pred) for r in lang.identify(d, lang.train(d)).collect() if r.lang_pred != "und"}
+    want = set()
+    for r in rows:
+        if r.text and any(ch.isalpha() for ch in r.text):
+            name, best = max(((n, cos(tfidf(r.text), x)) for n, x in centres), key=lambda x: x[1])
+            want.add((r.doc_id, round(best, 3), name))
+    assert {x[::2] for x in got} == {x[::2] for x in want}
+    for (i, s, n), (i2, s2, n2) in zip(sorted(got), sorted(want), strict=True):
+        assert (i, n) == (i2, n2) and abs(s - s2) <= 0.0021
+
+
+def test_languages_are_not_capped(spark):
+    rows = [(10 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30, f"l{k:03d}", "s", 1) for k in range(540) for j in range(4)]
+    d = spark.createDataFrame(rows, DOCS)
+    assert len(set(lang.train(d).langs)) > 530
+
+
 def test_language_rejects_what_is_far(spark):
     d = labelled(spark)
     far = docs(spark, ["zzqx qxzz xqzz " * 20], None)
@@ -219,6 +311,60 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert kept.columns == d.columns and kept.count() == toxicity.score(d, model).filter("predicted = 0").count()
 
 
+def test_toxicity_step_equals_brute_force(monkeypatch):
+    """Both layers after two joint steps of Adam, by loops over the definition."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    monkeypatch.setattr(toxicity, "BATCH", 4)
+    texts = ["horrible river", "stone water stone", "worthless land"]
+    rows, labels = [], np.asarray([1, 0, 1])
+    for t in texts:
+        bucket, _ = toxicity.bags(pa.array([t]))
+        ids, n = np.unique(bucket, return_counts=True)
+        rows.append((ids.astype(np.uint16), n.astype(np.uint32), len(bucket)))
+    model = toxicity.SubwordModel.fit(rows, labels)
+    rng = np.random.default_rng(7)
+    emb, out, bias = rng.normal(0, 0.1, (1 << toxicity.BITS, toxicity.DIM)), rng.normal(0, 0.3, (toxicity.DIM, 2)), np.zeros(2)
+    bags = [{int(i): n / (r[2] + toxicity.NEUTRAL) for i, n in zip(r[0], r[1], strict=True)} for r in rows] + [{}]
+    y, moments, step = [1, 0, 1, 0], {}, 0
+    for epoch in range(2):
+        rng.permutation(4)
+        g_emb, g_out, g_bias = {i: toxicity.DECAY * emb[i] for b in bags for i in b}, np.zeros_like(out), np.zeros(2)
+        for b, label in zip(bags, y, strict=True):
+            h = sum((emb[i] * x for i, x in b.items()), np.zeros(toxicity.DIM))
+            p = np.exp(h @ out + bias)
+            p = p / p.sum()
+            p[label] -= 1
+            p /= 4
+            g_out += np.outer(h, p)
+            g_bias += p
+            for i, x in b.items():
+                g_emb[i] = g_emb[i] + x * (out @ p)
+        step += 1
+        rate = toxicity.RATE * (1 - epoch / 2)
+
+        def adam(key, value, grad):
+            m, v = moments.get(key, (0, 0))
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad  # noqa: B023
+            moments[key] = m, v
+            return value - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)  # noqa: B023
+
+        for i, g in g_emb.items():
+            emb[i] = adam(i, emb[i], g)
+        out, bias = adam("out", out, g_out), adam("bias", bias, g_bias)
+    used = sorted({i for b in bags for i in b})
+    assert np.allclose(model.weight[used], (emb @ (out[:, 1] - out[:, 0]))[used], atol=2e-3) and model.bias == pytest.approx(bias[1] - bias[0], abs=2e-3)
+
+
+def test_toxicity_of_long_texts(spark):
+    """Words beyond 65,535 repeats count in full; a megabyte of text is scored whole."""
+    d, labels = judged(spark, 80)
+    long = spark.createDataFrame([(5000, "river " * 70_000, "en", "s", 1, "x"), (5001, "land " * 200_000 + "worthless " * 60_000, "en", "s", 1, "x")], d.schema)
+    model = toxicity.train(d.union(long), labels.union(spark.createDataFrame([(5000, 1, 0), (5001, 1, 1)], labels.schema)))
+    s = {r.doc_id: r.score for r in toxicity.score(long, model).collect()}
+    assert 0 <= s[5000] < s[5001] <= 1
+
+
 def test_toxicity_edges(spark):
     d, labels = judged(spark, 8)
     assert toxicity.train(d, labels.limit(0)) is None
