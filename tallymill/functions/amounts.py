@@ -1,17 +1,18 @@
-"""Money, quantity and currency expressions. Inputs are NFKC-normalised strings (see text.normalize_unicode)."""
+"""Money, quantity and currency expressions. Amounts may be printed in full-width or other compatibility forms (see text.fold_width)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits, first_of, let, strip
+from .text import digits, first_of, fold_width, let, strip
 
 # What must be recognised for equal results.
 CURRENCY_WORDS = r"(?i)\b(rp|idr|usd|sgd|myr|eur|krw|won|php|thb|vnd)\b\.?"
 CURRENCY_IN_TEXT = r"\b(rp|idr|usd|sgd|myr|rm|eur|krw|php|thb|vnd)\b"
 WORD_CODES = {"rp": "IDR", "idr": "IDR", "usd": "USD", "sgd": "SGD", "myr": "MYR", "rm": "MYR", "eur": "EUR", "krw": "KRW", "php": "PHP", "thb": "THB", "vnd": "VND"}
 SYMBOL_CODES = {"€": "EUR", "£": "GBP", "¥": "JPY", "₩": "KRW", "₫": "VND", "฿": "THB", "₱": "PHP", "$": "USD"}
+# Fixed values as well: what counts as a number.
 #: A printed amount: digit groups of three with separators, groups with blanks, or a plain number.
 AMOUNT = r"-?\(?\d{1,3}(?:[.,]\s?\d{3}(?!\d))+(?:[.,]\d{1,2})?\)?|-?\d{1,3}(?:\s\d{3})+(?![\d.,])|-?\d+(?:[.,]\d{1,2})?"
 NUMBER_TOKEN = r"\d[\d.,\s]*\d|\d"
@@ -20,7 +21,7 @@ NUMBER_TOKEN = r"\d[\d.,\s]*\d|\d"
 def parse_amount(c: Column) -> Column:
     """The first number of a printed amount, or null. A last separator before one or two digits is the decimal point, every other one groups digits."""
     symbols = "".join(SYMBOL_CODES)
-    clean = strip(F.translate(F.regexp_replace(c, CURRENCY_WORDS, " "), symbols, " " * len(symbols)))
+    clean = strip(F.translate(F.regexp_replace(fold_width(c), CURRENCY_WORDS, " "), symbols, " " * len(symbols)))
 
     def of_clean(text: Column) -> Column:
         return let(F.regexp_extract(text, r"-?\s*\d[\d.,\s]*", 0), lambda run: of_run(run, run.startswith("-") | (text.startswith("(") & text.endswith(")"))))
@@ -49,7 +50,7 @@ def parse_quantity(c: Column) -> Column:
 
 def amounts_in(line: Column) -> Column:
     """All amounts of a line, without signs, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0)), lambda t: F.abs(parse_amount(t))), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(fold_width(line), F.lit(AMOUNT), F.lit(0)), lambda t: F.abs(parse_amount(t))), lambda x: x.isNotNull())
 
 
 def detect_currency(text: Column) -> Column:

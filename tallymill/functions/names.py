@@ -7,12 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .text import characters
+from .text import characters, fold_width
 
 
 def norm_name(c: Column) -> Column:
     """Upper case, letters A-Z and digits only, single blanks; null gives the empty text."""
-    return F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.upper(fold_width(F.coalesce(c, F.lit("")))), "[^A-Z0-9]+", " "))
 
 
 def common_subsequence(a: Column, b: Column) -> Column:

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Characters whose NFKC form is one ASCII character or currency sign (full-width and mathematical forms, superscripts, ...).
+WIDE = {c: n for c in map(chr, range(0x80, 0x20000)) if (n := unicodedata.normalize("NFKC", c)) != c and len(n) == 1 and (n < "\x80" or unicodedata.category(n) == "Sc")}
+
+
+def fold_width(c: Column) -> Column:
+    """NFKC as far as numbers, separators, currency signs and Latin letters need it, also inside lambda functions. Signs that become several
+    characters stay (``normalize_unicode`` is exact)."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "".join(WIDE), "".join(WIDE.values()))).otherwise(c)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also inside lambda functions, where Spark shares no common parts."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

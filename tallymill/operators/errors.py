@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import amount_present, money_equal, number_strings, parse_amount
@@ -14,13 +14,14 @@ from .match import PRICE_TOL
 BUCKETS = ("ocr", "missed", "wrong_value", "spurious", "normalisation", "item_ocr", "item_missed", "item_price_only", "item_extra")
 
 
-def scalar_errors(df: DataFrame) -> DataFrame:
-    """(id, field, bucket, gold, pred) of wrong scalar fields. df: id, pred, gold, raw_pred and raw_gold (maps of printed forms), lines."""
-    fields = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("field"), F.col("pred")[f].alias("pv"), F.col("gold")[f].alias("gv"), F.try_element_at("raw_pred", F.lit(f)).alias("praw"), F.try_element_at("raw_gold", F.lit(f)).alias("graw")) for f in SCORED_FIELDS])
-    )
-    rows = df.withColumn("numbers", number_strings(F.coalesce("lines", F.array().cast("array<string>")))).select("id", "numbers", fields.alias("x")).select("id", "numbers", "x.*")
-    rows = rows.filter(~money_equal(F.col("pv"), F.col("gv"), PRICE_TOL))
+def scalar_errors(df: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, field, bucket, gold, pred) of wrong scalar fields. df: keys, pred, gold, raw_pred and raw_gold (maps of printed forms), lines."""
+    none = F.array().cast("array<string>")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col("pred")[f].alias("pv"), F.col("gold")[f].alias("gv"), F.try_element_at("raw_pred", F.lit(f)).alias("praw"), F.try_element_at("raw_gold", F.lit(f)).alias("graw")) for f in SCORED_FIELDS])
+    wrong = F.filter(fields, lambda x: ~money_equal(x["pv"], x["gv"], PRICE_TOL))
+    # right records are dropped before their lines are searched for numbers
+    rows = df.withColumn("wrong", wrong).filter(F.size("wrong") > 0).select(*keys, number_strings(F.coalesce("lines", none)).alias("numbers"), "wrong")
+    rows = rows.select(*keys, "numbers", F.inline("wrong"))
     same_print = (digits(F.col("praw")) != "") & (digits(F.col("praw")) == digits(F.col("graw")))
     bucket = (
         F.when(F.col("gv").isNull(), "spurious")
@@ -29,15 +30,15 @@ def scalar_errors(df: DataFrame) -> DataFrame:
         .when(F.col("pv").isNull(), "missed")
         .otherwise("wrong_value")
     )
-    return rows.select("id", "field", bucket.alias("bucket"), F.col("gv").alias("gold"), F.col("pv").alias("pred"))
+    return rows.select(*keys, "field", bucket.alias("bucket"), F.col("gv").alias("gold"), F.col("pv").alias("pred"))
 
 
-def item_errors(df: DataFrame, check_names: bool = True) -> DataFrame:
-    """(id, side, item, bucket, name, line_total) of unmatched items. df: id, pred, gold, pairs, name_pairs, lines."""
+def item_errors(df: DataFrame, check_names: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, side, item, bucket, name, line_total) of unmatched items. df: keys, pred, gold, pairs, name_pairs, lines."""
     df = df.withColumns({"lines": F.coalesce("lines", F.array().cast("array<string>"))}).withColumn("numbers", number_strings(F.col("lines")))
     matched = lambda side, k, pairs="pairs": F.exists(pairs, lambda x: x[side] == k)
     partner = lambda j: F.try_element_at(F.filter("name_pairs", lambda x: x["j"] == j), F.lit(1))["i"]
-    gold = df.select("id", "pairs", "name_pairs", "lines", "numbers", F.posexplode(F.col("gold")["items"]).alias("item", "x")).filter(~matched("j", F.col("item")))
+    gold = df.select(*keys, "pairs", "name_pairs", "lines", "numbers", F.posexplode(F.col("gold")["items"]).alias("item", "x")).filter(~matched("j", F.col("item")))
     gold = gold.withColumn("partner", partner(F.col("item"))).withColumn("printed", amount_present(F.col("x")["line_total"], F.lit(None).cast("string"), F.col("numbers")))
     price_only = F.col("partner").isNotNull() & ~matched("i", F.col("partner"))
     # names are looked up in Python, and only where nothing else decides
@@ -45,9 +46,9 @@ def item_errors(df: DataFrame, check_names: bool = True) -> DataFrame:
     plain = plain.withColumn("bucket", F.when(~F.col("printed"), "item_ocr").otherwise("item_price_only"))
     seen = name_in_lines(norm_name(F.col("x")["name"]), F.transform("lines", norm_name)) if check_names else F.lit(True)
     lookup = lookup.withColumn("bucket", F.when(seen, "item_missed").otherwise("item_ocr"))
-    shown = lambda d, side: d.select("id", F.lit(side).alias("side"), F.col("item").cast("int").alias("item"), "bucket", F.col("x")["name"].alias("name"), F.col("x")["line_total"].alias("line_total"))
+    shown = lambda d, side: d.select(*keys, F.lit(side).alias("side"), F.col("item").cast("int").alias("item"), "bucket", F.col("x")["name"].alias("name"), F.col("x")["line_total"].alias("line_total"))
     used = F.transform(F.filter("name_pairs", lambda x: ~matched("j", x["j"])), lambda x: x["i"])
-    extra = df.select("id", "pairs", used.alias("used"), F.posexplode(F.col("pred")["items"]).alias("item", "x"))
+    extra = df.select(*keys, "pairs", used.alias("used"), F.posexplode(F.col("pred")["items"]).alias("item", "x"))
     extra = extra.filter(~matched("i", F.col("item")) & ~F.array_contains("used", F.col("item"))).withColumn("bucket", F.lit("item_extra"))
     return shown(plain, "gold").unionByName(shown(lookup, "gold")).unionByName(shown(extra, "pred"))
 
@@ -57,8 +58,6 @@ def bucket_report(errors: DataFrame, example: Column, most: int = 6) -> DataFram
     spark = errors.sparkSession
     order = spark.createDataFrame([(b, i) for i, b in enumerate(BUCKETS)], "bucket string, place int")
     counts = errors.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
-    from pyspark.sql import Window
-
     first = errors.select("bucket", example.alias("example")).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("example"))).filter(F.col("k") <= most)
     examples = first.groupBy("bucket").agg(F.array_sort(F.collect_list("example")).alias("examples"))
     none = F.array().cast("array<string>")

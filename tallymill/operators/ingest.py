@@ -73,14 +73,16 @@ def tree_record(tree: Column) -> Column:
 
     def item(e: Column) -> Column:
         amounts = F.array(*[amount_of(first_member(at(e, f"$.{f}"))) for f in ("price", "itemsubtotal", "unitprice")])
+        # what is printed decides, whether or not it parses
+        has_whole, has_unit = kind(at(e, "$.itemsubtotal")).isNotNull(), kind(first_member(at(e, "$.unitprice"))).isNotNull()
 
         def shaped(name: Column, a: Column) -> Column:
             price, whole, unit = (F.get(a, F.lit(k)) for k in range(3))
             return F.struct(
                 strip(F.coalesce(text_of(name), F.lit(""))).alias("name"),
                 quantity_of(at(e, "$.cnt")).alias("quantity"),
-                F.when(whole.isNotNull(), F.coalesce(unit, price)).otherwise(unit).alias("unit_price"),
-                F.coalesce(whole, price).alias("line_total"),
+                F.when(has_whole & ~has_unit, price).otherwise(unit).alias("unit_price"),
+                F.when(has_whole, whole).otherwise(price).alias("line_total"),
             )
 
         return let(first_member(at(e, "$.nm")), lambda name: F.when(kind(name).isNotNull(), let(amounts, lambda a: shaped(name, a))))
@@ -98,6 +100,16 @@ def tree_record(tree: Column) -> Column:
     return record(items, money, none, none)
 
 
+#: Where a labelled tree prints the scored fields.
+TREE_FIELDS = {"total": ("total", "total_price"), "subtotal": ("sub_total", "subtotal_price"), "tax": ("sub_total", "tax_price"), "service_charge": ("sub_total", "service_price")}
+
+
+def printed_fields(tree: Column) -> Column:
+    """field -> text of a labelled tree as it is printed; of a list the first element."""
+    texts = [text_of(first_member(at(first_member(at(tree, f"$.{block}")), f"$.{key}"))) for block, key in TREE_FIELDS.values()]
+    return F.map_from_arrays(F.array(*map(F.lit, TREE_FIELDS)), F.array(*texts))
+
+
 def object_record(v: Column) -> Column:
     """The record of a flat JSON object with the record's own field names; unknown fields do not count."""
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import money_equal
-from ..functions.names import lcs_length, norm_name
+from ..functions.names import lcs_length, name_similarity, norm_name
+from ..functions.text import characters
 from ..types import PAIR
 
 NAME_THRESHOLD, PRICE_TOL = 0.6, 0.5
@@ -62,3 +63,27 @@ def greedy(found: Column) -> Column:
         return F.when(clash, done).otherwise(F.concat(done, F.array(F.struct(c["i"].alias("i"), c["j"].alias("j"), c["sim"].alias("sim")).cast(PAIR))))
 
     return F.aggregate(ordered, none, take)
+
+
+def similar_names(names: DataFrame, least: float = NAME_THRESHOLD) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of different names (column name) with at least the similarity ``least``.
+
+    A common subsequence is no longer than the letters that two names share, the k-th a of one counted as the k-th a of the other. With
+    2 LCS >= least (m + n), the shorter name has at least r = least / (2 - least) of the longer one's letters, so a name of m letters
+    shares at least r m of its own with a similar one. Of these letters, ordered by how few names have them, the first m - r m + 1 must then
+    meet those of the other name: names are joined on these only, and by length.
+    """
+    r = least / (2 - least)
+    ready = names.select("name").filter("name IS NOT NULL").distinct().withColumn("n", norm_name(F.col("name")))
+    letters = F.transform(characters(F.col("n")), lambda ch, i: F.concat(ch, F.size(F.filter(characters(F.substring(F.col("n"), F.lit(1), i + 1)), lambda x: x == ch)).cast("string")))
+    keyed = ready.withColumn("letter", F.explode(F.when(F.col("n") == "", F.array(F.lit(""))).otherwise(letters)))
+    often = keyed.groupBy("letter").agg(F.count(F.lit(1)).alias("names"))  # as many rows as there are letters and repeats
+    ranked = keyed.join(F.broadcast(often), "letter").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("names", "letter"))).alias("xs"))
+    size = F.length("n")
+    first = F.greatest(F.lit(1), size - F.ceil(size * r - 1e-9).cast("int") + 1)
+    head = ranked.select("name", "n", F.explode(F.slice("xs", F.lit(1), first)).alias("x")).select("name", "n", F.col("x.letter").alias("letter"))
+    a, b = (head.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), "letter") for x in ("a", "b"))
+    la, lb = F.length("na"), F.length("nb")
+    near = (F.col("a") < F.col("b")) & (la >= lb * r - 1e-9) & (lb >= la * r - 1e-9)
+    pairs = a.join(b, "letter").filter(near).select("a", "b", "na", "nb").distinct()
+    return pairs.select("a", "b", name_similarity(F.col("na"), F.col("nb"), least).alias("sim")).filter(F.col("sim") >= least)

@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import pct, share
+from ..functions.stats import beside, percentiles, share
+
+
+POINTS = {"p50": 0.5, "p95": 0.95}
 
 
 def run_stats(preds: DataFrame, *by: str) -> DataFrame:
     """Stage percentiles, throughput and tokens of (t_ocr, t_llm, prompt_tokens, completion_tokens, done_reason). Absent stage times are 0 seconds."""
     ocr, llm = F.coalesce("t_ocr", F.lit(0.0)), F.coalesce("t_llm", F.lit(0.0))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, c in (("ocr", ocr), ("llm", llm), ("total", ocr + llm)):
-        aggs += [pct(c, 0.5).alias(f"{name}_p50"), pct(c, 0.95).alias(f"{name}_p95")]
-    aggs += [
+    means = preds.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
         F.try_divide(F.lit(60.0), F.avg(ocr + llm)).alias("per_minute"),
         F.avg("prompt_tokens").alias("prompt_tokens_mean"),
         F.avg("completion_tokens").alias("completion_tokens_mean"),
         F.count_if(F.col("done_reason") == "length").alias("truncated"),
-    ]
-    return preds.groupBy(*by).agg(*aggs)
+    )
+    times = percentiles(preds, by, {"ocr": ocr, "llm": llm, "total": ocr + llm}, POINTS)
+    return beside(means, times, by, "left") if by else means.crossJoin(times)  # one row each
 
 
 def group_report(traces: DataFrame, by: tuple[str, ...], measures: tuple[str, ...]) -> DataFrame:
     """Median and 95th percentile of each measure by group; rows with a null key do not count."""
     for k in by:
         traces = traces.filter(F.col(k).isNotNull())
-    return traces.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[pct(F.col(m), q).alias(f"{m}_{tag}") for m in measures for q, tag in ((0.5, "p50"), (0.95, "p95"))])
+    counts = traces.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return beside(counts, percentiles(traces, by, {m: F.col(m) for m in measures}, POINTS), by)
 
 
 def mean_tokens(traces: DataFrame, by: tuple[str, ...], measures: tuple[str, ...]) -> DataFrame:
@@ -39,10 +42,25 @@ def mean_tokens(traces: DataFrame, by: tuple[str, ...], measures: tuple[str, ...
 
 def headline(traces: DataFrame) -> DataFrame:
     """Median, 95th percentile and share of approvals over all traces."""
-    return traces.agg(F.count(F.lit(1)).alias("n"), pct(F.col("t_total"), 0.5).alias("p50"), pct(F.col("t_total"), 0.95).alias("p95"), (100.0 * share(F.col("decision") == "auto_approve")).alias("auto_approve_pct"))
+    counts = traces.agg(F.count(F.lit(1)).alias("n"), (100.0 * share(F.col("decision") == "auto_approve")).alias("auto_approve_pct"))
+    times = percentiles(traces, (), {"t": F.col("t_total")}, POINTS).select(F.col("t_p50").alias("p50"), F.col("t_p95").alias("p95"))
+    return counts.crossJoin(times).select("n", "p50", "p95", "auto_approve_pct")  # one row each
 
 
 def latest(traces: DataFrame, n: int = 50, source: str | None = None) -> DataFrame:
-    """The newest n traces by id, of one source or of all."""
+    """The newest n traces, of one source or of all: by time where they have one, then by id."""
     rows = traces if source in (None, "all") else traces.filter(F.col("source") == source)
-    return rows.orderBy(F.desc("id")).limit(n)
+    return rows.orderBy(*[F.desc(c) for c in ("ts", "id") if c in rows.columns]).limit(n)
+
+
+def errors_only(scores: DataFrame) -> DataFrame:
+    return scores.filter(~F.col("exact_match"))
+
+
+def look_up(rows: DataFrame, id: object, key: str = "id") -> DataFrame:
+    """The row of one id, at most one."""
+    return rows.filter(F.col(key) == id).limit(1)
+
+
+def systems_named(rows: DataFrame, prefix: str, system: str = "system") -> DataFrame:
+    return rows.filter(F.col(system).startswith(prefix))

@@ -21,7 +21,7 @@ def log_traces(rows: DataFrame, path: str) -> None:
         if f.name == "ts":
             c = F.unix_micros(F.current_timestamp()) / 1e6
         elif f.name == "id":
-            c = F.monotonically_increasing_id() + F.unix_micros(F.current_timestamp())
+            c = F.xxhash64(F.expr("uuid()")).bitwiseAND(F.lit((1 << 63) - 1))  # unique; newest first is by ts, then id
         elif f.name not in rows.columns:
             c = F.lit(None)
         elif f.name in JSON_COLUMNS and rows.schema[f.name].dataType.typeName() != "string":
@@ -52,6 +52,11 @@ def by_status(reviews: DataFrame) -> DataFrame:
     return reviews.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "approved", "rejected")], F.count_if(F.col("status") != "pending").alias("done"))
 
 
+def listed(reviews: DataFrame, status: str | None = None) -> DataFrame:
+    """Reviews in the order they were added, all or those with one status."""
+    return (reviews if status is None else reviews.filter(F.col("status") == status)).orderBy("seq_created", "review_id")
+
+
 def not_queued(candidates: DataFrame, reviews: DataFrame, key: str = "receipt") -> DataFrame:
     return candidates.join(reviews.select(key), key, "left_anti")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions.amounts import money_equal
 from ..functions.stats import precision_recall_f1, ratio, share
 from ..types import SCORED_FIELDS
 from .match import NAME_THRESHOLD, PRICE_TOL, candidates, greedy, priced
+from .validate import with_settings
 
 
 def count(arr: Column) -> Column:
@@ -53,6 +55,11 @@ def with_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("exact_match", every)
 
 
+def evaluate(df: DataFrame, settings: Settings) -> DataFrame:
+    """Validation, matching and scores of rows (pred, gold, error) by ``settings``."""
+    return with_scores(with_matches(with_settings(df, settings, "pred", "error"), settings.item_name_threshold))
+
+
 def summarise(scores: DataFrame, *by: str) -> DataFrame:
     """One metrics row for each group; no rows, no metrics."""
     sums = lambda c: F.sum(c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amounts import format_money
+
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the last by ``order``; an aggregate, so hot keys are combined before the shuffle."""
@@ -58,6 +60,36 @@ def covering(runs: DataFrame, ids: DataFrame, group: str = "system", key: str =
     return runs.select(group, key).distinct().join(ids, key).groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), "n").select(group)
 
 
+def on_subset(runs: DataFrame, full: int, group: str = "system", key: str = "id") -> DataFrame:
+    """The runs' rows on the ids that every partial run covers, for the runs that cover them all."""
+    ids = common_subset(runs, full, group, key)
+    return runs.join(ids, key, "left_semi").join(covering(runs, ids, group, key), group, "left_semi")
+
+
+def record_items(records: DataFrame, record: str = "receipt", key: str = "id") -> DataFrame:
+    """(key, place, name, quantity, unit_price, line_total): a row for each item, amounts as shown."""
+    rows = records.select(key, F.posexplode(F.col(record)["items"]).alias("place", "x"))
+    return rows.select(key, "place", "x.name", "x.quantity", *[format_money(F.col("x")[c]).alias(c) for c in ("unit_price", "line_total")])
+
+
+def record_scalars(records: DataFrame, record: str = "receipt", key: str = "id") -> DataFrame:
+    """(key, field, value): a row for each scalar field in fixed order, amounts as shown, absent values as a dash."""
+    r, money = F.col(record), ("subtotal", "discount", "tax", "service_charge", "total")
+    shown = [(f, format_money(r[f]) if f in money else F.coalesce(r[f], F.lit("-"))) for f in ("store_name", *money, "currency")]
+    return records.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in shown])))
+
+
+def manifest(rows: DataFrame, split: str = "split") -> DataFrame:
+    """(split, n): rows of each split."""
+    return rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_stem(split: Column, system: Column, model: Column, version: Column) -> Column:
+    """Name of a prediction file: split__system, and for model runs __model__prompt with the model's signs made safe."""
+    safe = F.replace(F.replace(F.coalesce(model, F.lit("")), F.lit(":"), F.lit("-")), F.lit("/"), F.lit("_"))
+    return F.when(system == "regex", F.concat_ws("__", split, system)).otherwise(F.concat_ws("__", split, system, safe, version))
+
+
 def to_long(df: DataFrame, ids: list[str], values: list[str], names: dict[str, str] | None = None) -> DataFrame:
     """Wide metrics to (metric, value), with display names."""
     long = df.unpivot(ids, values, "metric", "value")

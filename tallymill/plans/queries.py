@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import load
 from ..functions import amounts as A
 from ..functions import names as N
 from ..functions.stats import precision_recall_f1, share
-from ..operators import errors, extract, ingest, layout, monitor, review, score, sets, validate
+from ..operators import errors, extract, ingest, layout, match, monitor, review, score, sets, validate
 from ..sources.files import read_table
 from ..types import SCORED_FIELDS
 from . import receipts as R
@@ -98,7 +99,7 @@ ex AS (SELECT *, total_correct AND subtotal_correct AND tax_correct AND service_
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.with_scores(score.with_matches(validate.with_validation(R.predictions(spark, sf_dir), "pred", "error")))
+    return score.evaluate(R.predictions(spark, sf_dir), load())
 
 
 def rounded(df: DataFrame, *keep: str, places: int = 9) -> DataFrame:
@@ -123,6 +124,27 @@ def rule_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("system", F.col("name").alias("rule"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {PRED}, rs AS (SELECT system, k AS id, CASE WHEN m = 6 THEN 'schema invalid' ELSE concat_ws(', ', CASE WHEN rule_total_present = 'fail' THEN 'total_present failed' END, CASE WHEN rule_items_present = 'fail' THEN 'items_present failed' END,
+CASE WHEN rule_items_sum = 'fail' THEN 'items_sum failed' END, CASE WHEN rule_total_check = 'fail' THEN 'total_check failed' END, CASE WHEN rule_line_math = 'fail' THEN 'line_math failed' END) END AS reasons,
+CASE WHEN m <> 6 THEN CASE WHEN n_items = 0 THEN 'no item has qty, unit price and line total' WHEN bad > 0 THEN bad || '/' || n_items || ' items fail' ELSE n_items || ' items checked' END END AS line_detail,
+CASE WHEN m <> 6 THEN CASE WHEN sub IS NULL OR total IS NULL THEN 'needs subtotal and total' WHEN abs(sub - disc0 + tax0 + svc0 - total) <= greatest(100, 0.005 * greatest(abs(sub - disc0 + tax0 + svc0), abs(total))) THEN format('{{:,.2f}}', (sub - disc0 + tax0 + svc0) / CAST(100 AS DOUBLE)) || ' == total'
+  WHEN total_ok THEN 'tax included in prices' ELSE 'subtotal-disc+tax+svc = ' || format('{{:,.2f}}', (sub - disc0 + tax0 + svc0) / CAST(100 AS DOUBLE)) || ' vs total ' || format('{{:,.2f}}', total / CAST(100 AS DOUBLE)) END END AS total_detail FROM va)
+SELECT * FROM rs"""
+)
+def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of a review, and the details of two rules (without the names of failing items)."""
+    rows = validate.with_validation(R.predictions(spark, sf_dir), "pred", "error")
+    detail = lambda name: F.get(F.filter("rules", lambda x: x["name"] == name), F.lit(0))["detail"]
+    return rows.select("system", "id", F.array_join("reasons", ", ").alias("reasons"), F.regexp_replace(detail("line_math"), ": .*", "").alias("line_detail"), detail("total_check").alias("total_detail"))
+
+
+@query(f"WITH {MATCH} SELECT system, k AS id, exact_match FROM ex WHERE NOT exact_match AND starts_with(system, 'mod')")
+def wrong_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the systems with one prefix that are not exactly right."""
+    return monitor.errors_only(monitor.systems_named(scored(spark, sf_dir), "mod")).select("system", "id", "exact_match")
+
+
 @query(f"WITH {PRED} SELECT system, confidence, count(*) AS n FROM va GROUP BY ALL")
 def confidence_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = validate.with_validation(R.predictions(spark, sf_dir), "pred", "error")
@@ -212,13 +234,9 @@ def labels_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SIMS} SELECT DISTINCT a.p_name AS a, b.p_name AS b, round(sim, 9) AS sim FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b JOIN sm ON true WHERE sm.pa = a.p_name AND sm.gb = b.p_name AND a.p_name < b.p_name AND sim >= 0.6")
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs among the distinct part names; names are met through their shared words, since similar names share letters enough to share one."""
-    names = read_table(spark, sf_dir, "part").select("p_name").distinct().withColumn("n", N.norm_name(F.col("p_name")))
-    grams = names.select("p_name", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.substring("n", i, F.lit(1))))).alias("g"))
-    a, b = (grams.select(F.col("p_name").alias(x), F.col("n").alias(f"n{x}"), "g") for x in ("a", "b"))
-    pairs = a.join(b, "g").filter("a < b").select("a", "b", "na", "nb").distinct()
-    sim = N.name_similarity(F.col("na"), F.col("nb"), 0.6)
-    return pairs.withColumn("sim", F.round(sim, 9)).filter("sim >= 0.6").select("a", "b", "sim")
+    """Similar pairs among the distinct part names."""
+    pairs = match.similar_names(read_table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), 0.6)
+    return pairs.withColumn("sim", F.round("sim", 9))
 
 
 # ---------------------------------------------------------------- joins and sets
@@ -236,13 +254,57 @@ def partial_runs(gold: DataFrame) -> DataFrame:
     return some("rules", F.lit(True)).unionByName(some("model", F.col("id") % 7 != 0)).unionByName(some("vision", F.col("id") % 3 == 0))
 
 
-@query("SELECT * FROM (VALUES ('rules'), ('vision')) t(system)")
+RUNS = "rn AS (SELECT 'rules' AS system, k FROM gold UNION ALL SELECT 'model', k FROM gold WHERE k % 7 <> 0 UNION ALL SELECT 'vision', k FROM gold WHERE k % 3 = 0)"
+
+
+@query(f"WITH {LINES}, {RUNS}, ids AS (SELECT k FROM gold WHERE k % 3 = 0) SELECT system FROM rn JOIN ids USING (k) GROUP BY system HAVING count(*) = (SELECT count(*) FROM ids)")
 def subset_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that cover every third id."""
     gold = R.lines_of(spark, sf_dir).select(F.col("k").alias("id")).distinct()
     return sets.covering(partial_runs(gold), gold.filter("id % 3 = 0"))
 
 
+@query(
+    f"""WITH {MATCH}, cov AS (SELECT * FROM ex WHERE system = 'rules' OR k % 7 <> 0),
+part AS (SELECT system FROM cov GROUP BY system HAVING count(*) < (SELECT count(*) FROM gold)), ids AS (SELECT k FROM cov JOIN part USING (system) GROUP BY k HAVING count(*) = (SELECT count(*) FROM part)),
+whole AS (SELECT system FROM cov JOIN ids USING (k) GROUP BY system HAVING count(*) = (SELECT count(*) FROM ids))
+SELECT system, count(*) AS n, round(avg(CAST(exact_match AS INT)), 9) AS exact_match_rate, round(avg(CAST(total_correct AS INT)), 9) AS total_acc, {"round(" + "2 * sum(tp) / CAST(sum(n_items) + sum(n) AS DOUBLE), 9)"} AS item_f1 FROM cov JOIN ids USING (k) JOIN whole USING (system) GROUP BY system"""
+)
+def subset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs on the records that the partial run (one in seven records is missing) covers."""
+    rows = scored(spark, sf_dir).filter((F.col("system") == "rules") | (F.col("id") % 7 != 0))
+    whole = R.lines_of(spark, sf_dir).select("k").distinct().count()
+    found = score.summarise(sets.on_subset(rows, whole), "system")
+    return rounded(found.select("system", "n", "exact_match_rate", "total_acc", "item_f1"), "system", "n")
+
+
+@query(
+    f"""WITH {LINES}, m AS (SELECT *, 'store ' || (k % 50) AS store FROM gold), f AS (SELECT k AS id, 'store_name' AS field, store AS value FROM m UNION ALL SELECT k, 'currency', CASE WHEN k % 2 = 0 THEN 'IDR' ELSE '-' END FROM m
+  UNION ALL SELECT k, field, CASE WHEN c IS NULL THEN '-' ELSE regexp_replace(format('{{:,.2f}}', c / CAST(100 AS DOUBLE)), '\\.?0+$', '') END FROM (SELECT k, 'subtotal' AS field, sub AS c FROM m UNION ALL SELECT k, 'discount', disc FROM m UNION ALL SELECT k, 'tax', tax FROM m UNION ALL SELECT k, 'service_charge', svc FROM m UNION ALL SELECT k, 'total', total FROM m)) SELECT * FROM f"""
+)
+def record_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.record_scalars(R.gold_records(spark, sf_dir), "gold")
+
+
+@query(f"""WITH {LINES}, sh AS (SELECT * FROM ln) SELECT k AS id, CAST(j AS INT) AS place, name, qty AS quantity, regexp_replace(format('{{:,.2f}}', unit / CAST(100 AS DOUBLE)), '\\.?0+$', '') AS unit_price, regexp_replace(format('{{:,.2f}}', cents / CAST(100 AS DOUBLE)), '\\.?0+$', '') AS line_total FROM sh""")
+def record_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.record_items(R.gold_records(spark, sf_dir), "gold")
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'validation' ELSE o_orderstatus END AS split, count(*) AS n FROM orders GROUP BY 1")
+def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each split; finished orders stand for dev, which names the validation split."""
+    o = read_table(spark, sf_dir, "orders")
+    return sets.manifest(o.select(sets.split_alias(F.when(F.col("o_orderstatus") == "F", "dev").otherwise(F.col("o_orderstatus"))).alias("split")))
+
+
+@query("SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'test__regex' ELSE 'test__llm__' || replace(replace('org/' || c_mktsegment || ':7b', ':', '-'), '/', '_') || '__v' || (c_nationkey % 3) END AS stem FROM customer")
+def run_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = read_table(spark, sf_dir, "customer"), F.col("c_nationkey")
+    model = F.concat(F.lit("org/"), "c_mktsegment", F.lit(":7b"))
+    return c.select(sets.run_stem(F.lit("test"), F.when(n % 2 == 0, "regex").otherwise("llm"), model, F.concat(F.lit("v"), (n % 3).cast("string"))).alias("stem")).distinct()
+
+
 @query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 11 <> 0)")
 def todo_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders not done yet; every 11th of the even ones failed and is done again."""
@@ -367,6 +429,24 @@ def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("n").cast("long").alias("n_numbers"), F.md5(F.array_join(F.sort_array("n"), ",").cast("binary")).alias("digest"))
 
 
+@query(f"""WITH {LINES} SELECT k AS id, CAST(2 * n + 2 + CASE WHEN disc IS NULL THEN 0 ELSE 1 END + CASE WHEN svc IS NULL THEN 0 ELSE 1 END + CASE WHEN tax IS NULL THEN 0 ELSE 1 END + CASE WHEN k % 13 <> 0 THEN 1 ELSE 0 END AS INT) AS n_amounts,
+round((k % 50) + q + (2 * sub + coalesce(disc, 0) + coalesce(svc, 0) + coalesce(tax, 0) + CASE WHEN k % 13 <> 0 THEN total ELSE 0 END) / CAST(100 AS DOUBLE), 2) AS total FROM gold JOIN (SELECT k, sum(CAST(qty AS INT)) AS q FROM ln GROUP BY k) USING (k)""")
+def amounts_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All amounts on the printed lines of a record, in full-width digits on every other record."""
+    rows = R.printed_lines(R.gold_records(spark, sf_dir))
+    line = lambda x: F.when(F.col("id") % 2 == 0, F.translate(x, "0123456789.,", "０１２３４５６７８９．，")).otherwise(x)
+    found = rows.select("id", F.flatten(F.transform("lines", lambda x: A.amounts_in(line(x)))).alias("a"))
+    return found.select("id", F.size("a").alias("n_amounts"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+
+
+@query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS amount, 'ABC 12 KG' AS name FROM orders")
+def wide_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and names in full-width characters."""
+    o = read_table(spark, sf_dir, "orders")
+    wide = F.translate(F.format_number(F.round("o_totalprice", 2), 2), "0123456789.,-", "０１２３４５６７８９．，－")
+    return o.select(F.col("o_orderkey").alias("id"), A.parse_amount(F.concat(F.lit("￥ "), wide)).alias("amount"), N.norm_name(F.lit("ａｂｃ－１２ｋｇ")).alias("name")).withColumn("name", F.regexp_replace("name", "12KG", "12 KG"))
+
+
 @query()
 def amounts_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts on every line of every document (the pattern looks ahead, which the oracle's regular expressions cannot)."""
@@ -389,7 +469,11 @@ def extract_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size(r["items"]).alias("n_items"), *[r[f].alias(f) for f in ("subtotal", "discount", "tax", "service_charge", "total")])
 
 
-@query()
+@query(
+    f"""WITH {LINES}, x AS (SELECT *, sub + 100 * (k % 50) AS s FROM gold),
+y AS (SELECT k, k % 13 = 0 AS lacks, abs(s - sub) <= greatest(100, 0.005 * greatest(abs(s), abs(sub))) OR (coalesce(tax, 0) <> 0 AND abs(s - sub - tax) <= greatest(100, 0.005 * greatest(abs(s), abs(sub + tax)))) AS ok FROM x)
+SELECT CASE WHEN ok AND NOT lacks THEN 'auto_approve' ELSE 'review' END AS decision, CASE WHEN NOT lacks THEN 'IDR' END AS currency, CAST(100 - CASE WHEN lacks THEN 50 ELSE 0 END - CASE WHEN ok THEN 0 ELSE 40 END - CASE WHEN lacks AND NOT ok THEN 5 ELSE 0 END AS DOUBLE) / 100 AS confidence, count(*) AS n FROM y GROUP BY ALL"""
+)
 def extract_and_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: lines, record, currency, validation, decision."""
     rows = extract.with_extraction(R.printed_lines(R.gold_records(spark, sf_dir)), out="pred")
@@ -435,7 +519,8 @@ def tree_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_table(spark, sf_dir)
 
 
-def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, raw: every gold record as a labelled tree."""
     rows = R.gold_records(spark, sf_dir)
     k, quote = F.col("id"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     entry = lambda x: F.concat(F.lit('{"nm":'), quote(x["name"]), F.lit(',"cnt":"x'), x["quantity"].cast("int").cast("string"), F.lit('","price":'), quote(R.grouped(F.round(x["line_total"] * 100).cast("long"))), F.lit(',"sub":{"nm":"extra"}}'))
@@ -449,7 +534,11 @@ def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub = F.concat(F.lit('{"subtotal_price":["none",'), quote(R.grouped(F.col("sub"))), F.lit("]"), F.coalesce(F.concat(F.lit(',"discount_price":"-'), R.grouped(F.col("disc")), F.lit('"')), F.lit("")), F.lit("}"))
     total = F.concat(F.lit('{"total_price":'), F.when(k % 2 == 0, R.money(F.col("total")).cast("decimal(20,2)").cast("string")).otherwise(quote(F.concat(F.lit("Rp "), R.grouped(F.col("total"))))), F.lit("}"))
     raw = F.concat(F.lit('{"menu":'), menu, F.lit(',"sub_total":'), F.when(k % 3 == 1, F.concat(F.lit("["), sub, F.lit("]"))).otherwise(sub), F.lit(',"total":'), total, F.lit("}"))
-    gold = ingest.with_tree_record(rows.select("id", raw.alias("raw"))).select("id", "gold")
+    return rows.select("id", raw.alias("raw"))
+
+
+def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = ingest.with_tree_record(tree_raw(spark, sf_dir)).select("id", "gold")
     g = F.col("gold")
     return gold.select("id", F.size(g["items"]).alias("n_items"), F.round(validate.total_of(validate.line_totals(g["items"])), 2).alias("items_total"), g["subtotal"].alias("subtotal"), g["discount"].alias("discount"), g["total"].alias("total"))
 
@@ -482,7 +571,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_errors_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.printed_lines(R.predictions(spark, sf_dir).filter("system = 'rules'"))
+    rows = R.printed_lines(R.predictions(spark, sf_dir))
     printed = lambda c: F.when(F.col(c).isNotNull(), R.grouped(F.col(c)))
     fields = {"total": "total", "subtotal": "sub", "tax": "tax", "service_charge": "svc"}
     raw_gold = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[printed(c) for c in fields.values()]))
@@ -490,38 +579,69 @@ def with_errors_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"raw_gold": raw_gold, "raw_pred": raw_pred})
 
 
-SCALAR = f"""WITH {PRED}, nums AS (SELECT k, CAST(cents AS VARCHAR) AS n FROM ln UNION ALL SELECT k, CAST(CAST(qty AS INT) AS VARCHAR) FROM ln UNION ALL SELECT k, CAST(k % 50 AS VARCHAR) FROM gold
+NUMBERS = """nums AS (SELECT k, CAST(cents AS VARCHAR) AS n FROM ln UNION ALL SELECT k, CAST(CAST(qty AS INT) AS VARCHAR) FROM ln UNION ALL SELECT k, CAST(k % 50 AS VARCHAR) FROM gold
   UNION ALL SELECT k, CAST(sub AS VARCHAR) FROM gold UNION ALL SELECT k, CAST(disc AS VARCHAR) FROM gold WHERE disc IS NOT NULL UNION ALL SELECT k, CAST(svc AS VARCHAR) FROM gold WHERE svc IS NOT NULL
   UNION ALL SELECT k, CAST(tax AS VARCHAR) FROM gold WHERE tax IS NOT NULL UNION ALL SELECT k, CAST(total AS VARCHAR) FROM gold WHERE k % 13 <> 0),
-nl AS (SELECT k, list(DISTINCT x) AS ns FROM (SELECT k, n AS x FROM nums UNION ALL SELECT k, CASE WHEN length(n) > 2 AND n LIKE '%00' THEN left(n, length(n) - 2) ELSE n END FROM nums) GROUP BY k),
-fl AS (SELECT k, 'total' AS field, total AS p, gtotal AS g FROM pr WHERE system = 'rules' UNION ALL SELECT k, 'subtotal', sub, gsub FROM pr WHERE system = 'rules' UNION ALL SELECT k, 'tax', tax, gtax FROM pr WHERE system = 'rules' UNION ALL SELECT k, 'service_charge', svc, gsvc FROM pr WHERE system = 'rules'),
+nl AS (SELECT k, list(DISTINCT x) AS ns FROM (SELECT k, n AS x FROM nums UNION ALL SELECT k, CASE WHEN length(n) > 2 AND n LIKE '%00' THEN left(n, length(n) - 2) ELSE n END FROM nums) GROUP BY k)"""
+
+SCALAR = f"""WITH {PRED}, {NUMBERS},
+fl AS (SELECT system, k, 'total' AS field, total AS p, gtotal AS g FROM pr UNION ALL SELECT system, k, 'subtotal', sub, gsub FROM pr UNION ALL SELECT system, k, 'tax', tax, gtax FROM pr UNION ALL SELECT system, k, 'service_charge', svc, gsvc FROM pr),
 er AS (SELECT fl.*, list_contains(ns, CAST(g AS VARCHAR)) OR list_contains(ns, CAST(CAST(round_even(g / CAST(100 AS DOUBLE), 0) AS BIGINT) AS VARCHAR)) AS there FROM fl JOIN nl USING (k) WHERE NOT (p IS NOT DISTINCT FROM g OR coalesce(abs(p - g) <= 50, false))),
 bk AS (SELECT *, CASE WHEN g IS NULL THEN 'spurious' WHEN NOT there THEN 'ocr' WHEN p IS NULL THEN 'missed' ELSE 'wrong_value' END AS bucket FROM er)"""
 
 
-@query(SCALAR + " SELECT k AS id, field, bucket, g / CAST(100 AS DOUBLE) AS gold, p / CAST(100 AS DOUBLE) AS pred FROM bk")
+@query(SCALAR + " SELECT system, k AS id, field, bucket, g / CAST(100 AS DOUBLE) AS gold, p / CAST(100 AS DOUBLE) AS pred FROM bk")
 def error_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.scalar_errors(with_errors_input(spark, sf_dir))
+    return errors.scalar_errors(with_errors_input(spark, sf_dir), ("system", "id"))
 
 
 @query(
     SCALAR
     + """, ord AS (SELECT * FROM (VALUES (0, 'ocr'), (1, 'missed'), (2, 'wrong_value'), (3, 'spurious'), (4, 'normalisation'), (5, 'item_ocr'), (6, 'item_missed'), (7, 'item_price_only'), (8, 'item_extra')) t(place, bucket))
-SELECT place, ord.bucket, count(bk.k) AS count, coalesce(string_agg(lpad(CAST(bk.k AS VARCHAR), 12, '0') || ' ' || field, ',' ORDER BY lpad(CAST(bk.k AS VARCHAR), 12, '0') || ' ' || field) FILTER (rk <= 6), '') AS examples
-FROM ord LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY lpad(CAST(k AS VARCHAR), 12, '0') || ' ' || field) AS rk FROM bk) bk ON bk.bucket = ord.bucket GROUP BY place, ord.bucket"""
+SELECT place, ord.bucket, count(bk.k) AS count, coalesce(string_agg(system || lpad(CAST(bk.k AS VARCHAR), 12, '0') || ' ' || field, ',' ORDER BY system || lpad(CAST(bk.k AS VARCHAR), 12, '0') || ' ' || field) FILTER (rk <= 6), '') AS examples
+FROM ord LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY system || lpad(CAST(k AS VARCHAR), 12, '0') || ' ' || field) AS rk FROM bk) bk ON bk.bucket = ord.bucket GROUP BY place, ord.bucket"""
 )
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket counts with the first six examples (the six are the feature)."""
     found = error_scalars(spark, sf_dir)
-    report = errors.bucket_report(found, F.concat(F.lpad(F.col("id").cast("string"), 12, "0"), F.lit(" "), "field"))
+    report = errors.bucket_report(found, F.concat("system", F.lpad(F.col("id").cast("string"), 12, "0"), F.lit(" "), "field"))
     return report.select("place", "bucket", "count", F.array_join("examples", ",").alias("examples"))
 
 
-@query()
+@query(
+    f"""WITH {MATCH}, {NUMBERS}, mg AS (SELECT pr.system, pr.k, coalesce(price.p, []) AS pp, coalesce(price.g, []) AS pg, coalesce(named.p, []) AS np, coalesce(named.g, []) AS ng FROM pr LEFT JOIN gr USING (system, k)),
+go AS (SELECT system, mg.k, j AS item, CASE WHEN NOT list_contains(ns, CAST(CAST(round_even(cents / CAST(100 AS DOUBLE), 0) AS BIGINT) AS VARCHAR)) THEN 'item_ocr'
+        WHEN list_contains(ng, j) AND NOT list_contains(pp, np[list_position(ng, j)]) THEN 'item_price_only' ELSE 'item_missed' END AS bucket FROM mg JOIN ln ON mg.k = ln.k JOIN nl ON nl.k = ln.k WHERE NOT list_contains(pg, j)),
+po AS (SELECT pi.system, pi.k, pi.i AS item FROM pi JOIN mg USING (system, k) WHERE NOT list_contains(pp, pi.i) AND NOT (list_contains(np, pi.i) AND NOT list_contains(pg, ng[list_position(np, pi.i)])))
+SELECT system, k AS id, 'gold' AS side, CAST(item AS INT) AS item, bucket FROM go UNION ALL SELECT system, k, 'pred', CAST(item AS INT), 'item_extra' FROM po"""
+)
 def error_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched items by cause (best-window name search in Python only where nothing else decides)."""
     rows = score.with_matches(with_errors_input(spark, sf_dir))
-    return errors.item_errors(rows).groupBy("bucket", "side").agg(F.count(F.lit(1)).alias("n"))
+    return errors.item_errors(rows, keys=("system", "id")).select("system", "id", "side", "item", "bucket")
+
+
+@query(
+    f"""WITH {LINES}, g AS (SELECT *, (sub // 100) AS a, lpad(CAST(sub % 100 AS VARCHAR), 2, '0') AS b FROM gold)
+SELECT k AS id, 'none' AS subtotal, CASE WHEN k % 2 = 1 THEN 'Rp ' || format('{{:,}}', total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') END AS total, CAST(NULL AS VARCHAR) AS tax FROM g"""
+)
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored fields as the labelled trees print them: of a list the first element; numbers are left out of the comparison."""
+    found = tree_raw(spark, sf_dir).select("id", ingest.printed_fields(F.try_parse_json("raw")).alias("m"))
+    return found.select("id", F.col("m")["subtotal"].alias("subtotal"), F.when(F.col("id") % 2 == 1, F.col("m")["total"]).alias("total"), F.col("m")["tax"].alias("tax"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 'normalisation' AS bucket FROM lineitem WHERE l_linenumber = 1""")
+def error_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed digits agree, and the parse differs: a decimal point read as a thousands separator."""
+    li = read_table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
+    whole, none = cents * 10 + 1, F.lit(None).cast("double")  # three decimals: 1234.561 is printed, 1234561 read
+    text = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    rec = lambda v: F.struct(v.alias("total"), *[none.alias(f) for f in ("subtotal", "tax", "service_charge")])
+    rows = li.withColumns({"gold": rec(whole / 1000.0), "pred": rec(whole.cast("double")), "raw_gold": F.create_map(F.lit("total"), text), "raw_pred": F.create_map(F.lit("total"), text), "lines": F.array(text)})
+    keys = tuple(li.columns)
+    return errors.scalar_errors(rows, keys).select(*keys, "bucket")
 
 
 # ---------------------------------------------------------------- monitoring and reviews
@@ -621,11 +741,18 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.by_status(review.state(review_log(spark, sf_dir)))
 
 
-@query(f"WITH {PRED} SELECT va.system, va.decision, count(*) AS n FROM va WHERE m = 8 GROUP BY ALL")
+@query(f"WITH {REVIEWS} SELECT row_number() OVER (ORDER BY seq_created) AS place, review_id FROM rv WHERE status = 'approved'")
+def reviews_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of one status in the order they were added."""
+    rows = review.listed(review.state(review_log(spark, sf_dir)), "approved").select("review_id", "seq_created")
+    return sets.with_rank(rows.withColumn("all", F.lit(0)), "all", F.col("seq_created")).select(F.col("rank").cast("long").alias("place"), "review_id")
+
+
+@query(f"WITH {PRED} SELECT va.system, va.decision, count(*) AS n FROM va GROUP BY ALL")
 def review_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with an extra item, checked again after an edit that adds a nameless item (which does not count)."""
-    rows = R.predictions(spark, sf_dir).filter("m = 8")
-    blank = F.array(F.col("pred")["items"][0].withField("name", F.lit(" ")))
+    """All records, checked again after an edit that adds a nameless item (which does not count)."""
+    rows = R.predictions(spark, sf_dir)
+    blank = F.array(F.get(F.col("pred")["items"], F.lit(0)).withField("name", F.lit(" ")))
     edited = rows.withColumn("receipt", F.col("pred").withField("items", F.concat(F.col("pred")["items"], blank)))
     return review.corrected(edited).groupBy("system", "decision").agg(F.count(F.lit(1)).alias("n"))
 

@@ -92,10 +92,10 @@ def change(gold: Column, m: Column) -> Column:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, id, m, pred, error, gold and the gold cents."""
-    systems = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.lit(o).alias("shift")) for s, o in SYSTEMS.items()]))
-    rows = gold_records(spark, sf_dir).withColumn("s", systems).withColumn("m", ((F.col("id") + F.col("s.shift")) % 10).cast("int"))
-    rows = rows.withColumns({"system": F.col("s.system"), "pred": change(F.col("gold"), F.col("m")), "error": F.when(F.col("m") == 6, "json: malformed")})
-    return rows.drop("s")
+    rows = gold_records(spark, sf_dir).withColumn("system", F.explode(F.array(*map(F.lit, SYSTEMS))))
+    shift = F.coalesce(*[F.when(F.col("system") == s, F.lit(o)) for s, o in SYSTEMS.items()])
+    rows = rows.withColumn("m", ((F.col("id") + shift) % 10).cast("int"))
+    return rows.withColumns({"pred": change(F.col("gold"), F.col("m")), "error": F.when(F.col("m") == 6, "json: malformed")})
 
 
 def grouped(c: Column) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill.functions import stats
 from tallymill.operators import monitor, review, sets
 from tallymill.sources import files
 from tallymill.streaming import monitor as stream
@@ -102,3 +103,74 @@ def test_stream(spark, tmp_path):
     q2.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert [(r.n, r.mean) for r in got] == [(5, 2.0), (5, 7.0)]
+
+
+def test_percentiles_are_exact(spark):
+    """Groups with nulls, NaN, ties, one value, none at all, and a null key."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [("big", float(x), float(rng.integers(0, 5))) for x in rng.normal(0, 100, 6000)]
+    rows += [("one", 3.5, None), ("none", None, float("nan")), (None, 1.0, 2.0), (None, 2.0, 4.0)] + [("ties", 7.0, 1.0)] * 50 + [("two", -1.0, 1.0), ("two", 9.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    points = {"p50": 0.5, "p95": 0.95, "low": 0.0, "high": 1.0}
+    got = {r.g: r for r in stats.percentiles(df, ("g",), {"x": F.col("x"), "y": F.col("y")}, points).collect()}
+    assert len(got) == 6
+    for g, r in got.items():
+        for c, k in (("x", 1), ("y", 2)):
+            values = [v[k] for v in rows if v[0] == g and v[k] is not None and v[k] == v[k]]
+            for p, q in points.items():
+                assert r[f"{c}_{p}"] == (pytest.approx(np.quantile(values, q)) if values else None)
+    whole = stats.percentiles(df, (), {"x": F.col("x")}, points).first()
+    assert whole.x_p95 == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], 0.95))
+
+
+def test_similar_names_equal_brute_force(spark):
+    import random
+
+    from tallymill.functions.names import lcs_length
+    from tallymill.operators import match
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 14))) for _ in range(120)] + ["--", "", "x", "X", None]
+    norm = {n: " ".join("".join(c if c.isalnum() else " " for c in n.upper()).split()) for n in names if n is not None}
+    want = {(a, b) for a in norm for b in norm if a < b and (norm[a] == norm[b] or 2 * lcs_length(norm[a], norm[b]) >= 0.6 * (len(norm[a]) + len(norm[b])))}
+    got = match.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), 0.6).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_full_width_and_presence(spark, column):
+    from tallymill.functions import amounts, names
+    from tallymill.operators import ingest
+
+    assert column(amounts.parse_amount, ["￥１，２３４．５０", "（５，０００）", "１２", "Ｒｐ ３９．６００"]) == [1234.5, -5000.0, 12.0, 39600.0]
+    assert column(names.norm_name, ["Ｊ．ｓｔｂ　ｐｒｏｍｏ"]) == ["J STB PROMO"]
+    trees = ['{"menu":{"nm":"a","price":"5","itemsubtotal":"abc"}}', '{"menu":{"nm":"a","price":"5","itemsubtotal":null}}', '{"menu":{"nm":"a","price":"5","itemsubtotal":"9","unitprice":"x"}}', '{"menu":{"nm":"a","price":"5","itemsubtotal":[]}}']
+    items = [r.gold["items"][0] for r in ingest.with_tree_record(spark.createDataFrame(list(enumerate(trees)), "i int, raw string")).orderBy("i").collect()]
+    assert [(x.unit_price, x.line_total) for x in items] == [(5.0, None), (None, 5.0), (None, 9.0), (5.0, None)]
+
+
+def test_settings_reach_the_rules(spark):
+    from tallymill.config import Settings
+    from tallymill.operators import validate
+    from tallymill.types import RECEIPT
+
+    row = ("s", [("a", None, None, 98.0)], 100.0, None, None, None, 100.0, None)
+    df = spark.createDataFrame([(row,)], f"receipt {RECEIPT}")
+    decide = lambda **k: validate.with_settings(df, Settings(**k)).first().decision
+    assert decide() == "review" and decide(abs_tol=2.0) == "auto_approve" and decide(abs_tol=2.0, approve_threshold=1.5) == "review"
+
+
+def test_review_list_and_trace_ids(spark, tmp_path):
+    from tallymill.operators import monitor, review
+
+    path = str(tmp_path / "traces")
+    for k in range(3):
+        review.log_traces(spark.createDataFrame([(f"m{k}",)] * 5, "mode string").repartition(3), path)
+    rows = spark.read.parquet(path)
+    assert rows.select("id").distinct().count() == 15 and {r.mode for r in monitor.latest(rows, 5).collect()} == {"m2"}
+    assert monitor.look_up(rows, rows.first().id).count() == 1
+    log = spark.createDataFrame([("b", 2, "added", None), ("a", 5, "added", None), ("c", 9, "added", None), ("a", 11, "resolved", "approved")], "review_id string, seq long, kind string, status string")
+    full = review.events(log.filter("kind = 'added'"), "added", F.col("seq")).unionByName(review.events(log.filter("kind = 'resolved'"), "resolved", F.col("seq")))
+    state = review.state(full)
+    assert [r.review_id for r in review.listed(state).collect()] == ["b", "a", "c"] and [r.review_id for r in review.listed(state, "pending").collect()] == ["b", "c"]
