@@ -154,6 +154,7 @@ print(sorted((r.doc_id, r.kept) for r in exact_dedup(docs, DigestIndex(spark, {p
     assert "[(1, True), (2, True)]" in run.stdout, run.stderr[-2000:]
     got = exact_dedup.exact_dedup(table(spark, [(3, "a"), (4, "c")]), exact_dedup.DigestIndex(spark, path)).collect()
     assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(3, 1, False), (4, 4, True)}
+    exact_dedup.DigestIndex(spark, path).drop()
 
 
 @pytest.mark.parametrize("parts", [1, 2, 5])
