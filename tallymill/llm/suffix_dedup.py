@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunk_dedup import cut_out
-from .common import hot_keys, materialize, raw, release, salted_join, slices, table, tidy
+from .common import materialize, raw, release, slices, table, tidy
 from .suffix_array import Suffixes, prefix_sums, window_hash
 
 LENGTH, K = 200, 64
@@ -208,9 +208,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = materialize(anchors(docs), "anchors")
-    shared = materialize(mine.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "shared-anchors")
-    often = materialize(hot_keys(shared, "h"), "hot-anchors")
-    hits = salted_join(mine.select("doc_id", "t1", "h"), shared.select("h"), ["h"], often, KEY)
+    shared = materialize(mine.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "shared-anchors")
+    # an anchor that very many documents hold is split by adaptive execution
+    hits = mine.select("doc_id", "t1", "h").join(shared.hint("merge"), "h")
     hits = hits.groupBy("doc_id", "t1").agg(F.collect_set("h").alias("hs"))
     wanted = docs.join(hits.hint("merge"), same_row(docs, hits)).select(docs["doc_id"], docs["t1"], docs["text"], hits["hs"])
     cut = materialize(cut_runs(wanted), "runs")
@@ -226,8 +226,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"), "split-windows")
     across = windows.join(again.hint("merge"), ["w1", "w2"]).select("d1", "d2", F.array("window", F.col("window") + 1).alias("spans"))
     marks = materialize(marks.unionByName(across).groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "run-marks")
-    copied = materialize(hot_keys(places.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")), "d1", "d2"), "hot-runs")
-    known = salted_join(places, marks, ["d1", "d2"], copied, [*KEY, "at"])
+    known = places.join(marks.hint("merge"), ["d1", "d2"])
     return known.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("at"), F.col("spans"))).alias("marks"))
 
 
