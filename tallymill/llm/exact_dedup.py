@@ -10,9 +10,10 @@ As the first batch that brings a text decides, and within it the largest doc_id,
 
 Defined results: a null text counts as the empty text; equal texts share one group, group_size is its rows in this call;
 of its rows the largest doc_id stays, unless an earlier call has indexed the text: then the row of that call stays (none of
-this call, except the same doc_id given again); rows that repeat a doc_id are the same document and stay or go together; a
-group of rows without doc_id keeps them (null-safe comparison); an empty table gives no rows; very long texts are digested
-whole; columns other than doc_id and text are ignored, and ``filter_docs`` returns all columns of its input unchanged.
+this call, except the same doc_id given again); rows that repeat a doc_id with its text are the same document and stay or go
+together, those with another text are judged by their own; a group of rows without doc_id keeps them (null-safe comparison);
+an empty table gives no rows; very long texts are digested whole; columns other than doc_id and text are ignored, and
+``filter_docs`` returns all columns of its input unchanged.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, remove, shared_dir, table, tidy
@@ -87,8 +88,12 @@ class DigestIndex:
         remove(self.spark, self.path)
 
 
+def text_digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest"))
+    return docs.select("doc_id", text_digest().alias("digest"))
 
 
 def batches(rows: DataFrame, parts: int) -> list[DataFrame]:
@@ -126,8 +131,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, parts: int =
 
 def filter_docs(docs: DataFrame, index: DigestIndex | None = None, parts: int = 1) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, index, parts).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = exact_dedup(docs, index, parts).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
+    return docs.withColumn("__digest", text_digest()).join(kept, same, "left_semi").select(docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,14 @@ def test_exact_filter_and_hot_groups(spark):
     assert exact_dedup.exact_dedup(d.limit(0)).count() == 0
 
 
+def test_exact_filter_judges_each_row_by_its_text(spark):
+    """Rows that share an id, or have none, go or stay by their own text."""
+    rows = [(5, "a"), (5, "b"), (9, "a"), (None, "a"), (None, "c"), (None, "c"), (None, None), (4, "")]
+    for parts in (1, 2):
+        got = exact_dedup.filter_docs(table(spark, rows), parts=parts).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, "b"), (9, "a"), (None, "c"), (None, "c"), (4, "")], key=str)
+
+
 def test_index_persists_and_appends(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     first = exact_dedup.exact_dedup(table(spark, [(1, "a"), (5, "a"), (2, "b")]), exact_dedup.DigestIndex(spark, path))
@@ -466,3 +474,38 @@ def test_chunk_filter_keeps_columns(spark):
     texts = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
     assert out.columns == d.columns and out.count() == d.count() and texts[0] == dict(corpus())[0] and texts[63] is None
     assert len(texts[10]) < 40 and len(texts[45]) < len(dict(corpus())[45])
+
+
+# ---------------------------------------------------------------- long texts
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """A text of over a megabyte, one in which every 2000th word differs, a short text with 40 words of it, and one of its own."""
+    rng = random.Random(31)
+    words = prose(rng, 220_000).split()
+    changed = ["0" * 7 if k % 2000 == 100 else w for k, w in enumerate(words)]
+    own, other = prose(rng, 80), prose(rng, 80)
+    return words, changed, own, [(1, " ".join(words)), (2, " ".join(changed)), (3, own + "0 " + " ".join(words[150_000:150_040])), (4, other)]
+
+
+def test_suffix_dedup_of_long_texts(spark, long_texts):
+    words, changed, own, rows = long_texts
+    kept = ["".join(words[100::2000]), "0" * 7 * len(words[100::2000]), own + "0", rows[3][1]]
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(table(spark, rows)).collect()}
+    assert got == {i: (len(t) - len(k), hashlib.sha256(k.encode()).hexdigest()) for (i, t), k in zip(rows, kept, strict=True)}
+
+
+def test_near_dedup_of_long_texts(spark, long_texts):
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, long_texts[3])).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_decontamination_of_long_texts(spark, long_texts):
+    words, changed, _, rows = long_texts
+    items = spark.createDataFrame([(7, " ".join(words[150_000:150_040])), (8, " ".join(changed[90:110])), (9, rows[0][1])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dec.matches(table(spark, rows), items).collect()} == {(1, 7), (2, 7), (3, 7), (2, 8), (1, 9), (2, 9)}
+
+
+def test_chunk_dedup_of_long_texts(spark, long_texts):
+    got = {r.doc_id: r.n_removed / r.n_bytes for r in chunk_dedup.chunk_dedup(table(spark, long_texts[3])).collect()}
+    assert got[1] == got[4] == 0 and 0.9 < got[2] < 1

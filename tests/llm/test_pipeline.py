@@ -71,3 +71,32 @@ def test_run_packs_what_is_kept(spark, tables):
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].astype("<u4").tobytes())
     assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+
+
+def write_tables(spark, path, rows):
+    spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit("clash")).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = write_tables(spark, str(tmp_path), [])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and docs.columns == columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_id_and_ties(spark, tmp_path):
+    """No labels, no items; rows without an id, repeated rows and ids, and a near copy of a text that exact dedup has reduced."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    text, near, other = " ".join(words), " ".join([*words[:100], "changed", *words[101:]]), " ".join(reversed(words))
+    rows = [(None, other), (None, other), (1, text), (1, text), (2, text), (3, near), (3, near), (4, ""), (None, None), (5, "...")]
+    write_tables(spark, str(tmp_path), [(i, t, None, None, None) for i, t in rows])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got if r.doc_id in (4, 5)) == [("4", 1), ("5", 2)]
+    assert {r.doc_id for r in got} == {None, 2, 4, 5}
+    assert sum(r.length for r in got if r.doc_id is None) == 2 * next(r.doc_tokens for r in got if r.doc_id is None)

@@ -140,6 +140,12 @@ def test_url_hosts_with_digits_give_words(spark):
     assert rows[0].words == "casino # xyz" and rows[1].words.endswith("# poker xyz") and rows[2].words == "museum # news xyz"
 
 
+def test_url_repeated_rows_are_judged_each(spark):
+    df = pages(spark, URLS).withColumns({"host": F.lit("clash"), "part": F.lit("clash")})
+    rows = url.url_filter(df.union(df)).collect()
+    assert len(rows) == 2 * len(URLS) and len({tuple(r) for r in rows}) == len({r.page_id for r in rows}) == len(URLS)
+
+
 # ---------------------------------------------------------------- packing
 
 TEXTS = ["", None, "Hello world", "x" * 9000, "a <|endoftext|> b", "naïve Straße 日本語 😀", "  spaces \n\n tabs\t", "I'll we've 123 456", "dup dup"] + ["word " * n for n in (1, 700, 1022, 1023, 1024, 5000)] + ["same text"] * 40
@@ -200,6 +206,13 @@ def test_token_counts_equal_the_library(spark):
     assert token_count.token_count(docs(spark, ["a"]).limit(0), path).count() == 0
 
 
+def test_token_counts_of_repeated_rows_and_clashing_columns(spark):
+    d = docs(spark, ["one two", None, "x " * 5000]).withColumns({c: F.lit("clash") for c in ("n_tokens", "n_bytes", "over_limit")})
+    rows = token_count.token_count(d.union(d), tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(rows) == 6 and len({(r.doc_id, r.n_tokens, r.n_bytes, r.over_limit) for r in rows}) == 3
+    assert {r.doc_id for r in rows if r.over_limit} == {2} and {r.n_tokens for r in rows if r.doc_id == 1} == {0}
+
+
 # ---------------------------------------------------------------- language
 
 VOCAB = {
