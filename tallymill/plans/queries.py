@@ -151,7 +151,10 @@ def confidence_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("system", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {PRED} SELECT system, count(*) FILTER (decision = 'auto_approve') AS at_0, count(*) FILTER (decision = 'auto_approve') AS at_1, CAST(0 AS BIGINT) AS above_1 FROM va GROUP BY system")
+@query(
+    f"""WITH {PRED}, ok AS (SELECT *, 'fail' NOT IN (rule_schema, rule_total_present, rule_items_present, rule_items_sum, rule_total_check, rule_line_math) AS clean FROM va)
+SELECT system, {", ".join(f"count(*) FILTER (clean AND confidence >= greatest(1.0, {t})) AS {name}" for t, name in ((0.0, "at_0"), (1.0, "at_1"), (1.01, "above_1")))} FROM ok GROUP BY system"""
+)
 def threshold_inert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 1 the threshold changes no decision; above 1 nothing is approved."""
     rows = R.predictions(spark, sf_dir)
@@ -212,7 +215,14 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(score.summarise(scored(spark, sf_dir), "system"), "system", "n")
 
 
-@query(f"WITH {PRED}, gl AS (SELECT * FROM gold JOIN (SELECT k, count(*) FILTER (abs(qty * (unit / CAST(100 AS DOUBLE)) - cents / CAST(100 AS DOUBLE)) > 1) AS bad FROM ln GROUP BY k) USING (k)) SELECT 'gold' AS system, count(*) AS n, round(avg(CAST(bad = 0 AS INT)), 9) AS auto_approve_rate, CAST(1 AS DOUBLE) AS exact_match_rate FROM gl")
+@query(
+    f"""WITH {PRED}, {SIMS},
+gl AS (SELECT k, count(*) AS n_lines, count(*) FILTER (abs(qty * (unit / CAST(100 AS DOUBLE)) - cents / CAST(100 AS DOUBLE)) > 1) AS bad FROM ln GROUP BY k),
+own AS (SELECT a.k, a.j AS i, b.j, sim FROM ln a JOIN ln b ON a.k = b.k JOIN sm ON sm.pa = a.name AND sm.gb = b.name WHERE sim >= 0.6 AND abs(a.cents - b.cents) <= 50),
+met AS (SELECT k, list_reduce(list({{'i': i, 'j': j}} ORDER BY sim DESC, i DESC, j DESC),
+  lambda d, c: CASE WHEN list_contains(d.p, c.i) OR list_contains(d.g, c.j) THEN d ELSE {{'p': list_append(d.p, c.i), 'g': list_append(d.g, c.j)}} END, {{'p': CAST([] AS BIGINT[]), 'g': CAST([] AS BIGINT[])}}) AS pairs FROM own GROUP BY k)
+SELECT 'gold' AS system, count(*) AS n, round(avg(CAST(bad = 0 AS INT)), 9) AS auto_approve_rate, round(avg(CAST(coalesce(len(pairs.p), 0) = n_lines AS INT)), 9) AS exact_match_rate FROM gl JOIN gold USING (k) LEFT JOIN met USING (k)"""
+)
 def ceiling_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold records as their own predictions: the best any system can reach."""
     gold = R.gold_records(spark, sf_dir).withColumns({"pred": F.col("gold"), "error": F.lit(None).cast("string")})
