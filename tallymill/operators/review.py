@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import REVIEW_EVENT, TRACE
+from .ranks import with_rank
 from .sets import last_wins
 from .validate import with_validation
 
@@ -57,6 +58,11 @@ def listed(reviews: DataFrame, status: str | None = None) -> DataFrame:
     return (reviews if status is None else reviews.filter(F.col("status") == status)).orderBy("seq_created", "review_id")
 
 
+def placed(reviews: DataFrame, status: str | None = None) -> DataFrame:
+    """Reviews with their place in that order, from 1; ranked in stretches, however many there are."""
+    return with_rank(reviews if status is None else reviews.filter(F.col("status") == status), (), [F.col("seq_created"), F.col("review_id")], "place")
+
+
 def not_queued(candidates: DataFrame, reviews: DataFrame, key: str = "receipt") -> DataFrame:
     return candidates.join(reviews.select(key), key, "left_anti")
 

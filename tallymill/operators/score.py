@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -10,6 +10,7 @@ from ..functions.amounts import money_equal
 from ..functions.stats import precision_recall_f1, ratio, share
 from ..types import SCORED_FIELDS
 from .match import NAME_THRESHOLD, PRICE_TOL, candidates, greedy, priced
+from .ranks import with_running
 from .validate import with_settings
 
 
@@ -96,21 +97,26 @@ def routing_stats(scores: DataFrame, *by: str) -> DataFrame:
 def routing_curve(scores: DataFrame, *by: str) -> DataFrame:
     """For each distinct confidence, and 0: what approving everything from there on would give.
 
-    Rows are first summed by confidence (a handful of values), so the running sums see few rows.
+    Rows are first summed by confidence. Confidences may be continuous, so that there are nearly as many sums as rows: their running
+    sums are distributed.
     """
     steps = scores.groupBy(*by, F.col("confidence").alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("exact_match")).alias("exact"), F.count_if(F.col("total_correct")).alias("total")
     )
-    zero = F.lit(0).cast("long")
-    floor = steps.select(*by).distinct().select(*by, F.lit(0.0).alias("threshold"), zero.alias("n"), zero.alias("exact"), zero.alias("total"))
-    steps = steps.unionByName(floor).groupBy(*by, "threshold").agg(*[F.sum(c).alias(c) for c in ("n", "exact", "total")])
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    so_far = {c: F.sum(c).over(down) for c in ("n", "exact", "total")}
-    return steps.select(
+    sums = ("n", "exact", "total")
+    so_far = with_running(steps, by, [F.desc("threshold")], {f"{c}_so_far": F.col(c) for c in sums})
+    known = F.col("threshold").isNotNull()
+    every = so_far.groupBy(*by).agg(F.sum("n").alias("every"), F.max(F.coalesce(F.col("threshold") == 0, F.lit(False))).alias("has_0"), *[F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).alias(f"{c}_so_far") for c in sums])
+    counts = every.select(*by, "every")
+    whole = so_far.join(F.broadcast(counts), list(by)) if by else so_far.crossJoin(counts)  # one row for each system
+    floor = every.filter("NOT has_0").withColumn("threshold", F.lit(0.0))
+    cols = [*by, "threshold", "every", *[f"{c}_so_far" for c in sums]]
+    whole = whole.select(*cols).unionByName(floor.select(*cols))
+    n, exact, total = (F.col(f"{c}_so_far") for c in sums)
+    return whole.select(
         *by,
         "threshold",
-        ratio(so_far["n"], F.sum("n").over(w)).alias("approve_rate"),
-        ratio(so_far["exact"], so_far["n"]).alias("approved_exact"),
-        ratio(so_far["total"], so_far["n"]).alias("approved_total_acc"),
+        ratio(n, F.col("every")).alias("approve_rate"),
+        ratio(exact, n).alias("approved_exact"),
+        ratio(total, n).alias("approved_total_acc"),
     )

@@ -9,7 +9,7 @@ from ..config import load
 from ..functions import amounts as A
 from ..functions import names as N
 from ..functions.stats import precision_recall_f1, share
-from ..operators import errors, extract, ingest, layout, match, monitor, review, score, sets, validate
+from ..operators import errors, extract, ingest, layout, match, monitor, ranks, review, score, sets, validate
 from ..sources.files import read_table
 from ..types import SCORED_FIELDS
 from . import receipts as R
@@ -181,6 +181,27 @@ def routing_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(score.routing_curve(scored(spark, sf_dir), "system"), "system", "threshold")
 
 
+@query(
+    """WITH d AS (SELECT l_suppkey % 3 AS system, l_extendedprice AS threshold, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS exact, count(*) FILTER (l_linestatus = 'O') AS total FROM lineitem GROUP BY ALL
+UNION ALL SELECT DISTINCT l_suppkey % 3, CAST(0 AS DOUBLE), 0, 0, 0 FROM lineitem),
+r AS (SELECT system, threshold, sum(n) OVER w AS n, sum(exact) OVER w AS exact, sum(total) OVER w AS total, sum(n) OVER (PARTITION BY system) AS every FROM d WINDOW w AS (PARTITION BY system ORDER BY threshold DESC))
+SELECT system, threshold, round(n / CAST(every AS DOUBLE), 9) AS approve_rate, round(exact / CAST(n AS DOUBLE), 9) AS approved_exact, round(total / CAST(n AS DOUBLE), 9) AS approved_total_acc FROM r"""
+)
+def routing_curve_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade-off over confidences that hardly repeat: the price of an order line stands for one, its flags for correctness."""
+    li = read_table(spark, sf_dir, "lineitem")
+    rows = li.select((F.col("l_suppkey") % 3).alias("system"), F.col("l_extendedprice").alias("confidence"), (F.col("l_returnflag") == "N").alias("exact_match"), (F.col("l_linestatus") == "O").alias("total_correct"))
+    return rounded(score.routing_curve(rows, "system"), "system", "threshold")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place, sum(user_id) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS so_far FROM events")
+def event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank and running sum of every event in the few groups that the table has."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
+    order = [F.desc("value"), F.col("event_id")]
+    return ranks.with_running(e, ("event_type",), order, {"place": F.lit(1), "so_far": F.col("user_id")}).select("event_id", "place", "so_far")
+
+
 # ---------------------------------------------------------------- scoring
 
 
@@ -449,12 +470,15 @@ def amounts_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.size("a").alias("n_amounts"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
 
 
-@query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS amount, 'ABC 12 KG' AS name FROM orders")
+@query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS amount, trim(regexp_replace(upper(o_orderpriority), '[^A-Z0-9]+', ' ', 'g')) || ' ' || o_orderkey || 'KG' AS name FROM orders")
 def wide_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts and names in full-width characters."""
     o = read_table(spark, sf_dir, "orders")
-    wide = F.translate(F.format_number(F.round("o_totalprice", 2), 2), "0123456789.,-", "０１２３４５６７８９．，－")
-    return o.select(F.col("o_orderkey").alias("id"), A.parse_amount(F.concat(F.lit("￥ "), wide)).alias("amount"), N.norm_name(F.lit("ａｂｃ－１２ｋｇ")).alias("name")).withColumn("name", F.regexp_replace("name", "12KG", "12 KG"))
+    plain = "0123456789.,- ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    wide = lambda c: F.translate(c, plain, "".join(chr(0x3000 if x == " " else ord(x) + 0xFEE0) for x in plain))
+    amount = F.concat(F.lit("￥ "), wide(F.format_number(F.round("o_totalprice", 2), 2)))
+    name = F.concat(F.col("o_orderpriority"), F.lit("-"), F.col("o_orderkey").cast("string"), F.lit("kg"))
+    return o.select(F.col("o_orderkey").alias("id"), A.parse_amount(amount).alias("amount"), N.norm_name(wide(name)).alias("name"))
 
 
 @query()
@@ -641,15 +665,20 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("m")["subtotal"].alias("subtotal"), F.when(F.col("id") % 2 == 1, F.col("m")["total"]).alias("total"), F.col("m")["tax"].alias("tax"))
 
 
-@query("""SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 'normalisation' AS bucket FROM lineitem WHERE l_linenumber = 1""")
+@query("""SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_linenumber % 3 WHEN 1 THEN 'normalisation' WHEN 2 THEN 'wrong_value' ELSE CASE WHEN l_partkey % 2 = 0 THEN 'missed' ELSE 'ocr' END END AS bucket FROM lineitem""")
 def error_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The printed digits agree, and the parse differs: a decimal point read as a thousands separator."""
-    li = read_table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """Every order line as a total that is read wrongly: a decimal point read as a thousands separator (the printed digits agree, the parse
+    differs), another amount read, or none read of a total that is, or is not, on the lines."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
     whole, none = cents * 10 + 1, F.lit(None).cast("double")  # three decimals: 1234.561 is printed, 1234561 read
-    text = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    printed = lambda v: F.concat(F.floor(v / 1000).cast("string"), F.lit("."), F.lpad((v % 1000).cast("string"), 3, "0"))
     rec = lambda v: F.struct(v.alias("total"), *[none.alias(f) for f in ("subtotal", "tax", "service_charge")])
-    rows = li.withColumns({"gold": rec(whole / 1000.0), "pred": rec(whole.cast("double")), "raw_gold": F.create_map(F.lit("total"), text), "raw_pred": F.create_map(F.lit("total"), text), "lines": F.array(text)})
+    kind, text, other = F.col("l_linenumber") % 3, printed(whole), whole * 3
+    read = F.when(kind == 1, whole.cast("double")).when(kind == 2, other / 1000.0)
+    shown = F.when(kind == 1, text).when(kind == 2, printed(other))
+    lines = F.when((kind == 0) & (F.col("l_partkey") % 2 == 1), F.array(F.lit("no sum"))).otherwise(F.array(text))
+    rows = li.withColumns({"gold": rec(whole / 1000.0), "pred": rec(read), "raw_gold": F.create_map(F.lit("total"), text), "raw_pred": F.create_map(F.lit("total"), shown), "lines": lines})
     keys = tuple(li.columns)
     return errors.scalar_errors(rows, keys).select(*keys, "bucket")
 
@@ -754,8 +783,7 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {REVIEWS} SELECT row_number() OVER (ORDER BY seq_created) AS place, review_id FROM rv WHERE status = 'approved'")
 def reviews_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews of one status in the order they were added."""
-    rows = review.listed(review.state(review_log(spark, sf_dir)), "approved").select("review_id", "seq_created")
-    return sets.with_rank(rows.withColumn("all", F.lit(0)), "all", F.col("seq_created")).select(F.col("rank").cast("long").alias("place"), "review_id")
+    return review.placed(review.state(review_log(spark, sf_dir)), "approved").select("place", "review_id")
 
 
 @query(f"WITH {PRED} SELECT va.system, va.decision, count(*) AS n FROM va GROUP BY ALL")
