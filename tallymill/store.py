@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: list[str] = []
+_scope: contextvars.ContextVar[list[str]] = contextvars.ContextVar("scope", default=_kept)
 
 
 @functools.cache
@@ -33,14 +36,30 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. Deleted when this process ends."""
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. Deleted with the scope around it, or when this process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scope.get().append(path)
     df.write.parquet(path)
-    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The tables kept inside, by their folders; ``drop`` them once nothing reads them."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        remove(spark, paths.pop())
+
+
 @atexit.register
 def _remove_kept() -> None:
     spark = SparkSession.getActiveSession()
