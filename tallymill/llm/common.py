@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import contextvars
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import drop, keep, scope
+
 #: Bytes of text handled at once by the array operators; bounds their temporaries.
 SLICE_BYTES = 1 << 20
 #: A key is hot if it has at least HOT_LEAST rows and 1/HOT_SHARE of all rows. At most HOT_SHARE keys can be hot, which bounds their broadcast.
@@ -23,19 +22,6 @@ HOT_SHARE, HOT_LEAST, SALTS = 1024, 1000, 32
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='tallymill-')}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``. Where it is unset, a folder of this process, but only on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (folder or _own_dir()).rstrip("/")
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of bounded size while a job runs: the JVM and the Python workers each hold a batch outside the heap."""
@@ -49,43 +35,25 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. ``tidy`` deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _made.get() is not None:
-        _made.get().append(path)
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    with small_batches(df.sparkSession):
+        return keep(df, label)
 
 
 def tidy(label: str) -> Callable:
-    """Decorator: the function's DataFrame is written out, then the intermediate tables it made are deleted."""
+    """Decorator: the function's DataFrame is written out, then the intermediate tables it made are deleted; the result goes when the process ends."""
 
     def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @functools.wraps(f)
         def run(*args, **named) -> DataFrame:
             made: list[str] = []
-            token = _made.set(made)
             try:
-                try:
+                with scope() as made:
                     df = f(*args, **named)
-                finally:
-                    _made.reset(token)
                 return materialize(df, label)
             finally:
-                for path in made:
-                    remove(SparkSession.active(), path)
+                drop(SparkSession.active(), made)
 
         return run
 

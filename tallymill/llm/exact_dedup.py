@@ -24,7 +24,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, shared_dir, table, tidy
+from ..store import remove, shared_dir
+from .common import materialize, table, tidy
 
 #: A digest with at least 1/HOT_SHARE of all rows is hot. There can be at most HOT_SHARE such digests, which bounds the broadcast.
 HOT_SHARE = 1024

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontamination, exact_dedup, language_id, near_dedup, packing, suffix_dedup, token_count, toxicity, url_filter
+from . import chunk_dedup, decontamination, exact_dedup, importance, language_id, mixing, near_dedup, packing, periodic, suffix_dedup, token_count, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,10 @@ QUERIES = {
         near_dedup.op8_near_dedup,
         decontamination.op9_decontamination,
         chunk_dedup.op10_chunk_dedup,
+        periodic.op11_periodic_runs,
+        mixing.op12_mixing,
+        importance.op13_importance,
     )
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op7_exact_dedup": exact_dedup.SQL, "op12_mixing": mixing.SQL}

@@ -175,10 +175,10 @@ def test_batches_give_the_result_of_one(spark, parts):
 
 def test_intermediate_tables_are_deleted(spark, monkeypatch):
     folders = []
-    monkeypatch.setattr(common.uuid, "uuid4", lambda real=common.uuid.uuid4: folders.append(real()) or folders[-1])
+    monkeypatch.setattr(store.uuid, "uuid4", lambda real=store.uuid.uuid4: folders.append(real()) or folders[-1])
     got = near_dedup.near_dedup(table(spark, corpus()))
     exact_dedup.exact_dedup(table(spark, corpus()), parts=2)
-    root = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    root = pathlib.Path(store.shared_dir(spark).removeprefix("file:"))
     left = sorted(p.name.rsplit("-", 1)[0] for p in root.iterdir() if p.name[-32:] in {f.hex for f in folders})
     assert got.count() == len(corpus()) and left == ["exact-dedup", "near-dedup"] and len(folders) > 20
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
