@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import with_rank
-from .common import materialize, raw, slices, table, tidy
+from .common import materialize, raw, release, slices, small_batches, table, tidy
 from .crc import word_run_crcs
 from .spans import spans
 
@@ -93,6 +93,8 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np
             begin = (np.cumsum(size) - size)[size > 0]
             column = total - np.repeat(np.concatenate([[0], total])[begin], size[size > 0])
             yield ids, words.to_numpy(), size, column, unplanes(batch.column("counts")[i].as_buffer(), "<u4")
+        del batch
+        release()
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -105,8 +107,11 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
+    summed = matrix.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    with small_batches(matrix.sparkSession):  # a stored block is one row of some megabytes
+        rows = summed.collect()  # at most ``buckets`` rows
     sums = np.zeros(buckets, np.int64)
-    for r in matrix.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most ``buckets`` rows
+    for r in rows:
         sums[r["bucket"]] = r["n"]
     return sums
 
