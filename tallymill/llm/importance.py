@@ -30,6 +30,8 @@ from .spans import spans
 
 BUCKETS, WORDS, SEED = 10_000, 3, 42
 LEAST_WORDS, PERCENT = 20, 5
+#: Bytes of text in a block (a longer text is one of its own).
+BLOCK_BYTES = 1 << 18
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[0x30:0x3A] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
@@ -63,11 +65,11 @@ def csr(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray
 
 
 def blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """CSR blocks (ids, words, sizes, columns, counts) of the count matrix. Columns are stored as differences within their row."""
+    """CSR blocks (ids, words, sizes, columns, counts) of the count matrix. Columns, at most 65,536, are stored as differences within their row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BLOCK_BYTES):
             words, size, column, count = csr(batch.column("text"), buckets)
             step = np.diff(column, prepend=0)
             begin = (np.cumsum(size) - size)[size > 0]
@@ -75,7 +77,7 @@ def blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             ids = batch.column("doc_id")
             one = np.array([0, len(ids)], np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, pa.array(words)), pa.ListArray.from_arrays(one, pa.array(size)), pa.array([planes(step.astype("<u4"))], pa.binary()), pa.array([planes(count.astype("<u4"))], pa.binary())],
+                [pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, pa.array(words)), pa.ListArray.from_arrays(one, pa.array(size)), pa.array([planes(step.astype("<u2"))], pa.binary()), pa.array([planes(count.astype("<u4"))], pa.binary())],
                 ["ids", "words", "sizes", "columns", "counts"],
             )
 
@@ -88,7 +90,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np
         for i in range(batch.num_rows):
             ids, words, size = (batch.column(c)[i].values for c in ("ids", "words", "sizes"))
             size = size.to_numpy()
-            step = unplanes(batch.column("columns")[i].as_buffer(), "<u4").astype(np.int64)
+            step = unplanes(batch.column("columns")[i].as_buffer(), "<u2").astype(np.int64)
             total = np.cumsum(step)
             begin = (np.cumsum(size) - size)[size > 0]
             column = total - np.repeat(np.concatenate([[0], total])[begin], size[size > 0])
