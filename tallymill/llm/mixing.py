@@ -23,6 +23,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ BLOCK, SHARD_WORDS, MOST_SHARDS = 512, 1 << 20, 4096
 FEW_SOURCES = 10_000
 #: Standard deviations around the mode that a hypergeometric draw looks at (what lies outside has a probability under 1e-15).
 REACH = 8
+#: Levels of the tree that one task walks before its nodes are dealt out again.
+SPREAD = 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -68,29 +71,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return shared.select("place", "source", "source_size", target.alias("target"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hypergeometric(good: Column, bad: Column, n: Column, u: Column) -> Column:
     """A draw of how many of ``n`` from ``good`` + ``bad`` are good, by inverting the distribution function at the uniform number ``u``."""
-    x = F.struct(good.cast("double").alias("g"), bad.cast("double").alias("b"), n.cast("double").alias("n"), u.alias("u"))
 
-    def draw(x: Column) -> Column:
+    def around(x: Column) -> Column:
+        """Adds the mode, and the first and last number that are looked at."""
         g, b, n = x["g"], x["b"], x["n"]
         low, high = F.greatest(F.lit(0.0), n - b), F.least(g, n)
         mode = F.least(high, F.greatest(low, F.floor((n + 1) * (g + 1) / (g + b + 2)).cast("double")))
         spread = F.ceil(REACH * F.sqrt(n * (g / (g + b)) * (b / (g + b)) * (g + b - n) / F.greatest(F.lit(1.0), g + b - 1))).cast("double") + REACH
-        first, last = F.greatest(low, mode - spread), F.least(high, mode + spread)
-        up = lambda k: (g - k) * (n - k) / ((k + 1) * (b - n + k + 1))  # noqa: E731  P(k + 1) / P(k)
-        walk = lambda a, z: F.when(a <= z, F.sequence(a.cast("long"), z.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        state = lambda p, s: F.struct(p.alias("p"), s.alias("s"))
-        one, none = F.lit(1.0), F.lit(0.0)
-        # with the mode's probability as 1: down to the first number, then the sum of all, then up to where it passes u
-        down = F.aggregate(walk(first, mode - 1), state(one, none), lambda a, k: state(a["p"] / up(first + mode - 1 - k), a["s"] + a["p"] / up(first + mode - 1 - k)))
-        above = F.aggregate(walk(mode, last - 1), state(one, none), lambda a, k: state(a["p"] * up(k), a["s"] + a["p"] * up(k)))
-        aim = x["u"] * (down["s"] + 1 + above["s"])
-        begin = F.struct(down["p"].alias("p"), down["p"].alias("s"), first.alias("k"))
-        passed = lambda a, k: F.when(a["s"] > aim, a).otherwise(F.struct((a["p"] * up(k)).alias("p"), (a["s"] + a["p"] * up(k)).alias("s"), (a["k"] + 1).alias("k")))
-        return F.aggregate(walk(first, last - 1), begin, passed)["k"].cast("long")
-
-    return F.when((n <= 0) | (good <= 0), 0).when(bad <= 0, n).otherwise(F.transform(F.array(x), draw)[0]).cast("long")
+        return F.struct(*[x[c].alias(c) for c in ("g", "b", "n", "u")], mode.alias("mode"), F.greatest(low, mode - spread).alias("first"), F.least(high, mode + spread).alias("last"))
+
+    def up(x: Column, k: Column) -> Column:
+        """P(k + 1) / P(k)"""
+        return (x["g"] - k) * (x["n"] - k) / ((k + 1) * (x["b"] - x["n"] + k + 1))
+
+    walk = lambda a, z: F.when(a <= z, F.sequence(a.cast("long"), z.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    state = lambda p, s: F.struct(p.alias("p"), s.alias("s"))
+
+    def sums(x: Column) -> Column:
+        """With the mode's probability as 1: down to the first number, and the sum of all."""
+        start = state(F.lit(1.0), F.lit(0.0))
+        down = F.aggregate(walk(x["first"], x["mode"] - 1), start, lambda a, k: bound(a["p"] / up(x, x["first"] + x["mode"] - 1 - k), lambda p: state(p, a["s"] + p)))
+        above = F.aggregate(walk(x["mode"], x["last"] - 1), start, lambda a, k: bound(a["p"] * up(x, k), lambda p: state(p, a["s"] + p)))
+        return bound(F.struct(x.alias("x"), down.alias("down"), above.alias("above")), reached)
+
+    def reached(y: Column) -> Column:
+        """From the first number up to where the sum passes its share u."""
+        x, p, aim = y["x"], y["down"]["p"], y["x"]["u"] * (y["down"]["s"] + 1 + y["above"]["s"])
+        start = F.struct(p.alias("p"), p.alias("s"), x["first"].alias("k"), aim.alias("aim"))
+        further = lambda a, k: bound(a["p"] * up(x, k), lambda p: F.struct(p.alias("p"), (a["s"] + p).alias("s"), (a["k"] + 1).alias("k"), a["aim"].alias("aim")))
+        return F.aggregate(walk(x["first"], x["last"] - 1), start, lambda a, k: F.when(a["s"] > a["aim"], a).otherwise(further(a, k)))["k"].cast("long")
+
+    x = F.struct(good.cast("double").alias("g"), bad.cast("double").alias("b"), n.cast("double").alias("n"), u.alias("u"))
+    return F.when((n <= 0) | (good <= 0), 0).when(bad <= 0, n).otherwise(bound(bound(x, around), sums)).cast("long")
 
 
 def left_half(quotas: Column, key: Column, seed: int) -> Column:
@@ -101,8 +120,7 @@ def left_half(quotas: Column, key: Column, seed: int) -> Column:
     def take(a: Column, x: Column) -> Column:
         q, u = x["q"], F.pmod(F.xxhash64(F.lit(seed), key, x["i"]), F.lit(1 << 52)) / float(1 << 52)
         k = hypergeometric(q, a["left"] - q, a["n"], u)
-        # k is asked for several times: bound once
-        return F.transform(F.array(k), lambda k: F.struct((a["left"] - q).alias("left"), (a["n"] - k).alias("n"), F.concat(a["out"], F.array(k)).alias("out")))[0]
+        return bound(k, lambda k: F.struct((a["left"] - q).alias("left"), (a["n"] - k).alias("n"), F.concat(a["out"], F.array(k)).alias("out")))
 
     numbered = F.transform(quotas, lambda q, i: F.struct(q.alias("q"), i.alias("i")))
     return F.aggregate(numbered, start, take, lambda a: a["out"])
@@ -112,13 +130,13 @@ def split_quotas(sources: DataFrame, levels: int, seed: int = SEED) -> DataFrame
     """(shard, place, quota): the sources' quotas (place, quota) split over 2**levels shards."""
     pairs = F.sort_array(F.collect_list(F.struct("place", "quota")))
     nodes = sources.agg(pairs.alias("xs")).select(F.lit(0).cast("long").alias("node"), F.transform("xs", lambda x: x["place"]).alias("places"), F.transform("xs", lambda x: x["quota"]).alias("quotas"))
+    child = lambda bit, q: F.struct((F.col("node") * 2 + bit).alias("node"), F.col("places"), q.alias("quotas"))
+    halves = lambda left: F.array(child(0, left), child(1, F.zip_with("quotas", left, lambda q, k: q - k)))
     for level in range(levels):
+        if level and level % SPREAD == 0:  # so far in the tasks of the nodes above
+            nodes = nodes.repartition(1 << level, "node")
         key = F.struct(F.lit(level), F.col("node"))
-        halves = nodes.repartition(max(1, min(1 << level, 64)), "node").withColumn("left", left_half(F.col("quotas"), key, seed))
-        halves = materialize(halves, "tree")  # a draw is asked for by both children
-        right = F.zip_with("quotas", "left", lambda q, k: q - k)
-        child = lambda bit, q: F.struct((F.col("node") * 2 + bit).alias("node"), F.col("places"), q.alias("quotas"))
-        nodes = halves.select(F.inline(F.array(child(0, F.col("left")), child(1, right))))
+        nodes = nodes.select(F.inline(bound(left_half(F.col("quotas"), key, seed), halves)))
     return nodes.select(F.col("node").alias("shard"), F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("quotas").alias("quota")))).filter("quota > 0")
 
 
