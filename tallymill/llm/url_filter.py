@@ -5,10 +5,12 @@ hosts and paths are dealt out, and their substrings joined with the whole table
 and path are scored by a multinomial naive Bayes model, which blocks if they are EVIDENCE times as likely under it.
 
 The model learns from the URLs that a rule decides, or from labelled URLs that the caller has. The rule's verdict is the
-label; the part of host and path that the rule itself names is left out, so the model does not repeat the rule. A token
-counts once for each host and label, so that a host of very many pages weighs like any other. Hosts whose crc32 modulo 5 is
+label; the part of host and path that the rule itself names is left out, so the model does not repeat the rule. Every occurrence of a
+token in the distinct URLs of a label counts, and the prior is the labels' share of these URLs. Hosts whose crc32 modulo 5 is
 0 are held out of training: what the method says of their rule pages measures it.
 
+Parts of any length are split: their pieces of up to LONGEST letters are looked up STRETCH starting places at a time, under the part's number.
+
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed (score 0);
 rules of equal length are told apart by order of the list; rows that repeat a page_id are judged each; URLs and page texts
 of any length are read whole; an empty table gives no rows; other columns are ignored.
@@ -16,6 +18,7 @@ of any length are read whole; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 import zlib
@@ -43,6 +46,8 @@ EVIDENCE = 4.0
 HOST_WORDS = ("www", "blog", "shop", "news", "mail", "farm", "wiki", "docs", "info", "site", "web", "com", "net", "org", "example")
 #: Naive Bayes buckets, and the longest piece that is tried as a word: a whole label of a host.
 BUCKETS, LONGEST = 1 << 15, 63
+#: Starting places of a part whose pieces are sent together, and pieces in an Arrow batch.
+STRETCH, PIECES = 500, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -128,11 +133,11 @@ class NaiveBayes:
     odds: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray, alpha: float = 1.0) -> NaiveBayes:
-        """counts: [2, BUCKETS] of allow, block. The prior is even: how many pages are labelled says nothing about the others."""
+    def of(cls, counts: np.ndarray, urls: tuple[int, int] = (0, 0), alpha: float = 1.0) -> NaiveBayes:
+        """counts: [2, BUCKETS] token occurrences of allow, block; urls: how many URLs of either were counted."""
         used = max(1, int((counts.sum(0) > 0).sum()))
         logp = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * used)
-        return cls(0.0, (logp[1] - logp[0]) * (counts.sum(0) > 0))
+        return cls(math.log((urls[1] + alpha) / (urls[0] + alpha)), (logp[1] - logp[0]) * (counts.sum(0) > 0))
 
     def score(self, tokens: list[str]) -> float:
         return self.prior + sum(self.odds[bucket(t)] for t in tokens)
@@ -155,10 +160,18 @@ def split_parts(parts: DataFrame, counts: DataFrame) -> DataFrame:
     unknown = math.log(0.1 / total)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(part's number, piece), each piece once for a stretch of its part."""
+        numbers, found = [], []
         for pdf in batches:
-            for a in range(0, len(pdf), 200):
-                rows = [(x, w) for x in pdf["part"][a : a + 200] for w in {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}]
-                yield pd.DataFrame(rows, columns=["part", "w"])
+            for number, x in zip(pdf["number"], pdf["part"], strict=True):
+                for a in range(0, len(x), STRETCH):
+                    new = {x[i:j] for i in range(a, min(len(x), a + STRETCH)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+                    numbers += [number] * len(new)
+                    found += new
+                    if len(found) >= PIECES:
+                        yield pd.DataFrame({"number": numbers, "w": found})
+                        numbers, found = [], []
+        yield pd.DataFrame({"number": pd.Series(numbers, dtype="int64"), "w": pd.Series(found, dtype="str")})
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -168,11 +181,13 @@ def split_parts(parts: DataFrame, counts: DataFrame) -> DataFrame:
                 words.append(["#"] if x == "#" else Lexicon({w: math.log(k / total) for w, k in n.items()}, unknown).segment(x))
             yield pd.DataFrame({"part": pdf["part"], "words": words})
 
-    distinct = materialize(parts.select("part").distinct(), "parts")
-    # plain equi-join with the word counts: a letter that most parts hold is split by adaptive execution
-    found = materialize(distinct.mapInPandas(pieces, "part string, w string"), "pieces").join(counts.hint("merge"), "w")
-    hits = found.groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("hits"))
-    return materialize(distinct.join(hits, "part", "left").select("part", "hits").mapInPandas(split, "part string, words array<string>"), "split-parts")
+    distinct = materialize(parts.select("part").distinct().withColumn("number", F.monotonically_increasing_id()), "parts")
+    cut = materialize(distinct.select("number", "part").mapInPandas(pieces, "number long, w string"), "pieces")
+    # counts has a row for each word: pieces that many parts hold (single letters) are dealt out
+    often = materialize(hot_keys(cut.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w"), "hot-pieces")
+    found = salted_join(cut, counts, ["w"], often, ["number"])
+    hits = found.groupBy("number").agg(F.collect_set(F.struct("w", "n")).alias("hits"))
+    return materialize(distinct.join(hits, "number", "left").select("part", "hits").mapInPandas(split, "part string, words array<string>"), "split-parts")
 
 
 def split_urls(parsed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -189,27 +204,29 @@ def split_urls(parsed: DataFrame, counts: DataFrame) -> DataFrame:
     columns = "host string, path string, rule string, label string, held_out boolean"
     urls = parsed.select("host", "path", "rule", "label", (F.crc32(F.col("host")) % 5 == 0).alias("held_out")).distinct()
     some = materialize(urls.mapInPandas(parts, f"{columns}, part string"), "url-parts")
-    whole = some.join(split_parts(some, counts).hint("merge"), "part")
+    # nearly every URL holds the parts "com", "www" and "#"
+    often = materialize(hot_keys(some.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part"), "hot-parts")
+    whole = salted_join(some, split_parts(some, counts), ["part"], often, ["host", "path"])
     return materialize(whole.groupBy("host", "path", "rule", "label", "held_out").agg(F.collect_list(F.struct("part", "words")).alias("words")), "split-urls")
 
 
 def train(urls: DataFrame) -> NaiveBayes:
-    """urls: as of ``split_urls``. Counts of hosts over all labelled URLs that are not held out; at most 2 x BUCKETS sums reach the driver."""
+    """urls: as of ``split_urls``. Token occurrences over all labelled URLs that are not held out; at most 2 x BUCKETS sums reach the driver."""
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = set()
+            sums = collections.Counter()
             for h, p, r, label, words in zip(pdf["host"], pdf["path"], pdf["rule"], pdf["label"], pdf["words"], strict=True):
-                split = {x["part"]: list(x["words"]) for x in words}
-                rows |= {(int(label == "block"), bucket(t), h) for t in sum(tokens(*beside(h, p, r or ""), split), [])}
-            yield pd.DataFrame(sorted(rows), columns=["label", "bucket", "host"])
+                split, block = {x["part"]: list(x["words"]) for x in words}, int(label == "block")
+                sums.update((block, bucket(t)) for t in sum(tokens(*beside(h, p, r or ""), split), []))
+                sums[block, -1] += 1
+            yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["label", "bucket", "n"])
 
     known = urls.filter("label IS NOT NULL AND NOT held_out")
-    hosts = known.mapInPandas(seen, "label long, bucket long, host string").distinct()
-    counts = np.zeros((2, BUCKETS))
-    for r in hosts.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+    counts = np.zeros((2, BUCKETS + 1))  # the last column counts URLs
+    for r in known.mapInPandas(seen, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.bucket] = r.n
-    return NaiveBayes.of(counts)
+    return NaiveBayes.of(counts[:, :-1], tuple(counts[:, -1]))
 
 
 @tidy("urls")
