@@ -23,8 +23,8 @@ from .common import slices, table
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
-#: Distinct pieces whose counts a task remembers; it starts afresh beyond that.
-REMEMBER = 1_000_000
+#: Characters of all pieces whose counts a task remembers (it starts afresh beyond that), and of a piece that is worth it.
+REMEMBER, SHORT = 16_000_000, 64
 
 
 class PieceBpe:
@@ -176,16 +176,19 @@ def token_count(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFram
     """doc_id, n_bytes, n_tokens, over_limit of every document. ``model_path`` must exist on every executor."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load(model_path), {}
+        model, known, held = load(model_path), {}, 0
         for batch in slices(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             words = [model.pieces(t) for t in texts]
-            if len(known) > REMEMBER:
+            if held > REMEMBER:
                 known.clear()
+                held = 0
             fresh = list({w for ws in words for w in ws if w not in known})
-            if fresh:
-                known.update(zip(fresh, model.count([w.replace(" ", SPACE) for w in fresh]).tolist(), strict=True))
-            tokens = [sum(map(known.__getitem__, ws)) for ws in words]
+            counted = dict(zip(fresh, model.count([w.replace(" ", SPACE) for w in fresh]).tolist(), strict=True)) if fresh else {}
+            tokens = [sum(known[w] if w in known else counted[w] for w in ws) for ws in words]
+            short = {w: n for w, n in counted.items() if len(w) <= SHORT}
+            known |= short
+            held += sum(map(len, short))
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
