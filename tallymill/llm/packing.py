@@ -90,6 +90,11 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def id_bytes(enc) -> int:
+    """Bytes of an id on its way along the curve."""
+    return 4 if enc.n_vocab > 1 << 16 else 2
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, start, length, doc_tokens, key, full, crc, ids): whole sequences have their crc, what is left over has its ids (2 bytes each)."""
 
@@ -107,7 +112,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                     start.append(a)
                     full.append(a < whole)
                     check.append(crc(ids[a : a + SEQUENCE]) if a < whole else None)
-                    rest.append(None if a < whole else ids[a:].astype("<u2" if enc.n_vocab <= 1 << 16 else "<u4").tobytes())
+                    rest.append(None if a < whole else ids[a:].astype(f"<u{id_bytes(enc)}").tobytes())
             row, start = np.asarray(row), np.asarray(start, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(np.minimum(SEQUENCE, lengths[row] - start)), pa.array(lengths[row]), pa.array(key[row]), pa.array(full), pa.array(check, pa.int64()), pa.array(rest, pa.binary())],
@@ -124,7 +129,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     pieces = materialize(tokenize(docs, path), "pieces")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = max(1, encoder(path).n_vocab > 1 << 16) * 2
+    wide = id_bytes(encoder(path))
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sequence numbers count from 0 within the task; its pieces come in curve order."""
