@@ -31,7 +31,9 @@ from .common import fold, hash_below, materialize, slices, table, tidy
 from .ngrams import ngram_buckets, word_bytes
 
 BITS, SIZES = 12, (1, 2, 3)
-TRAIN_PER_LANG, TRAIN_ROWS, CENTROIDS, ROUNDS = 600, 12_000, 4, 8
+#: Training rows of a language and of all, about; and what each language keeps (all its rows if it has fewer), beyond the bound for all if need be.
+TRAIN_PER_LANG, TRAIN_ROWS, LEAST_PER_LANG = 600, 12_000, 20
+CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if its cosine is under this quantile of its centroid's training members, less the margin.
 REJECT_QUANTILE, REJECT_MARGIN = 0.005, 0.1
 
@@ -112,8 +114,12 @@ def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
 def sample(known: DataFrame) -> list:
     """Rows (lang, id, ids, tf) of the training sample: n-gram hashes and their counts, sorted."""
     sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    wanted = sizes.agg(F.sum(F.least("n", F.lit(TRAIN_PER_LANG)))).first()[0] or 0
-    rate = F.least(F.lit(1.0), F.lit(TRAIN_PER_LANG) / F.col("n")) * min(1.0, TRAIN_ROWS / max(1, wanted))
+    # every language keeps its first rows, the rest of the bound is shared in proportion
+    wanted, first = F.least("n", F.lit(TRAIN_PER_LANG)), F.least("n", F.lit(LEAST_PER_LANG))
+    sums = sizes.agg(F.sum(wanted).alias("wanted"), F.sum(first).alias("first")).first()
+    rest = (sums["wanted"] or 0) - (sums["first"] or 0)
+    share = min(1.0, max(0, TRAIN_ROWS - (sums["first"] or 0)) / max(1, rest))
+    rate = (first + (wanted - first) * share) / F.col("n")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
