@@ -20,7 +20,7 @@ shares a band goes unchecked unless it is connected already or cannot be a link.
 
 Defined results: a text without words (null, empty, punctuation) is alone in its class, as is its every row; texts of
 one to four words have one shingle; texts of any length are compared whole; class_id is the smallest doc_id of a class and
-that row stays; rows that repeat a doc_id are the same document; a row without doc_id is alone (class_id null) and stays;
+that row stays; rows that repeat a doc_id with its text are the same document, those with another text are judged by their own; a row without doc_id is alone (class_id null) and stays;
 other columns are ignored (``filter_docs`` keeps them); an empty table gives no rows.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hot_keys, materialize, mix, raw, salted_join, slices, table, tidy
@@ -295,8 +295,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 @tidy("near-dedup")
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links (verified links of its text that were needed), kept of every document."""
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, kept of every document; a doc_id, of any type that sorts, has one text."""
     sigs = materialize(signatures(docs), "signatures")
     copies = sigs.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"))
     copies = materialize(copies, "copies")
@@ -315,10 +315,35 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return known.unionByName(wordless).unionByName(no_id).select("*", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text), and whether some doc_id has several texts: then the doc_id is a pair with the text's hash instead."""
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text_hash()).alias("low"), F.max(text_hash()).alias("high"))
+    shared = not texts.filter("low <> high").limit(1).isEmpty()
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_hash().alias("text_hash")))
+    return docs.select(key.alias("doc_id") if shared else "doc_id", "text"), shared
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links (verified links of its text that were needed), kept of every document."""
+    rows, shared = keyed(docs)
+    found = classes_of(rows)
+    return found.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("class_id.doc_id").alias("class_id"), "n_links", "kept") if shared else found
+
+
 def filter_docs(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay (the smallest doc_id of each class), with all their columns."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    rows, shared = keyed(docs)
+    kept = classes_of(rows).filter("kept")
+    if not shared:
+        kept = kept.select(F.col("doc_id").alias("__kept_id"))
+        return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = kept.select(F.col("doc_id.doc_id").alias("__kept_id"), F.col("doc_id.text_hash").alias("__kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("doc_id").isNull() | (F.col("__hash") == F.col("__kept_hash")))
+    return docs.withColumn("__hash", text_hash()).join(kept, same, "left_semi").select(docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
