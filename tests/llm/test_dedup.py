@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill import store
 from tallymill.llm import chunk_dedup, common, components, exact_dedup, near_dedup, suffix_dedup
 from tallymill.llm import decontamination as dec
 from tallymill.llm.shingles import WIDTH, weighted
@@ -509,3 +510,15 @@ def test_decontamination_of_long_texts(spark, long_texts):
 def test_chunk_dedup_of_long_texts(spark, long_texts):
     got = {r.doc_id: r.n_removed / r.n_bytes for r in chunk_dedup.chunk_dedup(table(spark, long_texts[3])).collect()}
     assert got[1] == got[4] == 0 and 0.9 < got[2] < 1
+
+
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    """Rows that share an id are judged by their own text; the class keeps its smallest id."""
+    rng = random.Random(2)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(2))
+    rows = [(0, b), (1, a), (1, b), (2, a + " more"), (3, b), (3, ""), (None, a), (2, a + " more")]
+    docs = table(spark, rows)
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.filter_docs(docs).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(0, b), (1, a), (3, ""), (None, a)], key=str)
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in near_dedup.near_dedup(docs).collect()), key=str)
+    assert got == sorted([(0, 0, True), (1, 1, True), (1, 0, False), (2, 1, False), (2, 1, False), (3, 0, False), (3, 3, True), (None, None, True)], key=str)

@@ -1,5 +1,6 @@
 """Operators that judge each text by itself: URL filter, packing, language, tokens, toxicity."""
 
+import collections
 import math
 import random
 import zlib
@@ -99,19 +100,19 @@ def test_url_verdicts_equal_a_recount(spark):
     toks = lambda h, p: [w for x in url.host_parts(h) for w in words(x)] + [f"/{w}" for x in url.path_parts(p) for w in words(x)]
     got = url.url_filter(df).collect()
     assert len(got) == len(rows)
-    seen = set()
-    for r in got:
-        if r.rule and zlib.crc32(r.host.encode()) % 5:
-            end, path = r.rule.split("/", 1)
-            seen |= {(r.verdict, t, r.host) for t in toks(r.host[: -len(end)], r.path[len(path) + 1 :])}
-    n = {}
-    for v, t, _ in seen:
-        n[v, t] = n.get((v, t), 0) + 1
+    seen, urls = [], collections.Counter()
+    for host, path, rule, verdict in {(r.host, r.path, r.rule, r.verdict) for r in got if r.rule and zlib.crc32(r.host.encode()) % 5}:
+        end, start = rule.split("/", 1)
+        seen += [(verdict, t) for t in toks(host[: -len(end)], path[len(start) + 1 :])]
+        urls[verdict] += 1
+    n = collections.Counter(seen)
+    prior = math.log((urls["block"] + 1) / (urls["allow"] + 1))
     vocab, total = {t for _, t in n}, {v: sum(c for (w, _), c in n.items() if w == v) for v in ("allow", "block")}
     odds = lambda t: math.log((n.get(("block", t), 0) + 1) / (total["block"] + len(vocab))) - math.log((n.get(("allow", t), 0) + 1) / (total["allow"] + len(vocab)))
     assert len({url.bucket(t) for t in vocab}) == len(vocab)
     for r in got:
-        want = sum(odds(t) for t in toks(r.host, r.path) if t in vocab)
+        mine = toks(r.host, r.path)
+        want = prior + sum(odds(t) for t in mine if t in vocab) if mine else 0.0
         assert r.score == pytest.approx(want) and r.method == ("block" if want > math.log(url.EVIDENCE) else "allow") and r.held_out == (zlib.crc32(r.host.encode()) % 5 == 0)
         assert r.verdict == (r.method if r.rule is None else "block" if r.rule == "com/en/" else "allow")
     by = {r.page_id: r for r in got}
@@ -135,6 +136,14 @@ def test_url_words_count_however_many_there_are(spark):
     assert rows[0].words == f"{words[7]} {words[24_999]} xyz" and rows[1].words == f"{words[3]} {rare} xyz"
 
 
+def test_url_parts_of_any_length(spark):
+    """100,000 letters without a break beside short names: split whole, in bounded pieces."""
+    long = "casinoriver" * 600 + "q" * 93_400
+    rows = {r.page_id: r for r in url.url_filter(pages(spark, [f"http://{long}.xyz/a", "http://casinoriver.xyz/", f"http://b.xyz/{'x' * 6500}"])).collect()}
+    assert rows[0].words.startswith("casino river " * 600 + "q") and rows[0].words.endswith(" xyz") and rows[0].words.replace(" ", "") == long + "xyz"
+    assert rows[1].words == "casino river xyz" and rows[2].verdict == "allow"
+
+
 def test_url_hosts_with_digits_give_words(spark):
     rows = {r.page_id: r for r in url.url_filter(pages(spark, ["http://casino24.xyz/a", "http://best4poker.xyz/a", "http://museum7news.xyz/a"])).collect()}
     assert rows[0].words == "casino # xyz" and rows[1].words.endswith("# poker xyz") and rows[2].words == "museum # news xyz"
@@ -180,6 +189,12 @@ def test_repeated_rows_are_packed_each(spark):
     assert sum(r.length for r in rows) == 2 * rows[0].doc_tokens
 
 
+def test_wide_ids_travel_in_four_bytes():
+    from types import SimpleNamespace
+
+    assert [packing.id_bytes(SimpleNamespace(n_vocab=n)) for n in (50_257, 1 << 16, (1 << 16) + 1, 200_000)] == [2, 2, 4, 4]
+
+
 def test_hilbert_is_a_curve():
     side = 16
     grid = np.stack(np.meshgrid(np.arange(side), np.arange(side), indexing="ij"), -1).reshape(-1, 2)
@@ -191,6 +206,17 @@ def test_hilbert_is_a_curve():
 # ---------------------------------------------------------------- token counts
 
 
+def test_token_counts_of_long_texts_without_spaces(spark):
+    """Megabytes in one piece are counted, and not remembered."""
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["abcd" * 200_000, "é" * 300_000 + " x", "a" * 64, "a" * 65] * 2
+    got = {r.doc_id: r.n_tokens for r in token_count.token_count(docs(spark, texts), path).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(x) for x in lib.encode(texts, num_threads=1)]
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
@@ -383,3 +409,19 @@ def test_toxicity_edges(spark):
     assert toxicity.train(d, labels.limit(0)) is None
     rows = toxicity.score(d.union(d), None).collect()
     assert len(rows) == 16 and {r.score for r in rows} == {0.0} and toxicity.score(d.limit(0), None).count() == 0 and toxicity.filter_docs(d, None).count() == 8
+
+
+def test_rare_languages_are_learned_beside_many(spark, monkeypatch):
+    """60 languages whose rows pass the bound for all, five of them with eight rows: each is learned and found."""
+    monkeypatch.setattr(lang, "TRAIN_ROWS", 600)
+    rng = random.Random(4)
+    rows, names = [], [f"l{k:02}" for k in range(60)]
+    for k, name in enumerate(names):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(12)]
+        for _ in range(8 if k % 12 == 0 else 60):
+            rows.append((len(rows), " ".join(rng.choices(words, k=30)), name, "s", 1))
+    known = spark.createDataFrame(rows, DOCS)
+    model = lang.train(known)
+    assert set(model.langs) == set(names)
+    got = lang.identify(known, model).join(known.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got) > 400
