@@ -2,7 +2,9 @@
 
 Order: toxicity, exact dedup, near dedup, benchmark decontamination, packing. All but the last return the columns
 of documents; the last returns one row per packed piece. Rows with null or empty texts pass the filters (null and
-empty texts are equal, so one of them stays); extra columns are carried through the filtering stages.
+empty texts are equal, so one of them stays); extra columns are carried through the filtering stages. Rows that repeat a doc_id with its text
+stay or go together, rows that share an id are judged by their own text; ties go to the largest doc_id among equal texts and to the
+smallest among near copies; texts of any length are read whole; empty tables give no rows. Each stage's table is deleted once the next has been written.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymill.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from tallymill.llm.common import materialize, table
+from tallymill.store import drop, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scope() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        result = made.pop()
+        drop(spark, [*made, *before])  # what the stage read and made is not needed any more
+        before = [result]
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # written out, so its input can go
+    drop(spark, before)
+    return packed
