@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .lcs import Names
 from .text import characters, fold_width
 
 
@@ -36,33 +39,42 @@ def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(a == b, 1.0).when(possible, 2.0 * common_subsequence(a, b) / both)
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Bit-parallel longest common subsequence."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        u = row & where.get(ch, 0)
-        row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
-
-
-def best_window(a: str, b: str) -> float:
-    """The best similarity of the shorter text with a window of the longer one, of its length or shorter at the ends; 0 to 1."""
-    if not a or not b:
-        return float(a == b)
-    short, long = sorted((a, b), key=len)
-    m, n = len(short), len(long)
-    windows = {long[max(0, i) : i + m] for i in range(1 - m, n)}
-    best = max(2 * lcs_length(short, w) / (m + len(w)) for w in windows)
-    if m == n:
-        best = max(best, *(2 * lcs_length(long, w) / (m + len(w)) for w in {short[max(0, i) : i + m] for i in range(1 - m, n)}))
-    return best
-
-
-@F.pandas_udf(BooleanType())
-def name_in_lines(names: pd.Series, lines: pd.Series) -> pd.Series:
+#: Pairs of names whose windows are compared at once: bounds the lanes.
+PAIRS = 20_000
+NEAR = 0.8
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of an array of lists."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def numbered(*columns: pa.Array) -> tuple[Names, list[np.ndarray]]:
+    """The different names of the columns, null as the empty one, and each column as their numbers."""
+    coded = pc.dictionary_encode(pa.concat_arrays([c.cast(pa.string()).fill_null("") for c in columns]))
+    cuts = np.cumsum([len(c) for c in columns])[:-1]
+    return Names(coded.dictionary.to_pylist()), np.split(coded.indices.to_numpy().astype(np.int64), cuts)
+
+
+@F.arrow_udf(BooleanType())
+def name_in_lines(names: pa.Array, lines: pa.Array) -> pa.Array:
     """Whether a normal name stands in one of the normal lines, up to 20 % of changes; an empty name does."""
-    return pd.Series([not n or any(best_window(n, x) >= 0.8 for x in (ls if ls is not None else ())) for n, ls in zip(names, lines, strict=True)], dtype="bool")
+    row, each = flat(lines)
+    known, (name, line) = numbered(names, each)
+    out = known.size[name] == 0
+    pair, at = np.unique(np.stack([name[row], line], 1), axis=0, return_inverse=True)
+    near = np.asarray([known.names[a] in known.names[b] for a, b in pair.tolist()], bool)
+    # the rows of a name that stands there as it is need no search
+    done = out.copy()
+    np.logical_or.at(done, row, near[at] & (known.size[line] > 0))
+    open_ = np.zeros(len(pair), bool)
+    open_[at[~done[row]]] = True
+    todo = np.flatnonzero(open_)
+    for a in range(0, len(todo), PAIRS):
+        some = todo[a : a + PAIRS]
+        near[some] = known.best_window(pair[some, 0], pair[some, 1]) >= NEAR
+    near[todo] &= known.size[pair[todo, 1]] > 0
+    found = near[at] & ~done[row]
+    np.logical_or.at(done, row, found)
+    return pa.array(done)

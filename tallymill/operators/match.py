@@ -4,40 +4,45 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import money_equal
-from ..functions.names import lcs_length, name_similarity, norm_name
+from ..functions.names import flat, name_similarity, norm_name, numbered
 from ..functions.text import characters
 from ..types import PAIR
 
 NAME_THRESHOLD, PRICE_TOL = 0.6, 0.5
 
 
-@functools.lru_cache(1 << 16)
-def similarity(a: str, b: str) -> float:
-    """2 LCS / (|a| + |b|) of normal names; 1 for two empty ones."""
-    return 1.0 if a == b else 2 * lcs_length(a, b) / (len(a) + len(b))
-
-
 @functools.cache
 def similar_pairs(threshold: float):
-    """Arrow UDF over arrays of normal names: all (i, j, sim) with at least the threshold. Quadratic in the names' lengths as an
-    expression, so it runs in Python with bit-parallel rows and remembers recent pairs of names."""
-
-    @F.pandas_udf(f"array<{PAIR}>")
-    def pairs(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for ps, gs in zip(left, right, strict=True):
-            found = []
-            for i, p in enumerate(ps if ps is not None else ()):
-                for j, g in enumerate(gs if gs is not None else ()):
-                    if 2 * min(len(p), len(g)) >= threshold * (len(p) + len(g)) and (s := similarity(p, g)) >= threshold:
-                        found.append({"i": i, "j": j, "sim": s})
-            out.append(found)
-        return pd.Series(out)
+    """Arrow UDF over arrays of normal names: all (i, j, sim) with at least the threshold, by i, then j. A batch's different pairs of names, less those
+    that their lengths rule out, are compared at once (``functions.lcs``); as an expression that is quadratic in the names' lengths."""
+
+    @F.arrow_udf(f"array<{PAIR}>")
+    def pairs(left: pa.Array, right: pa.Array) -> pa.Array:
+        (row_p, ps), (row_g, gs) = flat(left), flat(right)
+        known, (p, g) = numbered(ps, gs)
+        n = len(left)
+        n_p, n_g = np.bincount(row_p, minlength=n), np.bincount(row_g, minlength=n)
+        first_p, first_g = np.cumsum(n_p) - n_p, np.cumsum(n_g) - n_g
+        # every item of one side beside every item of the other, record by record
+        item = np.repeat(np.arange(len(p)), n_g[row_p])
+        row = row_p[item]
+        j = np.arange(len(item)) - np.repeat(np.cumsum(n_g[row_p]) - n_g[row_p], n_g[row_p])
+        a, b = p[item], g[first_g[row] + j]
+        ok = 2 * np.minimum(known.size[a], known.size[b]) >= threshold * (known.size[a] + known.size[b])
+        item, row, j, a, b = (x[ok] for x in (item, row, j, a, b))
+        different, at = np.unique(a * np.int64(len(known.names) + 1) + b, return_inverse=True)
+        sim = known.similarity(different // (len(known.names) + 1), different % (len(known.names) + 1))[at]
+        ok = sim >= threshold
+        i, j, sim, row = (item - first_p[row])[ok], j[ok], sim[ok], row[ok]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sim)], ["i", "j", "sim"])
+        return pa.ListArray.from_arrays(ends, found)
 
     return pairs
 

@@ -642,19 +642,31 @@ def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("place", "bucket", "count", F.array_join("examples", ",").alias("examples"))
 
 
-@query(
-    f"""WITH {MATCH}, {NUMBERS}, mg AS (SELECT pr.system, pr.k, coalesce(price.p, []) AS pp, coalesce(price.g, []) AS pg, coalesce(named.p, []) AS np, coalesce(named.g, []) AS ng FROM pr LEFT JOIN gr USING (system, k)),
+def _error_items_sql(unseen: str) -> str:
+    """unseen: condition under which a missed item's name is not on the lines."""
+    return f"""WITH {MATCH}, {NUMBERS}, mg AS (SELECT pr.system, pr.k, coalesce(price.p, []) AS pp, coalesce(price.g, []) AS pg, coalesce(named.p, []) AS np, coalesce(named.g, []) AS ng FROM pr LEFT JOIN gr USING (system, k)),
 go AS (SELECT system, mg.k, j AS item, CASE WHEN NOT list_contains(ns, CAST(CAST(round_even(cents / CAST(100 AS DOUBLE), 0) AS BIGINT) AS VARCHAR)) THEN 'item_ocr'
-        WHEN list_contains(ng, j) AND NOT list_contains(pp, np[list_position(ng, j)]) THEN 'item_price_only' ELSE 'item_missed' END AS bucket FROM mg JOIN ln ON mg.k = ln.k JOIN nl ON nl.k = ln.k WHERE NOT list_contains(pg, j)),
+        WHEN list_contains(ng, j) AND NOT list_contains(pp, np[list_position(ng, j)]) THEN 'item_price_only' WHEN {unseen} THEN 'item_ocr' ELSE 'item_missed' END AS bucket FROM mg JOIN ln ON mg.k = ln.k JOIN nl ON nl.k = ln.k WHERE NOT list_contains(pg, j)),
 po AS (SELECT pi.system, pi.k, pi.i AS item FROM pi JOIN mg USING (system, k) WHERE NOT list_contains(pp, pi.i) AND NOT (list_contains(np, pi.i) AND NOT list_contains(pg, ng[list_position(np, pi.i)])))
 SELECT system, k AS id, 'gold' AS side, CAST(item AS INT) AS item, bucket FROM go UNION ALL SELECT system, k, 'pred', CAST(item AS INT), 'item_extra' FROM po"""
-)
+
+
+@query(_error_items_sql("false"))
 def error_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched items by cause (best-window name search in Python only where nothing else decides)."""
     rows = score.with_matches(with_errors_input(spark, sf_dir))
     return errors.item_errors(rows, keys=("system", "id")).select("system", "id", "side", "item", "bucket")
 
 
+@query(_error_items_sql("mg.k % 2 = 1"))
+def error_items_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every other record's names are unreadable on its lines: a missed item with a legible price is then a reading error."""
+    rows = score.with_matches(with_errors_input(spark, sf_dir))
+    blurred = F.transform("lines", lambda x: F.regexp_replace(x, "[A-Za-z]", "#"))
+    rows = rows.withColumn("lines", F.when(F.col("id") % 2 == 1, blurred).otherwise(F.col("lines")))
+    return errors.item_errors(rows, keys=("system", "id")).select("system", "id", "side", "item", "bucket")
+
+
 @query(
     f"""WITH {LINES}, g AS (SELECT *, (sub // 100) AS a, lpad(CAST(sub % 100 AS VARCHAR), 2, '0') AS b FROM gold)
 SELECT k AS id, 'none' AS subtotal, CASE WHEN k % 2 = 1 THEN 'Rp ' || format('{{:,}}', total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') END AS total, CAST(NULL AS VARCHAR) AS tax FROM g"""

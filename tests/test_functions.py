@@ -1,14 +1,18 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions import amounts as A
 from tallymill.functions import names as N
+from tallymill.functions.lcs import Names, lcs_length
 from tallymill.functions.text import normalize_unicode
 
 AMOUNTS = {
-    "60.000": 60000, "24,000": 24000, "1,555,200": 1555200, "1.213.000": 1213000, "70000.00": 70000, "12,50": 12.5, "1.234,56": 1234.56, "1,234.56": 1234.56,
-    "Rp. 39.600": 39600, "$12.99": 12.99, "@120,000": 120000, "-60.000": -60000, "-2 600": -2600, "(0)": 0, "[145,900]": 145900, "(5,000)": -5000,
-    "": None, "abc": None, "Rp": None, "-": None, None: None,
+    "81.500": 81500, "37,250": 37250, "4,310,900": 4310900, "6.045.700": 6045700, "8125.00": 8125, "9,75": 9.75, "3.408,19": 3408.19, "7,206.84": 7206.84,
+    "Rp. 18.350": 18350, "$7.45": 7.45, "@64,500": 64500, "-71.300": -71300, "-8 450": -8450, "(00)": 0, "[208,150]": 208150, "(7,300)": -7300,
+    "": None, "due": None, "RM": None, "--": None, None: None,
 }
 
 
@@ -17,25 +21,25 @@ def test_parse_amount(column):
 
 
 def test_parse_amount_list(column):
-    assert column(A.parse_amount_list, [["x", "1,213,000", "60,000"], [], None], "array<string>") == [1213000, None, None]
+    assert column(A.parse_amount_list, [["n/a", "2,415,000", "75,500"], [], None], "array<string>") == [2415000, None, None]
 
 
 def test_parse_quantity(column):
-    cases = {"2": 2, "1X": 1, "x3": 3, "2.00": 2, "(2": 2, "1.00xITEMs": 1, "1,5": 1.5, "1.000": 1, "pcs": None, None: None}
+    cases = {"14": 14, "6X": 6, "x8": 8, "3.00": 3, "(7": 7, "5.00xPACKs": 5, "2,5": 2.5, "6.000": 6, "each": None, None: None}
     assert column(A.parse_quantity, list(cases)) == list(cases.values())
 
 
 def test_detect_currency(column):
-    cases = {"TOTAL Rp 50.000": "IDR", "Total $12.00": "USD", "usd then €": "EUR", "GRAPE JUICE": None, "Rp5": None, "won": None, "RM 5 or SGD": "MYR", None: None}
+    cases = {"BILL Rp 8.200": "IDR", "Paid $3.10": "USD", "gbp then €": "EUR", "GRAPEFRUIT": None, "Rp9": None, "yuan": None, "RM 8 or THB": "MYR", None: None}
     assert column(A.detect_currency, list(cases)) == list(cases.values())
 
 
 def test_amounts_in(column):
-    assert column(A.amounts_in, ["1 120,000", "TOTAL 20 000", "TOTAL 121, 768", "TOTAL", "-5 and 1.234,50"]) == [[1, 120000], [20000], [121768], [], [5, 1234.5]]
+    assert column(A.amounts_in, ["3 87,500", "DUE 41 000", "DUE 306, 215", "DUE", "-8 and 2.718,50"]) == [[3, 87500], [41000], [306215], [], [8, 2718.5]]
 
 
 def test_norm_name(column):
-    assert column(N.norm_name, [" j.stb  promo ", "JASMINE MT ( L )", "日本", None]) == ["J STB PROMO", "JASMINE MT L", "", ""]
+    assert column(N.norm_name, [" k.lat  deal ", "MINT TEA ( XL )", "茶", None]) == ["K LAT DEAL", "MINT TEA XL", "", ""]
 
 
 def test_money_equal(spark):
@@ -60,13 +64,54 @@ def test_format_money(column):
 def test_similarity_native_equals_bit_parallel(spark, a, b, want):
     native = spark.range(1).select(N.name_similarity(F.lit(a), F.lit(b))).first()[0]
     assert native == pytest.approx(want)
-    assert (1.0 if a == b else 2 * N.lcs_length(a, b) / max(1, len(a) + len(b))) == pytest.approx(want)
+    assert (1.0 if a == b else 2 * lcs_length(a, b) / max(1, len(a) + len(b))) == pytest.approx(want)
+
+
+def names_at_random(n, seed, most=80):
+    r = random.Random(seed)
+    return ["", *{"".join(r.choice("AB C1" if r.random() < 0.5 else "ABCDEFGH 0123456789") for _ in range(r.choice([1, 3, 8, 20, 63, 64, 65, most]))) for _ in range(n)}]
+
+
+def by_table(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("more", [[], ["ÉTÉ", "THÉ É"]])
+def test_lanes_equal_the_table(more):
+    names = names_at_random(60, 1) + more
+    known = Names(names)
+    a, b = np.divmod(np.arange(len(names) ** 2), len(names))
+    want = [by_table(names[i], names[j]) for i, j in zip(a, b, strict=True)]
+    assert known.lcs(a, b).tolist() == want
+    assert known.lcs(a[:0], b[:0]).tolist() == []
+    both = [len(names[i]) + len(names[j]) for i, j in zip(a, b, strict=True)]
+    assert known.similarity(a, b).tolist() == [2 * w / n if n else 1.0 for w, n in zip(want, both, strict=True)]
+
+
+@pytest.mark.parametrize("more", [[], ["ÉTÉ", "THÉ É"]])
+def test_windows_equal_the_table(more):
+    names = names_at_random(25, 2, 70) + more
+
+    def best(a, b):
+        if not a or not b:
+            return float(a == b)
+        ways = [(a, b)] if len(a) < len(b) else [(b, a)] if len(a) > len(b) else [(a, b), (b, a)]
+        return max(2 * by_table(s, w) / (len(s) + len(w)) for s, long in ways for i in range(1 - len(s), len(long)) for w in [long[max(0, i) : i + len(s)]])
+
+    known = Names(names)
+    a, b = np.divmod(np.arange(len(names) ** 2), len(names))
+    assert known.best_window(a, b).tolist() == [best(names[i], names[j]) for i, j in zip(a, b, strict=True)]
 
 
-def test_best_window():
-    assert N.best_window("TEA", "GREEN TEA 52") == 1.0
-    assert N.best_window("GREEN TEE", "2 GREEN TEA 52,000") >= 0.8
-    assert N.best_window("POTATO", "XYZ") == 0.0
+def test_name_in_lines(spark):
+    cases = [("MINT TEA", ["2 MINT TEA 52", "X"], True), ("MINT TEE", ["9", "2 MINT TEA 52 000"], True), ("CARROT", ["XYZ", ""], False), ("", [], True), ("", None, True), ("A", None, False), ("A", [""], False), (None, ["x"], True)]
+    df = spark.createDataFrame([(i, n, ls) for i, (n, ls, _) in enumerate(cases)], "i int, n string, ls array<string>").coalesce(1)
+    assert [r[0] for r in df.select(N.name_in_lines("n", "ls"), "i").orderBy("i").collect()] == [w for *_, w in cases]
 
 
 def test_normalize_unicode(spark):
