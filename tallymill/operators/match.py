@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.amounts import money_equal
-from ..functions.names import flat, name_similarity, norm_name, numbered
+from ..functions.names import flat, norm_name, numbered
 from ..functions.text import characters
 from ..types import PAIR
 
@@ -70,25 +71,64 @@ def greedy(found: Column) -> Column:
     return F.aggregate(ordered, none, take)
 
 
-def similar_names(names: DataFrame, least: float = NAME_THRESHOLD) -> DataFrame:
-    """(a, b, sim), a < b: all pairs of different names (column name) with at least the similarity ``least``.
+#: Symbols of normal names, and how many of each have a bit of their own.
+SYMBOLS, REPEATS, WORD = " 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 5, 62
+MAPS = [f"m{k}" for k in range(-(-len(SYMBOLS) * REPEATS // WORD))]
+
+
+@F.arrow_udf(DoubleType())
+def pair_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Similarity of two columns of normal names, each batch at once."""
+    known, (x, y) = numbered(a, b)
+    return pa.array(known.similarity(x, y))
+
+
+def letter_maps(letters: Column) -> dict[str, Column]:
+    """The counts of a name's letters as bits, the k-th A being a bit of its own, and how many letters have none."""
+    place = lambda x: F.instr(F.lit(SYMBOLS), F.substring(x, 1, 1)) - 1
+    which = lambda x: F.substring(x, F.lit(2), F.length(x)).cast("int") - 1
+    bits = F.transform(F.filter(letters, lambda x: (place(x) >= 0) & (which(x) < REPEATS)), lambda x: place(x) * REPEATS + which(x))
+    add = lambda k: lambda done, bit: done.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit - k * WORD))
+    mine = lambda k: F.filter(bits, lambda x: F.floor(x / WORD) == k)
+    own = {m: F.aggregate(mine(k), F.lit(0).cast("long"), add(k)) for k, m in enumerate(MAPS)}
+    return own | {"extra": F.size(letters) - F.size(bits)}
+
+
+def candidate_names(names: DataFrame, least: float = NAME_THRESHOLD) -> DataFrame:
+    """(a, b, na, nb), a < b: pairs of different names (column name) with their normal forms, among them all with at least the similarity ``least``.
 
     A common subsequence is no longer than the letters that two names share, the k-th a of one counted as the k-th a of the other. With
     2 LCS >= least (m + n), the shorter name has at least r = least / (2 - least) of the longer one's letters, so a name of m letters
-    shares at least r m of its own with a similar one. Of these letters, ordered by how few names have them, the first m - r m + 1 must then
-    meet those of the other name: names are joined on these only, and by length.
+    shares at least r m of its own with a similar one. Of these letters, ordered by how few names have them, the first two shared ones
+    are then among the first m - r m + 2 of either name: names are joined on pairs of these (on one of the first m - r m + 1 where the lengths
+    ask for one shared letter only). The join's condition lets a pair pass once, at the first two letters on which they meet, and only if the
+    lengths and the letters that both have allow the similarity; no other pair is built.
     """
     r = least / (2 - least)
     ready = names.select("name").filter("name IS NOT NULL").distinct().withColumn("n", norm_name(F.col("name")))
     letters = F.transform(characters(F.col("n")), lambda ch, i: F.concat(ch, F.size(F.filter(characters(F.substring(F.col("n"), F.lit(1), i + 1)), lambda x: x == ch)).cast("string")))
-    keyed = ready.withColumn("letter", F.explode(F.when(F.col("n") == "", F.array(F.lit(""))).otherwise(letters)))
+    ready = ready.withColumn("letters", letters).withColumns(letter_maps(F.col("letters")))
+    keyed = ready.withColumn("letter", F.explode_outer("letters")).drop("letters")
     often = keyed.groupBy("letter").agg(F.count(F.lit(1)).alias("names"))  # as many rows as there are letters and repeats
-    ranked = keyed.join(F.broadcast(often), "letter").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("names", "letter"))).alias("xs"))
+    ranked = keyed.join(F.broadcast(often), "letter", "left").groupBy("name", "n", *MAPS, "extra").agg(F.sort_array(F.collect_list(F.struct("names", "letter"))).alias("xs"))
     size = F.length("n")
-    first = F.greatest(F.lit(1), size - F.ceil(size * r - 1e-9).cast("int") + 1)
-    head = ranked.select("name", "n", F.explode(F.slice("xs", F.lit(1), first)).alias("x")).select("name", "n", F.col("x.letter").alias("letter"))
-    a, b = (head.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), "letter") for x in ("a", "b"))
+    spare = size - F.ceil(size * r - 1e-9).cast("int")
+    heads = F.filter(F.transform(F.slice("xs", F.lit(1), F.greatest(F.lit(1), spare + 2)), lambda x: x["letter"]), lambda x: x.isNotNull())
+    two = F.flatten(F.transform("heads", lambda x, i: F.transform(F.slice("heads", i + 2, F.size("heads")), lambda y: F.concat(x, F.lit("-"), y))))
+    one = F.when(size <= 2 / least, F.when(size == 0, F.array(F.lit(""))).otherwise(F.slice("heads", F.lit(1), spare + 1))).otherwise(F.array().cast("array<string>"))
+    head = ranked.withColumn("heads", heads).drop("xs").withColumn("key", F.explode(F.concat(one, two)))
+    a, b = (head.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("heads").alias(f"heads_{x}"), F.col("extra").alias(f"extra_{x}"), *[F.col(m).alias(f"{m}_{x}") for m in MAPS], "key") for x in ("a", "b"))
     la, lb = F.length("na"), F.length("nb")
-    near = (F.col("a") < F.col("b")) & (la >= lb * r - 1e-9) & (lb >= la * r - 1e-9)
-    pairs = a.join(b, "letter").filter(near).select("a", "b", "na", "nb").distinct()
-    return pairs.select("a", "b", name_similarity(F.col("na"), F.col("nb"), least).alias("sim")).filter(F.col("sim") >= least)
+    shared = F.least("extra_a", "extra_b")
+    for m in MAPS:
+        shared = shared + F.bit_count(F.col(f"{m}_a").bitwiseAND(F.col(f"{m}_b")))
+    near = (F.col("a") < F.col("b")) & (la >= lb * r - 1e-9) & (lb >= la * r - 1e-9) & (2 * shared >= (la + lb) * least - 1e-9)
+    met = F.array_intersect("heads_a", "heads_b")
+    few = la + lb <= 2 / least  # one shared letter may do
+    once = F.col("key") == F.when(few, F.coalesce(F.get(met, F.lit(0)), F.lit(""))).otherwise(F.concat_ws("-", F.get(met, F.lit(0)), F.get(met, F.lit(1))))
+    return a.join(b, "key").filter(near & once).select("a", "b", "na", "nb")
+
+
+def similar_names(names: DataFrame, least: float = NAME_THRESHOLD) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of different names (column name) with at least the similarity ``least``."""
+    return candidate_names(names, least).select("a", "b", pair_similarity("na", "nb").alias("sim")).filter(F.col("sim") >= least)

@@ -273,6 +273,16 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- joins and sets
 
 
+@query()
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every word of ten letters and more that the documents have: how many others are at least 0.9 alike, and the most alike of them (ties: the
+    first). SQL has no such similarity at this size."""
+    text = read_table(spark, sf_dir, "documents").select(F.explode(F.split(F.upper("text"), "[^A-Z]+")).alias("name"))
+    pairs = match.similar_names(text.filter(F.length("name") >= 10), 0.9)
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "sim"), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), "sim"))))
+    return ends.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min_by("other", F.struct(-F.col("sim"), F.col("other"))).alias("nearest"), F.round(F.max("sim"), 9).alias("sim"))
+
+
 @query(f"WITH {PRED}, rn AS (SELECT 'rules' AS system, k FROM gold UNION ALL SELECT 'model', k FROM gold WHERE k % 7 <> 0 UNION ALL SELECT 'vision', k FROM gold WHERE k % 3 = 0) SELECT k AS id FROM gold WHERE k % 7 <> 0 AND k % 3 = 0")
 def subset_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that all partial runs cover."""

@@ -128,7 +128,7 @@ def test_percentiles_are_exact(spark):
 def test_similar_names_equal_brute_force(spark):
     import random
 
-    from tallymill.functions.names import lcs_length
+    from tallymill.functions.lcs import lcs_length
     from tallymill.operators import match
 
     rng = random.Random(3)
@@ -174,3 +174,27 @@ def test_review_list_and_trace_ids(spark, tmp_path):
     full = review.events(log.filter("kind = 'added'"), "added", F.col("seq")).unionByName(review.events(log.filter("kind = 'resolved'"), "resolved", F.col("seq")))
     state = review.state(full)
     assert [r.review_id for r in review.listed(state).collect()] == ["b", "a", "c"] and [r.review_id for r in review.listed(state, "pending").collect()] == ["b", "c"]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8, 0.9])
+def test_similar_names_build_few_pairs_and_lose_none(spark, least):
+    import random
+
+    from tallymill.functions.lcs import lcs_length
+    from tallymill.operators import match
+
+    r = random.Random(7)
+    stems = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 13))) for _ in range(150)]
+    names = {"", "a", "aaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaab", "日本", "x" * 90, "x" * 88 + "yz", *stems}
+    for w in stems:
+        k = r.randrange(len(w))
+        names |= {w[:k] + r.choice("xyz ") + w[k + 1 :], w[:k] + w[k + 1 :], w[::-1]}
+    names = sorted(names)
+    df = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "name string")
+    norm = {n: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in n.upper()).split()) for n in names}
+    sim = lambda a, b: 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+    want = {(a, b): s for i, a in enumerate(names) for b in names[i + 1 :] if (s := sim(norm[a], norm[b])) >= least}
+    got = {(x.a, x.b): x.sim for x in match.similar_names(df, least).collect()}
+    assert got == pytest.approx(want)
+    built, every = match.candidate_names(df, least).count(), len(names) * (len(names) - 1) // 2
+    assert built < {0.6: 0.35, 0.8: 0.05, 0.9: 0.02}[least] * every, (built, every, len(want))
