@@ -554,6 +554,30 @@ def reconstruct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reconstruct_lines(placed).select("id", F.array_join("lines", "\n").alias("lines"))
 
 
+@query(
+    f"""WITH {LINES}, t AS (SELECT k, j, CAST(CAST(qty AS INT) AS VARCHAR) || ' ' || name || '   ' || CAST(cents AS VARCHAR) || CASE WHEN k % 3 = 2 AND j = 0 AND n > 1 THEN '   #' ELSE '' END AS line FROM ln JOIN sums USING (k))
+SELECT k AS id, string_agg(line, chr(10) ORDER BY j) AS lines FROM t GROUP BY k"""
+)
+def reconstruct_lines_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are not straight: turned by up to 14 degrees; boxes of a line that overlap in part; a box as tall as two lines, which goes to
+    the first of them."""
+    lines = R.lines_of(spark, sf_dir).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("place", "name", "qty", "cents"))).alias("xs"))
+    kind, angle = F.col("k") % 3, F.radians(F.when(F.col("k") % 3 == 0, (F.col("k") % 15).cast("double")).otherwise(0.0))
+
+    def box(text, left, right, top, bottom):
+        point = lambda x, y: F.array(F.lit(x) * F.cos(angle) - y * F.sin(angle), F.lit(x) * F.sin(angle) + y * F.cos(angle))
+        return F.struct(F.array(point(left, top), point(right, top), point(right, bottom), point(left, bottom)).alias("quad"), text.alias("text"), F.lit(1.0).alias("score"))
+
+    def boxes(x, i):
+        top = i.cast("double") * 20.0
+        low = top + F.when(kind == 1, 4.0).otherwise(0.0)
+        return F.array(box(x["cents"].cast("string"), 400.0, 450.0, low, low + 12), box(x["qty"].cast("int").cast("string"), 0.0, 20.0, top, top + 12), box(x["name"], 30.0, 150.0, low, low + 12))
+
+    tall = F.when((kind == 2) & (F.size("xs") > 1), F.array(box(F.lit("#"), 500.0, 510.0, F.lit(0.0), F.lit(32.0))))
+    placed = lines.select(F.col("k").alias("id"), F.flatten(F.array(F.flatten(F.transform("xs", boxes)), F.coalesce(tall, F.slice(F.flatten(F.transform("xs", boxes)), 1, 0)))).alias("boxes"))
+    return layout.reconstruct_lines(placed).select("id", F.array_join("lines", "\n").alias("lines"))
+
+
 @query(
     f"""WITH {LINES} SELECT k AS id, CAST(CASE k % 4 WHEN 0 THEN n WHEN 1 THEN 1 WHEN 2 THEN n ELSE 0 END AS INT) AS n_items, CASE k % 4 WHEN 0 THEN sub WHEN 1 THEN f WHEN 2 THEN sub ELSE 0 END / CAST(100 AS DOUBLE) AS items_total, sub / CAST(100 AS DOUBLE) AS subtotal,
 disc / CAST(100 AS DOUBLE) AS discount, total / CAST(100 AS DOUBLE) AS total FROM gold JOIN (SELECT k, cents AS f FROM ln WHERE j = 0) USING (k)"""
