@@ -53,6 +53,22 @@ def latest(traces: DataFrame, n: int = 50, source: str | None = None) -> DataFra
     return rows.orderBy(*[F.desc(c) for c in ("ts", "id") if c in rows.columns]).limit(n)
 
 
+#: Size parameter of the kept sketches, and the rank error that they then have with 99 % probability, however many are merged.
+SKETCH_SIZE, RANK_ERROR = 400, 0.0074
+
+
+def sketches(traces: DataFrame, by: tuple[str, ...], measures: tuple[str, ...], time: str = "ts", every: str = "1 hour") -> DataFrame:
+    """(start, by, n, a sketch of each measure) of each window: a few kilobytes in place of its rows. They are kept, and added to, window by window."""
+    window = F.window(F.col(time), every)["start"].alias("start")
+    return traces.groupBy(window, *by).agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(SKETCH_SIZE)).alias(m) for m in measures])
+
+
+def merged_percentiles(kept: DataFrame, by: tuple[str, ...], measures: tuple[str, ...], points: dict[str, float] = POINTS) -> DataFrame:
+    """(by, n, measure_point...) over the windows of ``kept``; each has a rank within RANK_ERROR of the point's."""
+    merged = kept.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(m)).alias(m) for m in measures])
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)).alias(f"{m}_{p}") for m in measures for p, q in points.items()])
+
+
 def errors_only(scores: DataFrame) -> DataFrame:
     return scores.filter(~F.col("exact_match"))
 

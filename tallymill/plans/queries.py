@@ -9,8 +9,10 @@ from ..config import load
 from ..functions import amounts as A
 from ..functions import names as N
 from ..functions.stats import precision_recall_f1, share
-from ..operators import errors, extract, ingest, layout, match, monitor, ranks, review, score, sets, validate
+from ..operators import compaction, errors, extract, incremental, ingest, layout, match, monitor, ranks, review, score, sets, validate
+from ..sources import predictions
 from ..sources.files import read_table
+from ..store import folder, keep
 from ..types import SCORED_FIELDS
 from . import receipts as R
 
@@ -222,6 +224,29 @@ def item_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("system", "id", "n_pred_items", "n_gold_items", "item_tp", "item_name_tp", "qty_checked", "qty_correct", "exact_match")
 
 
+@query(f"WITH {MATCH} SELECT system, k AS id, CAST(tp AS INT) AS item_tp, exact_match, k % 4 = 0 AS was_new FROM ex")
+def scored_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a kept table: three of four records were scored by an earlier job; the second finds them and scores the rest."""
+    rows, path = R.predictions(spark, sf_dir), folder(spark, "scored")
+    incremental.scored(rows.filter(F.col("id") % 4 != 0), path, load())
+    early = keep(spark.read.parquet(path).select("system", "id"), "early")
+    found, _ = incremental.scored(rows, path, load())
+    was_new = early.withColumn("early", F.lit(True))
+    return found.join(was_new, ["system", "id"], "left").select("system", "id", "item_tp", "exact_match", F.col("early").isNull().alias("was_new"))
+
+
+@query(f"""WITH {PRED} SELECT 'test' AS split, system, CASE WHEN system = 'model' THEN 'm' || (k % 3) END AS model, 'v' || (k % 2) AS prompt, count(*) AS n, count(*) FILTER (NOT schema_valid) AS failed FROM va WHERE k % 2 = 1 AND (system = 'rules' OR k % 3 = 0) GROUP BY ALL""")
+def predictions_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and failures of some runs of a store that is partitioned by run; the table of runs prunes the store's partitions when the query runs."""
+    rows, path = R.predictions(spark, sf_dir).select("system", "id", "error"), folder(spark, "predictions")
+    rows = rows.withColumns({"split": F.lit("test"), "model": F.when(F.col("system") == "model", F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))), "prompt": F.concat(F.lit("v"), (F.col("id") % 2).cast("string"))})
+    predictions.write_runs(rows, path)
+    predictions.write_runs(rows.filter("prompt = 'v1'"), path)  # runs that come again are replaced
+    wanted = spark.createDataFrame([("test", "rules", None, "v1"), ("test", "model", "m0", "v1"), ("test", "none", None, "v1")], "split string, system string, model string, prompt string")
+    stored = predictions.of_runs(predictions.read_store(spark, path, "id long, error string"), wanted)
+    return stored.groupBy(*predictions.RUN).agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"))
+
+
 def _f1(tp: str, fp: str, fn: str) -> str:
     return f"CASE WHEN 2 * ({tp}) + ({fp}) + ({fn}) = 0 THEN CAST(0 AS DOUBLE) ELSE 2 * ({tp}) / CAST(2 * ({tp}) + ({fp}) + ({fn}) AS DOUBLE) END"
 
@@ -773,6 +798,23 @@ def mode_model_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(monitor.group_report(traces(spark, sf_dir), ("mode", "model"), ("t_total", "t_ocr")), "mode", "model", "n", places=6)
 
 
+@query(
+    f"WITH {TRACES} SELECT mode, count(*) AS n, {_q('t_total', 0.5)} AS p50, {_q('t_total', 0.95)} AS p95, true AS p50_near, true AS p95_near FROM tr GROUP BY mode"
+)
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from hourly sketches that were written and merged, beside the exact ones: whether the share of smaller values is within the stated
+    rank error of the point's."""
+    rows = traces(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_micros"))
+    kept = keep(monitor.sketches(rows, ("mode",), ("t_total",)), "sketches")
+    found = monitor.merged_percentiles(kept, ("mode",), ("t_total",))
+    exact = monitor.group_report(rows, ("mode",), ("t_total",)).select("mode", F.col("t_total_p50").alias("p50"), F.col("t_total_p95").alias("p95"))
+    below = {p: F.avg(F.when(F.col("t_total") < F.col(f"t_total_{p}"), 1.0).otherwise(0.0)) for p in monitor.POINTS}
+    upto = {p: F.avg(F.when(F.col("t_total") <= F.col(f"t_total_{p}"), 1.0).otherwise(0.0)) for p in monitor.POINTS}
+    near = {f"{p}_near": (below[p] <= q + monitor.RANK_ERROR) & (upto[p] >= q - monitor.RANK_ERROR) for p, q in monitor.POINTS.items()}
+    ranks_ = rows.filter("t_total IS NOT NULL").join(F.broadcast(found), "mode").groupBy("mode").agg(*[c.alias(n) for n, c in near.items()])
+    return found.select("mode", "n").join(exact, "mode").join(ranks_, "mode")
+
+
 @query(f"WITH {TRACES} SELECT mode, model, round_even(avg(k), 0) AS prompt_tokens, round_even(avg(k * 2), 0) AS completion_tokens FROM tr WHERE model IS NOT NULL GROUP BY mode, model")
 def mean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.mean_tokens(traces(spark, sf_dir), ("mode", "model"), ("prompt_tokens", "completion_tokens"))
@@ -832,6 +874,17 @@ def reviews_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.placed(review.state(review_log(spark, sf_dir)), "approved").select("place", "review_id")
 
 
+@query(f"WITH {REVIEWS} SELECT * FROM rv")
+def review_state_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from a log that comes in three parts, late ones first, and is compacted in between; the second compaction deletes what it covers."""
+    log, events = compaction.EventLog(spark, folder(spark, "reviews")), review_log(spark, sf_dir)
+    for part in (2, 0, 1):
+        log.append(events.filter(F.pmod(F.xxhash64("review_id", "seq"), F.lit(3)) == part))
+        if part < 2 and log.compact() and part == 0:
+            log.vacuum()
+    return log.state().select("review_id", "seq_created", F.coalesce("seq_reviewed", F.lit(-1)).alias("seq_reviewed"), "status")
+
+
 @query(f"WITH {PRED} SELECT va.system, va.decision, count(*) AS n FROM va GROUP BY ALL")
 def review_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records, checked again after an edit that adds a nameless item (which does not count)."""

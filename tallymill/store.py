@@ -35,11 +35,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. Deleted with the scope around it, or when this process ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder. Deleted with the scope around it, or when this process ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _scope.get().append(path)
+    return path
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors; lasts like ``folder``."""
+    spark = df.sparkSession
+    path = folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
