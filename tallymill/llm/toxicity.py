@@ -4,8 +4,12 @@ A text is the bag of its words and their byte n-grams (the space at either end i
 n-grams are averaged and fed to a two-class softmax; both layers are trained together by Adam. Unseen misspellings share
 n-grams with known words. As the model is linear after averaging, scoring needs one number per bucket.
 
+Toxic rows are few, and a model that knows its training rows by heart is too sure of them. So the training rows are scored by models that
+have not seen them (FOLDS folds), the cut with the best F1 of these scores is found, and the final model, trained on all rows, has its bias moved so
+that 0.5 is that cut.
+
 Training sample: at most about TRAIN labelled rows of each class, chosen by a fixed hash of doc_id, whose
-fold is not 0 (a documented bound on a fitted classifier); each is reduced to its hashed bag. One task trains on these
+fold is not 0, and at most about TRAIN_BYTES of hashed bags (documented bounds on a fitted classifier). One task trains on these
 bags, and the driver gets the finished weights only.
 
 Defined results: a null or empty text has an empty bag and is scored by the bias alone, which training holds to class 0;
@@ -24,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, hash_below, release, slices, table
+from .common import fold, hash_below, materialize, ragged, raw, release, slices, table
 from .ngrams import ngram_buckets, word_buckets, word_bytes
 
 BITS, SIZES, DIM = 16, (4, 5, 6), 8
-#: Rows of class 0 and 1 in the training sample, at most about; passes over it, as many as make STEPS steps at least.
-TRAIN, EPOCHS, STEPS, BATCH, RATE, DECAY = (5000, 2500), 10, 1500, 64, 0.05, 1e-4
+#: Rows of class 0 and 1 in the training sample, and bytes of their bags, at most about.
+TRAIN, TRAIN_BYTES = (5000, 2500), 256 << 20
+STEPS, BATCH, RATE, DECAY, FOLDS = 400, 256, 0.2, 1e-4, 3
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +48,63 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 NEUTRAL = 150
 
 
+@dataclass(frozen=True)
+class Bags:
+    """The bags of many texts, one behind the other: bucket of each entry, its share in the text's average, entries of each text."""
+
+    bucket: np.ndarray
+    share: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, bucket: np.ndarray, count: np.ndarray, size: np.ndarray, total: np.ndarray) -> Bags:
+        """total: n-grams of each text. Every 32nd text that training sees is an empty one, added here."""
+        empty = np.zeros(-(-len(size) // 32), np.int64)
+        return cls(bucket, (count / np.repeat(total + NEUTRAL, size)).astype(np.float32), np.concatenate([size, empty]))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, counted from 0, bucket, share) of the entries of the texts ``at``."""
+        text, place = ragged(self.size[at])
+        entry = (np.cumsum(self.size) - self.size)[at][text] + place
+        return text, self.bucket[entry], self.share[entry]
+
+
+def descend(bags: Bags, labels: np.ndarray, rows: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(weight of each bucket for class 1 against 0, bias) after STEPS steps on the texts ``rows``. Embeddings [2**BITS, DIM] and softmax [DIM, 2] are
+    trained together. With two classes the gradient of an embedding is a number times the difference of the softmax's columns."""
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
+    out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    layers = [[p, np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
+    sides, order = np.asarray([-1, 1], np.float32), np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        while len(order) < min(BATCH, len(rows)):
+            order = np.concatenate([order, rng.permutation(rows)])
+        at, order = order[:BATCH], order[BATCH:]
+        text, bucket, share = bags.take(at)
+        w = out @ sides
+        z = np.bincount(text, weights=share * (emb @ w)[bucket], minlength=len(at)) + bias @ sides
+        off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[at]) / len(at)
+        g = np.bincount(bucket, weights=share * off[text], minlength=1 << BITS).astype(np.float32)
+        grads = (g[:, None] * w + DECAY * emb, np.outer(emb.T @ g, sides), off.sum() * sides)
+        rate = RATE * (1 - step / (STEPS + 1))
+        for (p, m, v), grad in zip(layers, grads, strict=True):
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            p -= rate / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return (emb @ (out @ sides)).astype(np.float32), float(bias @ sides)
+
+
+def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
+    """Between the two scores where class 1 from there up has the best F1; above all scores if there is no class 1."""
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(labels[order])
+    if not hits[-1]:
+        return float(z[0]) + 1
+    k = int((2 * hits / (np.arange(1, len(z) + 1) + hits[-1])).argmax())
+    return float(z[k] + z[k + 1]) / 2 if k + 1 < len(z) else float(z[k]) - 1
+
+
 @dataclass(frozen=True)
 class SubwordModel:
     """weight: of each bucket for the class 1 against 0; bias."""
@@ -51,41 +113,20 @@ class SubwordModel:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, seed: int = 7) -> SubwordModel:
-        """rows: (buckets, their counts, all n-grams of the text). Every 32nd row that training sees is an empty text of class 0. Embeddings [2**BITS, DIM] and softmax [DIM, 2] are trained together."""
-        rng = np.random.default_rng(seed)
-        empty = -(-len(rows) // 32)
-        rows = rows + [(np.zeros(0, np.uint16), np.zeros(0, np.uint32), 0)] * empty
-        labels = np.concatenate([labels, np.zeros(empty, labels.dtype)])
-        emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
-        out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-        step, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // len(rows)))
-        for epoch in range(epochs):
-            order = rng.permutation(len(rows))
-            for a in range(0, len(order), BATCH):
-                at = order[a : a + BATCH]
-                ids = np.concatenate([rows[i][0] for i in at]).astype(np.int64)
-                share = np.concatenate([rows[i][1] / np.float32(rows[i][2] + NEUTRAL) for i in at])
-                doc = np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at])
-                some, inv = np.unique(ids, return_inverse=True)
-                x = np.zeros((len(at), len(some)), np.float32)
-                x[doc, inv] = share
-                h = x @ emb[some]
-                z = h @ out + bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(at)), labels[at]] -= 1
-                g = p / np.float32(len(at))
-                grads = (x.T @ (g @ out.T) + DECAY * emb[some], h.T @ g, g.sum(0))
-                step += 1
-                rate = RATE * (1 - epoch / epochs)
-                for q, (m, v), grad, rows_at in zip((emb, out, bias), state, grads, (some, slice(None), slice(None)), strict=True):
-                    m[rows_at] = 0.9 * m[rows_at] + 0.1 * grad
-                    v[rows_at] = 0.99 * v[rows_at] + 0.01 * grad * grad
-                    q[rows_at] -= rate * (m[rows_at] / (1 - 0.9**step)) / (np.sqrt(v[rows_at] / (1 - 0.99**step)) + 1e-8)
-        w = out[:, 1] - out[:, 0]
-        return cls((emb @ w).astype(np.float32), float(bias[1] - bias[0]))
+    def fit(cls, bags: Bags, labels: np.ndarray) -> SubwordModel:
+        """labels: of the texts that are not empty."""
+        labels = np.concatenate([labels, np.zeros(len(bags.size) - len(labels), labels.dtype)])
+        every = np.arange(len(labels))
+        unseen = np.zeros(len(labels))
+        for k in range(FOLDS):
+            rest = every[every % FOLDS == k]
+            others = every[every % FOLDS != k]
+            if len(rest) and len(others):
+                weight, bias = descend(bags, labels, others)
+                text, bucket, share = bags.take(rest)
+                unseen[rest] = np.bincount(text, weights=share * weight[bucket], minlength=len(rest)) + bias
+        weight, bias = descend(bags, labels, every)
+        return cls(weight, bias - best_cut(unseen, labels))
 
     def score(self, texts: pa.Array) -> np.ndarray:
         bucket, doc = bags(texts)
@@ -112,17 +153,22 @@ def train(docs: DataFrame, labels: DataFrame) -> SubwordModel | None:
             counts = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array(total), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "y", "total", "ids", "counts"])
 
-    def fit(bags: pa.Table) -> pa.Table:
-        columns = [bags.column(c).to_pylist() for c in ("id", "y", "ids", "counts", "total")]
-        rows = sorted(zip(*columns, strict=True), key=lambda r: r[:4])
-        del bags, columns
-        model = SubwordModel.fit([(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint32), r[4]) for r in rows], np.asarray([r[1] for r in rows]))
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("id", "y", "total", "ids", "counts")]).combine_chunks()
+        ids, off = raw(rows.column("ids"))
+        y, total = (rows.column(c).to_numpy() for c in ("y", "total"))
+        bags = Bags.of(ids.view(np.uint16), raw(rows.column("counts"))[0].view(np.uint32), np.diff(off) // 2, total)
         del rows
+        model = SubwordModel.fit(bags, y)
         release()
         return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
     bagged = joined.mapInArrow(featurise, "id string, y int, total long, ids binary, counts binary").filter("total > 0")
+    bagged = materialize(bagged, "bags")
+    held = bagged.agg(F.sum(F.length("ids") + F.length("counts"))).first()[0] or 0
+    if held > TRAIN_BYTES:
+        bagged = bagged.filter(hash_below(F.concat(F.lit("bytes"), "id"), TRAIN_BYTES / held))
     model = bagged.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "weight binary, bias double").first()
     return SubwordModel(np.frombuffer(model["weight"], np.float32), model["bias"]) if model else None
 
