@@ -34,7 +34,7 @@ from .ngrams import ngram_buckets, word_buckets, word_bytes
 BITS, SIZES, DIM = 16, (4, 5, 6), 8
 #: Rows of class 0 and 1 in the training sample, and bytes of their bags, at most about.
 TRAIN, TRAIN_BYTES = (5000, 2500), 256 << 20
-STEPS, BATCH, RATE, DECAY, FOLDS = 400, 256, 0.2, 1e-4, 3
+STEPS, BATCH, RATE, DECAY, FOLDS = 400, 128, 0.2, 1e-4, 3
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
