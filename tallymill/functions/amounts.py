@@ -1,11 +1,12 @@
-"""Money, quantity and currency expressions. Amounts may be printed in full-width or other compatibility forms (see text.fold_width)."""
+"""Money, quantity and currency expressions. Amounts may be printed in full-width or other compatibility forms (see unicode.plain)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits, first_of, fold_width, let, strip
+from .text import digits, first_of, let, strip
+from .unicode import plain
 
 # What must be recognised for equal results.
 CURRENCY_WORDS = r"(?i)\b(rp|idr|usd|sgd|myr|eur|krw|won|php|thb|vnd)\b\.?"
@@ -20,8 +21,13 @@ NUMBER_TOKEN = r"\d[\d.,\s]*\d|\d"
 
 def parse_amount(c: Column) -> Column:
     """The first number of a printed amount, or null. A last separator before one or two digits is the decimal point, every other one groups digits."""
+    return parse_narrow(plain(c))
+
+
+def parse_narrow(c: Column) -> Column:
+    """``parse_amount`` of a text without compatibility forms."""
     symbols = "".join(SYMBOL_CODES)
-    clean = strip(F.translate(F.regexp_replace(fold_width(c), CURRENCY_WORDS, " "), symbols, " " * len(symbols)))
+    clean = strip(F.translate(F.regexp_replace(c, CURRENCY_WORDS, " "), symbols, " " * len(symbols)))
 
     def of_clean(text: Column) -> Column:
         return let(F.regexp_extract(text, r"-?\s*\d[\d.,\s]*", 0), lambda run: of_run(run, run.startswith("-") | (text.startswith("(") & text.endswith(")"))))
@@ -50,7 +56,7 @@ def parse_quantity(c: Column) -> Column:
 
 def amounts_in(line: Column) -> Column:
     """All amounts of a line, without signs, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(fold_width(line), F.lit(AMOUNT), F.lit(0)), lambda t: F.abs(parse_amount(t))), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(plain(line), F.lit(AMOUNT), F.lit(0)), lambda t: F.abs(parse_narrow(t))), lambda x: x.isNotNull())
 
 
 def detect_currency(text: Column) -> Column:

@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .lcs import Names
-from .text import characters, fold_width
+from .text import characters
+from .unicode import plain, without_accented
 
 
 def norm_name(c: Column) -> Column:
-    """Upper case, letters A-Z and digits only, single blanks; null gives the empty text."""
-    return F.trim(F.regexp_replace(F.upper(fold_width(F.coalesce(c, F.lit("")))), "[^A-Z0-9]+", " "))
+    """Upper case, letters A-Z and digits only of the NFKC form, single blanks; null gives the empty text. An accented letter is none of A-Z, also where
+    the accent is a character of its own, unless another mark stands between them."""
+    return F.trim(F.regexp_replace(F.upper(without_accented(plain(F.coalesce(c, F.lit(""))))), "[^A-Z0-9]+", " "))
+
+
+def norm_names(names: Column) -> Column:
+    """``norm_name`` of each member of an array, all in one text; null gives null."""
+    end = "\x02"
+    joined = F.array_join(F.transform(names, lambda x: F.translate(F.coalesce(x, F.lit("")), end, " ")), end)
+    normal = F.regexp_replace(F.upper(without_accented(plain(joined))), f"[^A-Z0-9{end}]+", " ")
+    return F.when(F.size(names) == 0, F.array().cast("array<string>")).otherwise(F.split(F.trim(F.regexp_replace(normal, f" ?{end} ?", end)), end))
 
 
 def common_subsequence(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import amount_present, money_equal, number_strings, parse_amount
-from ..functions.names import name_in_lines, norm_name
+from ..functions.names import name_in_lines, norm_name, norm_names
 from ..functions.text import digits
 from ..types import SCORED_FIELDS
 from .match import PRICE_TOL
@@ -44,7 +44,7 @@ def item_errors(df: DataFrame, check_names: bool = True, keys: tuple[str, ...] =
     # names are looked up in Python, and only where nothing else decides
     plain, lookup = gold.filter(price_only | ~F.col("printed")), gold.filter(~(price_only | ~F.col("printed")))
     plain = plain.withColumn("bucket", F.when(~F.col("printed"), "item_ocr").otherwise("item_price_only"))
-    seen = name_in_lines(norm_name(F.col("x")["name"]), F.transform("lines", norm_name)) if check_names else F.lit(True)
+    seen = name_in_lines(norm_name(F.col("x")["name"]), norm_names(F.col("lines"))) if check_names else F.lit(True)
     lookup = lookup.withColumn("bucket", F.when(seen, "item_missed").otherwise("item_ocr"))
     shown = lambda d, side: d.select(*keys, F.lit(side).alias("side"), F.col("item").cast("int").alias("item"), "bucket", F.col("x")["name"].alias("name"), F.col("x")["line_total"].alias("line_total"))
     used = F.transform(F.filter("name_pairs", lambda x: ~matched("j", x["j"])), lambda x: x["i"])

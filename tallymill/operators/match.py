@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.amounts import money_equal
-from ..functions.names import flat, norm_name, numbered
+from ..functions.names import flat, norm_name, norm_names, numbered
 from ..functions.text import characters
 from ..types import PAIR
 
@@ -50,7 +50,7 @@ def similar_pairs(threshold: float):
 
 def candidates(pred: Column, gold: Column, threshold: float = NAME_THRESHOLD) -> Column:
     """All (i, j, sim) of items with similar names."""
-    names = lambda items: F.transform(items, lambda x: norm_name(x["name"]))
+    names = lambda items: norm_names(items["name"])
     return similar_pairs(threshold)(names(pred), names(gold))
 
 

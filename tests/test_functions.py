@@ -1,13 +1,16 @@
 import random
+import re
+from unicodedata import normalize
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions import amounts as A
 from tallymill.functions import names as N
 from tallymill.functions.lcs import Names, lcs_length
-from tallymill.functions.text import normalize_unicode
+from tallymill.functions import unicode as U
 
 AMOUNTS = {
     "81.500": 81500, "37,250": 37250, "4,310,900": 4310900, "6.045.700": 6045700, "8125.00": 8125, "9,75": 9.75, "3.408,19": 3408.19, "7,206.84": 7206.84,
@@ -116,4 +119,35 @@ def test_name_in_lines(spark):
 
 def test_normalize_unicode(spark):
     df = spark.createDataFrame([(1, "１２", "a"), (2, "ok", None), (3, None, "ﬁ")], "i int, a string, b string")
-    assert {r.i: (r.a, r.b) for r in normalize_unicode(df, "a", "b").collect()} == {1: ("12", "a"), 2: ("ok", None), 3: (None, "fi")}
+    assert {r.i: (r.a, r.b) for r in U.normalize_unicode(df, "a", "b").collect()} == {1: ("12", "a"), 2: ("ok", None), 3: (None, "fi")}
+
+
+def test_nfkc_of_all_characters(spark):
+    every = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    got = spark.createDataFrame(pd.DataFrame({"s": every})).select("s", U.nfkc(F.col("s")).alias("n"), U.per_character(F.col("s")).alias("p")).toPandas()
+    want = [normalize("NFKC", x) for x in got.s]
+    assert len(got) == len(every) and got.n.tolist() == want and got.p.tolist() == want
+    names = spark.createDataFrame(pd.DataFrame({"s": every})).select("s", N.norm_name(F.col("s")).alias("n")).toPandas()
+    assert names.n.tolist() == [" ".join(re.sub("[^A-Z0-9]+", " ", normalize("NFKC", x).upper()).split()) for x in names.s]
+
+
+def test_nfkc_of_sequences(spark):
+    rng = random.Random(7)
+    firsts = sorted({a for x in U.composites().values() for a in x})
+    pool = [*U.joining(), *U.forms("NFKC"), *"aeiouAEOcnsqd =<>" * 40, *[chr(0x1100 + k) for k in range(19)] * 20, *[chr(0xAC00 + 28 * k) for k in range(300)]]
+    texts = ["", "e\u0327\u0301", "한글", "\u0301\u0327", "a" + "\u0301\u0316" * 500]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    texts += [rng.choice(firsts) + "".join(rng.choice(list(U.composites())) for _ in range(rng.randint(1, 4))) for _ in range(5000)]
+    got = spark.createDataFrame(pd.DataFrame({"s": [*texts, None]})).select("s", U.nfkc(F.col("s")).alias("n")).collect()
+    assert all(r.n == (None if r.s is None else normalize("NFKC", r.s)) for r in got)
+
+
+def test_names_and_amounts_of_many_character_forms(spark, column):
+    def plain(x):
+        return " ".join(re.sub("[^A-Z0-9]+", " ", normalize("NFKC", x or "").upper()).split())
+
+    names = ["㎏ ½ ①", "⑽ ﬁg", "cafe\u0301 bar", "CAFÉ bar", "⒛ ㍿", "  ", "x\x02y", None, "a\u0301b\u0323", "ﬃ℡"]
+    assert column(N.norm_name, names) == [plain(x) for x in names]
+    lists = [names, [], None, ["é"], ["plain", "two  words "]]
+    assert column(N.norm_names, lists, "array<string>") == [None if x is None else [plain(y) for y in x] for x in lists]
+    assert column(A.parse_amount, ["⒓", "㏠ 7", "⑽", "🄂5", "RM ㉑.50"]) == [12, 1, -10, 1.5, 21.5]
