@@ -1,4 +1,4 @@
-"""Settings of the engine: defaults, or a JSON file, loaded once for each path."""
+"""Settings of the engine: defaults, or a JSON or YAML file, loaded once for each path."""
 
 from __future__ import annotations
 
@@ -22,11 +22,16 @@ class Settings:
 
 @functools.cache
 def load(path: str | None = None) -> Settings:
-    """Unknown keys are an error; keys that the file lacks keep their defaults."""
+    """Unknown keys are an error; keys that the file lacks keep their defaults, and so does an empty file. YAML needs the yaml package."""
     if path is None:
         return Settings()
     with open(path, encoding="utf-8") as f:
-        given = json.load(f)
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            given = yaml.safe_load(f) or {}
+        else:
+            given = json.load(f)
     unknown = given.keys() - {x.name for x in fields(Settings)}
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")

@@ -81,6 +81,12 @@ def summarise(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(*aggs)
 
 
+def summarise_runs(scores: DataFrame, runs: DataFrame, by: str = "system") -> DataFrame:
+    """One metrics row for each of ``runs``; one without any score has n = 0 and no metrics."""
+    found = runs.select(by).distinct().join(summarise(scores, by), by, "left")
+    return found.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def routing_stats(scores: DataFrame, *by: str) -> DataFrame:
     """What routing lets pass and what it catches; null where a side is empty."""
     approved, wrong = F.col("decision") == "auto_approve", ~F.col("exact_match")

@@ -40,6 +40,18 @@ def todo(gold: DataFrame, done: DataFrame, key: str = "id", retry_failed: bool =
     return gold.join(finished.select(key), key, "left_anti")
 
 
+def progress(gold: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """One row (n_done, n_todo): gold keys that have a usable result, and those that do not; results without a gold row do not count."""
+    finished = (usable(done) if "exception" in done.columns else done).select(key).distinct().withColumn("__done", F.lit(True))
+    rows = gold.select(key).distinct().join(finished, key, "left")
+    return rows.agg(F.count("__done").alias("n_done"), F.count_if(F.col("__done").isNull()).alias("n_todo"))
+
+
+def complete(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows without a null (NaN counts as one) in the named columns, or in any."""
+    return rows.dropna("any", subset=list(names) or None)
+
+
 def limit_total(rows: DataFrame, order: str, limit: int, n_done: int = 0) -> DataFrame:
     """What is left of a limit that counts finished rows as well."""
     return rows.orderBy(order).limit(max(0, limit - n_done))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import load
 from ..functions import amounts as A
 from ..functions import names as N
+from ..functions import unicode as U
 from ..functions.stats import precision_recall_f1, share
 from ..operators import compaction, errors, extract, incremental, ingest, layout, match, monitor, ranks, review, score, sets, validate
 from ..sources import predictions
@@ -261,6 +262,13 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(score.summarise(scored(spark, sf_dir), "system"), "system", "n")
 
 
+@query(f"SELECT * FROM ({ORACLES['system_metrics']}) UNION ALL BY NAME SELECT 'vision' AS system, 0 AS n")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all runs, one of which has no results."""
+    runs = spark.createDataFrame([(x,) for x in (*R.SYSTEMS, "vision")], "system string")
+    return rounded(score.summarise_runs(scored(spark, sf_dir), runs), "system", "n")
+
+
 @query(
     f"""WITH {PRED}, {SIMS},
 gl AS (SELECT k, count(*) AS n_lines, count(*) FILTER (abs(qty * (unit / CAST(100 AS DOUBLE)) - cents / CAST(100 AS DOUBLE)) > 1) AS bad FROM ln GROUP BY k),
@@ -385,6 +393,16 @@ def todo_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.limit_total(todo_anti(spark, sf_dir), "id", 150, 50)
 
 
+@query("""WITH dn AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 11 <> 0 UNION SELECT -o_orderkey FROM orders)
+SELECT count(*) FILTER (o_orderkey IN (SELECT k FROM dn)) AS n_done, count(*) FILTER (o_orderkey NOT IN (SELECT k FROM dn)) AS n_todo FROM orders""")
+def todo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders are done; results that failed, repeat or belong to no order do not count."""
+    gold = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    done = gold.filter("id % 2 = 0").withColumn("exception", F.when(F.col("id") % 11 == 0, "timeout"))
+    strange = gold.select((-F.col("id")).alias("id"), F.lit(None).cast("string").alias("exception"))
+    return sets.progress(gold, done.unionAll(done).unionAll(strange))
+
+
 @query("SELECT o_orderkey AS id, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_lines FROM orders")
 def semi_has_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
@@ -467,6 +485,16 @@ def norm_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", N.norm_name(F.concat(F.lit("  "), "p_name", F.lit(" ("), "p_brand", F.lit(")--é "), "p_type")).alias("norm"))
 
 
+@query("SELECT doc_id, md5(nfc_normalize(text) || ' 1' || chr(8260) || '2 kg (10)') AS digest FROM documents")
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFKC of whole texts whose letters are full-width, whose accents stand apart, and which end in signs that become several characters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    apart = F.array_join(F.transform(F.split("text", ""), lambda ch: U.form_of(ch, U.forms("NFKD"))), "")
+    wide = F.translate(apart, letters, "".join(chr(ord(x) + 0xFEE0) for x in letters))
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(wide, F.lit(" ½ ㎏ ⑽")).alias("text"))
+    return U.normalize_unicode(texts, "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(
     """WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS a, CASE WHEN o_orderkey % 8 <> 0 THEN o_totalprice + (o_orderkey % 5) * CAST(300 AS DOUBLE) END AS b FROM orders)
 SELECT id, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE abs(a - b) <= greatest(CAST(1 AS DOUBLE), CAST(0.005 AS DOUBLE) * greatest(abs(a), abs(b))) END AS same FROM p"""
@@ -825,6 +853,12 @@ def monitor_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(monitor.headline(traces(spark, sf_dir)), "n", places=6)
 
 
+@query(f"WITH {TRACES} SELECT id, mode, model, t_total FROM tr WHERE id IS NOT NULL AND mode IS NOT NULL AND model IS NOT NULL AND t_total IS NOT NULL")
+def complete_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces that lack none of what is drawn."""
+    return sets.complete(traces(spark, sf_dir).select("id", "mode", "model", "t_total"))
+
+
 @query(f"WITH {TRACES} SELECT id, mode, t_total FROM tr WHERE source = 'app' ORDER BY id DESC LIMIT 50")
 def latest_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50 traces of one source (the limit is the feature)."""

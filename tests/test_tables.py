@@ -33,12 +33,27 @@ def test_jsonl(spark, tmp_path):
     assert files.query(spark, "SELECT count(*) AS n FROM rows_view WHERE id = :id", id="a").first().n == 2
 
 
+def test_progress_and_complete(spark):
+    gold = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    done = spark.createDataFrame([("a", None), ("a", ""), ("b", "timeout"), ("z", None)], "id string, exception string")
+    assert sets.progress(gold, done).collect() == [(1, 2)]
+    assert sets.progress(gold, done.select("id")).collect() == [(2, 1)]
+    assert sets.progress(gold.limit(0), done).collect() == [(0, 0)]
+    rows = spark.createDataFrame([(1, 1.0, None), (2, float("nan"), "x"), (3, 2.0, "y")], "i int, v double, s string")
+    assert [r.i for r in sets.complete(rows).collect()] == [3]
+    assert sorted(r.i for r in sets.complete(rows, "v").collect()) == [1, 3]
+
+
 def test_settings_and_splits(spark, tmp_path):
     from tallymill import config
 
     assert config.load().abs_tol == 1.0 and config.load() is config.load()
     (tmp_path / "c.json").write_text('{"rel_tol": 0.1}')
     assert config.load(str(tmp_path / "c.json")).rel_tol == 0.1
+    (tmp_path / "c.yaml").write_text("# own\napprove_threshold: 0.9\ngold: there\n")
+    (tmp_path / "empty.yml").write_text("")
+    assert (config.load(str(tmp_path / "c.yaml")).approve_threshold, config.load(str(tmp_path / "c.yaml")).gold) == (0.9, "there")
+    assert config.load(str(tmp_path / "empty.yml")) == config.load()
     (tmp_path / "bad.json").write_text('{"typo": 1}')
     with pytest.raises(ValueError, match="typo"):
         config.load(str(tmp_path / "bad.json"))
