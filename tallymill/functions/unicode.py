@@ -2,8 +2,8 @@
 
 A character's own form is looked up: one that becomes a single character by ``translate``, one that becomes several by its place in a constant
 array. That is all, unless a character occurs that can move or merge with those before it (marks, vowels and tails of Hangul). Then the
-text is cut into clusters, each of one other character and all such that follow it, and every cluster is decomposed, put in the order of
-combining classes and composed again. Null gives null. A cluster of n marks takes n string additions; clusters of real texts are short.
+text is cut into clusters, each of one other character and all such that follow it, and the stretches between them; every cluster is decomposed,
+put in the order of combining classes and composed again. Null gives null. A cluster of n marks takes n string additions; clusters of real texts are short.
 """
 
 from __future__ import annotations
@@ -171,7 +171,9 @@ def nfkc(c: Column) -> Column:
     """NFKC of a string column."""
     join = ranges(joining())
     decomposed = lambda x: F.array_join(F.transform(characters(x), lambda ch: form_of(ch, forms("NFKD"))), "")
-    clusters = F.regexp_extract_all(c, F.lit(f"(?s)[^{join}][{join}]*|[{join}]+"), F.lit(0))
+    # what is below the first joining character is told from the others without looking through their ranges
+    other = rf"[\x00-\x{{{ord(min(joining())) - 1:X}}}[^{join}]]"
+    clusters = F.regexp_extract_all(c, F.lit(f"(?s){other}[{join}]+|[{join}]+|{other}+(?![{join}])"), F.lit(0))
     whole = lambda x: F.when(has_any(x, joining()), composed(ordered(decomposed(x)))).otherwise(per_character(x))
     fixed = ~c.rlike(NOT_ASCII) | ~has_any(c, "".join(dict.fromkeys([*joining(), *forms("NFKC")])))
     return F.when(fixed, c).when(has_any(c, joining()), F.array_join(F.transform(clusters, whole), "")).otherwise(per_character(c))
