@@ -841,7 +841,7 @@ def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = {p: F.avg(F.when(F.col("t_total") <= F.col(f"t_total_{p}"), 1.0).otherwise(0.0)) for p in monitor.POINTS}
     near = {f"{p}_near": (below[p] <= q + monitor.RANK_ERROR) & (upto[p] >= q - monitor.RANK_ERROR) for p, q in monitor.POINTS.items()}
     ranks_ = rows.filter("t_total IS NOT NULL").join(F.broadcast(found), "mode").groupBy("mode").agg(*[c.alias(n) for n, c in near.items()])
-    return found.select("mode", "n").join(exact, "mode").join(ranks_, "mode")
+    return rounded(found.select("mode", "n").join(exact, "mode").join(ranks_, "mode"), "mode", "n", "p50_near", "p95_near", places=6)
 
 
 @query(f"WITH {TRACES} SELECT mode, model, round_even(avg(k), 0) AS prompt_tokens, round_even(avg(k * 2), 0) AS completion_tokens FROM tr WHERE model IS NOT NULL GROUP BY mode, model")
