@@ -197,7 +197,7 @@ def routing_curve_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(score.routing_curve(rows, "system"), "system", "threshold")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place, sum(user_id) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS so_far FROM events")
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS so_far FROM events")
 def event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and running sum of every event in the few groups that the table has."""
     e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
