@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import with_rank
-from .common import materialize, raw, release, slices, small_batches, table, tidy
+from .common import LARGE_GROUPS, LARGE_ROWS, materialize, raw, release, slices, small_batches, table, tidy
 from .crc import word_run_crcs
 from .spans import spans
 
@@ -110,7 +110,7 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     summed = matrix.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    with small_batches(matrix.sparkSession):  # a stored block is one row of some megabytes
+    with small_batches(matrix.sparkSession, LARGE_ROWS):  # a stored block is one row of up to a megabyte
         rows = summed.collect()  # at most ``buckets`` rows
     sums = np.zeros(buckets, np.int64)
     for r in rows:
@@ -147,13 +147,13 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 @tidy("importance")
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document; drawn are ``percent`` of those with ``least_words`` words. target: column text."""
-    matrix = materialize(blocks(docs), "csr")
+    matrix = materialize(blocks(docs), "csr", **LARGE_GROUPS)
     aim = blocks(target.select(F.lit(0).alias("doc_id"), "text"))
     gain = gains(column_sums(matrix), column_sums(aim))
     kind = docs.schema["doc_id"].dataType.simpleString()
     weighed = matrix.mapInArrow(product(gain), f"doc_id {kind}, n_words long, n_features long, weight long")
     able = F.col("n_words") >= least_words
-    scored = materialize(weighed.select("doc_id", able.alias("able"), "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score")), "scores")
+    scored = materialize(weighed.select("doc_id", able.alias("able"), "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score")), "scores", LARGE_ROWS)
     drawn = scored.filter("able").count() * percent // 100
     ranked = with_rank(scored, (), [F.desc("able"), F.desc("score"), F.col("doc_id")])
     rank = F.when(F.col("able") & (F.col("rank") <= drawn), F.col("rank"))

@@ -42,11 +42,11 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors; lasts like ``folder``."""
+def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors; lasts like ``folder``. options: of the writer."""
     spark = df.sparkSession
     path = folder(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -269,3 +269,16 @@ def test_matrix_blocks_come_back(spark):
     sums = importance.column_sums(matrix)
     want = collections.Counter(b for _, t, _ in real(spark) for b in features(t)[1])
     assert {i: n for i, n in enumerate(sums.tolist()) if n} == want
+
+
+def test_importance_reads_blocks_few_at_a_time(spark, monkeypatch):
+    """A stored block may have a megabyte and the reader decodes as many rows at once as it is told: not thousands."""
+    from tallymill.llm import common, importance
+
+    size, before, seen, keep = "spark.sql.parquet.columnarReaderBatchSize", spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"), {}, common.keep
+    monkeypatch.setattr(common, "keep", lambda df, label, **options: seen.update({label: (spark.conf.get(size), options)}) or keep(df, label, **options))
+    docs = spark.createDataFrame([(i, f"word{i % 7} and some more words of text {i}") for i in range(50)], "doc_id long, text string")
+    assert importance.resample(docs, docs.select("text")).count() == 50
+    assert int(seen["scores"][0]) <= 8
+    assert int(seen["csr"][1]["parquet.block.size"]) <= 16 << 20
+    assert spark.conf.get(size) == before
