@@ -213,3 +213,25 @@ def test_similar_names_build_few_pairs_and_lose_none(spark, least):
     assert got == pytest.approx(want)
     built, every = match.candidate_names(df, least).count(), len(names) * (len(names) - 1) // 2
     assert built < {0.6: 0.35, 0.8: 0.05, 0.9: 0.02}[least] * every, (built, every, len(want))
+
+
+def test_words_meet_only_where_they_are_alike(spark):
+    """Words of the same letters in another order do not meet, however many there are; long ones and empty ones are found as well."""
+    import itertools
+    import random
+
+    from tallymill.functions.lcs import lcs_length
+    from tallymill.operators import match
+
+    rnd = random.Random(3)
+    words = {"".join(rnd.choices("ABCDE", k=rnd.choice((0, 9, 10, 11, 12, 20, 30)))) for _ in range(400)}
+    words |= {w[:4] + w[5:] for w in list(words)[:200]} | {w.lower() for w in list(words)[:20]}
+    names = sorted(words)
+    up = [w.upper() for w in names]
+    want = {(a, b): 2 * lcs_length(x, y) / (len(x) + len(y) or 1) for (a, x), (b, y) in itertools.combinations(zip(names, up, strict=True), 2) if x == y or 2 * lcs_length(x, y) >= 0.9 * (len(x) + len(y)) - 1e-12}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(x.a, x.b): x.sim for x in match.similar_names(df, 0.9).collect()}
+    assert got.keys() == want.keys()
+    short = {p for p in want if max(map(len, p)) < match.unshortened_from(0.9)}
+    met = [(x.a, x.b) for x in match.candidate_names(df.filter("length(name) < 18"), 0.9).collect()]
+    assert sorted(met) == sorted(short)
