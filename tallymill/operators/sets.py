@@ -128,3 +128,9 @@ def system_label(stem: Column, labels: dict[str, str]) -> Column:
     exact = F.try_element_at(known, F.concat_ws("__", system, F.get(parts, F.lit(2))))
     base = F.coalesce(exact, F.concat(F.coalesce(F.try_element_at(known, system), system), F.lit(" "), model))
     return F.when(version.isNull(), F.coalesce(F.try_element_at(known, system), system)).otherwise(F.concat(base, F.lit(" ["), version, F.lit("]")))
+
+
+def with_flag(rows: DataFrame, others: DataFrame, key: str, flag: str) -> DataFrame:
+    """Adds whether ``others`` have the row's key; a null key has none. One join, with as many rows of ``others`` as they have keys."""
+    there = others.select(key).distinct().withColumn(flag, F.lit(True))
+    return rows.join(there, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -235,3 +235,12 @@ def test_words_meet_only_where_they_are_alike(spark):
     short = {p for p in want if max(map(len, p)) < match.unshortened_from(0.9)}
     met = [(x.a, x.b) for x in match.candidate_names(df.filter("length(name) < 18"), 0.9).collect()]
     assert sorted(met) == sorted(short)
+
+
+def test_flagged_rows_join_each_key_once(spark):
+    rows = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    others = spark.createDataFrame([(1,)] * 50 + [(None,), (3,)], "id long")
+    found = sets.with_flag(rows, others, "id", "there")
+    assert sorted((r.id or 0, r.there) for r in found.collect()) == [(0, False), (1, True), (1, True), (2, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate [id" in plan
