@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import AMOUNT, amounts_in
-from ..functions.text import first_of
+from ..functions.text import first_of, let
 from ..types import RECEIPT
 
 # Label patterns of printed lines.
@@ -19,17 +22,30 @@ TOTAL = r"(?i)((?<![a-z])t?otal\b|\bjumlah\b|\bamount\s*due\b)"
 NOT_TOTAL = r"(?i)(sub\s*-?\s*total|total\s*(item|qty|quantity|disc|tax)|items?\s*:|qty)"
 STOP = r"(?i)\b(sub\s*-?\s*total|total|tax|pb\s*1|ppn|cash|tunai|change|kembali|net\s*amt)"
 WORD = r"[A-Za-z]{2,}"
+# A line that matches a pattern has one of these, in lower case. They are looked for first, as most lines have none.
+SUBTOTAL_HAS, GRAND_HAS, TOTAL_HAS = ("sub", "net", "total"), ("grand",), ("otal", "jumlah", "amount")
+TAX_HAS, SERVICE_HAS, DISCOUNT_HAS = ("tax", "pb", "ppn", "vat", "pajak"), ("sc", "s.c", "svc", "serv"), ("disc", "potongan")
+STOP_HAS = ("total", "tax", "pb", "ppn", "cash", "tunai", "change", "kembali", "net")
 LEADING_QUANTITY = r"^\s*(\d{1,2})\s*[xX]?\s+(.*)$"
 
 
+def matches(line: Column, low: Column, pattern: str, has: tuple[str, ...]) -> Column:
+    """Whether a line matches; low: the line in lower case."""
+    return functools.reduce(operator.or_, map(low.contains, has)) & line.rlike(pattern)
+
+
 def line_facts(lines: Column, found: Column) -> Column:
     """One struct for each line: its value (last amount, else the next line's first) and its labels. found: the amounts of each line."""
     after = F.concat(F.slice(found, F.lit(2), F.size(found)), F.array(F.array().cast("array<double>")))
     values = F.zip_with(found, after, lambda here, then: F.coalesce(F.try_element_at(here, F.lit(-1)), first_of(then)))
 
     def facts(line: Column, value: Column) -> Column:
-        flags = {"sub": line.rlike(SUBTOTAL), "grand": line.rlike(GRAND), "total": line.rlike(TOTAL) & ~line.rlike(NOT_TOTAL), "tax": line.rlike(TAX), "svc": line.rlike(SERVICE), "disc": line.rlike(DISCOUNT)}
-        return F.struct(value.alias("value"), *[v.alias(k) for k, v in flags.items()])
+        def of(low: Column) -> Column:
+            has = functools.partial(matches, line, low)
+            flags = {"sub": has(SUBTOTAL, SUBTOTAL_HAS), "grand": has(GRAND, GRAND_HAS), "total": has(TOTAL, TOTAL_HAS) & ~line.rlike(NOT_TOTAL), "tax": has(TAX, TAX_HAS), "svc": has(SERVICE, SERVICE_HAS), "disc": has(DISCOUNT, DISCOUNT_HAS)}
+            return F.struct(value.alias("value"), *[v.alias(k) for k, v in flags.items()])
+
+        return let(F.lower(line), of)
 
     return F.zip_with(lines, F.slice(values, F.lit(1), F.size(lines)), facts)
 
@@ -55,20 +71,23 @@ def totals(facts: Column) -> Column:
             (s["sub_taken"] | sub).alias("sub_taken"), keep(sub, "sub"), keep(grand, "grand"), keep(total & s["total"].isNull(), "total"), keep(tax, "tax"), keep(svc, "svc"), keep(disc, "disc")
         ).cast(STATE)
 
-    return F.aggregate(facts, start, step)
+    # a line without a label changes nothing
+    labelled = F.filter(facts, lambda x: x["sub"] | x["grand"] | x["total"] | x["tax"] | x["svc"] | x["disc"])
+    return F.aggregate(labelled, start, step)
 
 
 def line_items(lines: Column, found: Column) -> Column:
     """Items of the lines before the first stop line: a word and an amount; name before the first amount, value the last one."""
-    stop = F.array_position(F.transform(lines, lambda x: x.rlike(STOP)), True)
+    stop = F.array_position(F.transform(lines, lambda x: let(F.lower(x), lambda low: matches(x, low, STOP, STOP_HAS))), True)
     head = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
 
     def named(line: Column, amounts: Column) -> Column:
-        counted = F.regexp_extract(line, LEADING_QUANTITY, 1)
-        rest = F.when(counted != "", F.regexp_extract(line, LEADING_QUANTITY, 2)).otherwise(line)
-        name = F.regexp_replace(F.get(F.split(rest, AMOUNT, 2), F.lit(0)), "^[ @:x-]+|[ @:x-]+$", "")
-        item = F.struct(name.alias("name"), F.nullif(counted, F.lit("")).cast("double").alias("quantity"), F.lit(None).cast("double").alias("unit_price"), F.try_element_at(amounts, F.lit(-1)).alias("line_total"))
-        return F.when((F.size(amounts) > 0) & line.rlike(WORD), item)
+        def of(counted: Column) -> Column:
+            rest = F.when(counted != "", F.regexp_extract(line, LEADING_QUANTITY, 2)).otherwise(line)
+            name = F.regexp_replace(F.get(F.split(rest, AMOUNT, 2), F.lit(0)), "^[ @:x-]+|[ @:x-]+$", "")
+            return F.struct(name.alias("name"), F.when(counted != "", counted.cast("double")).alias("quantity"), F.lit(None).cast("double").alias("unit_price"), F.try_element_at(amounts, F.lit(-1)).alias("line_total"))
+
+        return F.when((F.size(amounts) > 0) & line.rlike(WORD), let(F.regexp_extract(line, LEADING_QUANTITY, 1), of))
 
     return F.filter(F.zip_with(head, F.slice(found, F.lit(1), F.size(head)), named), lambda x: F.coalesce(x["name"].rlike(WORD), F.lit(False)))
 

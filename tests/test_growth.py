@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from tallymill.operators import errors
+from tallymill.functions import amounts as A
+from tallymill.operators import errors, extract
 from tallymill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +36,26 @@ def test_bucket_report_finds_errors_once(spark):
     rows = errors.bucket_report(found.withColumn("bucket", seen("bucket")), F.col("example"), 2).orderBy("place").collect()
     assert [(r["bucket"], r["count"], r["examples"]) for r in rows[:2]] == [("ocr", 10, ["e00", "e04"]), ("missed", 30, ["e01", "e02"])]
     assert ran.value == 40
+
+
+def test_decisions_make_no_details(spark):
+    assert not [x for x in nodes(queries.validate_rules(spark, SF)) if "format_number" in x]
+
+
+def test_amounts_of_tokens_need_no_patterns(column):
+    r = random.Random(3)
+    texts = ["".join(r.choice("0123456789012.,, -()") for _ in range(r.randint(1, 14))) for _ in range(3000)] + ["1,\t234.5", "12 345", "-(1.234,56)", "00", "1\x0b234"]
+    tokens = [t for text in texts for t in re.findall(A.AMOUNT, text, re.ASCII)]
+    assert len(tokens) > 3000
+    assert column(A.amount_of, tokens) == column(lambda c: F.abs(A.parse_narrow(c)), tokens)
+
+
+def test_every_label_has_what_is_looked_for_first(spark):
+    kinds = [(p, h) for p, h in vars(extract).items() if f"{p}_HAS" in vars(extract)]
+    assert len(kinds) == 7
+    lines = ["SUB-TOTAL 1", "sub ttl 2", "Net Amt", "TOTAL ITEM PRICE", "Grand  Total", "otal 5", "JUMLAH", "Amount Due", "PB 1", "PPN", "vat", "PAJAK", "Tax", "S.C 5", "sc. 2", "SC", "s.c. 1", "SVC", "serv charge", "SERVICE", "Discount", "POTONGAN", "cash", "TUNAI", "Change", "kembali", "3 x tea 5"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for p, pattern in kinds:
+        fast = extract.matches(F.col("line"), F.lower("line"), pattern, vars(extract)[f"{p}_HAS"])
+        assert df.filter(fast != F.col("line").rlike(pattern)).count() == 0
+        assert df.filter(fast).count() > 0
