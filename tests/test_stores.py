@@ -95,3 +95,14 @@ def test_merged_sketches_keep_their_rank_error(spark):
         for p, q in monitor.POINTS.items():
             rank = rows.filter((F.col("g") == r.g) & (F.col("t") <= r[f"t_{p}"])).count() / r.n
             assert abs(rank - q) <= monitor.RANK_ERROR
+
+
+def test_known_scores_leave_wide_rows_where_they_are(spark):
+    rows = incremental.with_digest(receipts.predictions(spark, SF).select("system", "id", "pred", "gold", "error"))
+    there = spark.createDataFrame([("rules", 1, 5), ("rules", 1, 6), (None, 2, 7)], "system string, id long, input_digest long")
+    plan = incremental.not_among(rows, there).dropDuplicates(list(incremental.KEYS))._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    small = spark.createDataFrame([("rules", 1, 5), ("rules", 1, 8), ("model", 1, 5), (None, 2, 7), ("rules", 3, 5), ("rules", None, 5)], "system string, id long, input_digest long")
+    left = incremental.not_among(small, there)
+    want = small.join(there, list(incremental.KEYS), "left_anti")
+    assert sorted(map(str, left.collect())) == sorted(map(str, want.collect())) and want.count() == 5
