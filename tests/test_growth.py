@@ -64,3 +64,7 @@ def test_every_label_has_what_is_looked_for_first(spark):
 def test_rules_are_counted_without_details(spark):
     plan = nodes(queries.rule_long_form(spark, SF))
     assert not [x for x in plan if "format_number" in x] and max(map(len, plan)) < 20_000
+
+
+def test_thresholds_share_one_validation(spark):
+    assert sum("AS rule_schema" in x for x in nodes(queries.threshold_inert(spark, SF))) <= 1
