@@ -61,6 +61,12 @@ def test_every_label_has_what_is_looked_for_first(spark):
         assert df.filter(fast).count() > 0
 
 
+def test_item_errors_match_records_once(spark):
+    for name in ("error_items", "error_items_unread"):
+        plan = "\n".join(nodes(queries.QUERIES[name](spark, SF)))
+        assert len(re.findall(r"ArrowEvalPython \[matched", plan)) == 1 and len(re.findall("Relation", plan)) == 2
+
+
 def test_rules_are_counted_without_details(spark):
     plan = nodes(queries.rule_long_form(spark, SF))
     assert not [x for x in plan if "format_number" in x] and max(map(len, plan)) < 20_000
