@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallymill.functions import amounts as A
+from tallymill.functions import unicode as U
 from tallymill.operators import errors, extract
 from tallymill.plans import queries
 
@@ -74,3 +75,13 @@ def test_rules_are_counted_without_details(spark):
 
 def test_thresholds_share_one_validation(spark):
     assert sum("AS rule_schema" in x for x in nodes(queries.threshold_inert(spark, SF))) <= 1
+
+
+def test_whole_texts_are_not_cut_into_characters(spark):
+    plan = "\n".join(nodes(queries.normal_texts(spark, SF)))
+    assert "lambda" not in plan and "regexp_extract_all" not in plan
+
+
+def test_normal_form_of_ascii_stays_out_of_python(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'plain'), (2, 'e\u0301\uff21'), (3, CAST(x'61FF' AS STRING)), (4, ''), (5, NULL) t(i, s)").coalesce(1)
+    assert [r.n for r in df.orderBy("i").select(U.nfkc(F.col("s")).alias("n")).collect()] == ["plain", "éA", "a\ufffd", "", None]
