@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallymill.functions import amounts as A
@@ -85,3 +86,37 @@ def test_whole_texts_are_not_cut_into_characters(spark):
 def test_normal_form_of_ascii_stays_out_of_python(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 'plain'), (2, 'e\u0301\uff21'), (3, CAST(x'61FF' AS STRING)), (4, ''), (5, NULL) t(i, s)").coalesce(1)
     assert [r.n for r in df.orderBy("i").select(U.nfkc(F.col("s")).alias("n")).collect()] == ["plain", "éA", "a\ufffd", "", None]
+
+
+def test_printed_lines_are_read_once_and_not_by_expressions(spark):
+    plan = "\n".join(nodes(queries.extract_printed(spark, SF)))
+    assert len(re.findall(r"ArrowEvalPython \[line_parts", plan)) == 1 and "regexp_extract" not in plan and "Contains" not in plan and "contains" not in plan.lower()
+
+
+def test_labels_of_lines_are_those_of_the_patterns(spark):
+    r = random.Random(5)
+    pool = ["sub", "Total", "otal", "TAX", "pb", "1", "svc", "s.c.", "disc", "cash", "net", "amt", "item", ":", " ", "  ", "-", "_", "é", "\u0301", "½", "７", "ſ", "\u212a", "qty", "Grand", "t", "l", "\n", "\u00a0"]
+    lines = ["".join(r.choice(pool) for _ in range(r.randint(1, 7))) for _ in range(5000)]
+    patterns = {"sub": extract.SUBTOTAL, "grand": extract.GRAND, "tax": extract.TAX, "svc": extract.SERVICE, "disc": extract.DISCOUNT, "stop": extract.STOP}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").withColumn("p", extract.line_parts(F.array("line"))[0])
+    df = df.withColumn("whole", F.col("line").rlike(extract.TOTAL) & ~F.col("line").rlike(extract.NOT_TOTAL))
+    wrong = df.filter((F.col("p")["total"] != F.col("whole")) | F.greatest(*[F.col("p")[k] != F.col("line").rlike(x) for k, x in patterns.items()]))
+    assert wrong.select("line").take(3) == []
+
+
+def test_amounts_in_batches_are_those_of_expressions(spark):
+    r = random.Random(4)
+    lines = ["".join(r.choice("0123456789012.,, -()x½２\t") for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["1" * 400, None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", A.amounts_in(F.col("line")).alias("a"), A.amounts_of_lines(F.array("line"))[0].alias("b"))
+    assert df.filter(F.coalesce("a", F.array().cast("array<double>")) != F.col("b")).take(3) == []
+    assert [x.b for x in spark.sql("SELECT CAST(NULL AS ARRAY<STRING>) AS s UNION ALL SELECT array()").select(A.amounts_of_lines("s").alias("b")).collect()] == [None, []]
+
+
+def test_items_of_lines_are_those_read_one_by_one():
+    r = random.Random(6)
+    pool = ["12", "3", " ", "x", "X", "tea", "Ring", "(", "-", "1,234", ".50", "@", ":", "é", "\n", "\t", "a"]
+    lines = ["".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(5000)]
+    name, quantity = (x.to_pylist() for x in extract.items_of(pa.array(lines)))
+    word = lambda x: re.search(extract.WORD, x) is not None
+    want = [extract.item_of(x) if word(x) and word(extract.item_of(x)[0]) else (None, None) for x in lines]
+    assert list(zip(name, quantity)) == want
