@@ -120,3 +120,15 @@ def test_items_of_lines_are_those_read_one_by_one():
     word = lambda x: re.search(extract.WORD, x) is not None
     want = [extract.item_of(x) if word(x) and word(extract.item_of(x)[0]) else (None, None) for x in lines]
     assert list(zip(name, quantity)) == want
+
+
+def test_number_strings_are_found_in_batches(spark):
+    for name in ("error_scalars",):
+        plan = "\n".join(nodes(queries.QUERIES[name](spark, SF)))
+        assert len(re.findall(r"ArrowEvalPython \[number_strings", plan)) == 1 and "regexp_extract_all" not in plan
+
+
+def test_number_strings_of_odd_lines(column):
+    lists = [["1 2,00 x 3", "4"], ["5\t6.7", "8"], ["10.00", "10"], [], None, ["1", None], ["1\x1e2", "٣"]]
+    want = [["1200", "12", "1", "200", "3", "4"], ["567", "5", "67", "8"], ["1000", "10"], [], None, None, ["1", "2"]]
+    assert column(A.number_strings, lists, "array<string>") == want
