@@ -123,7 +123,7 @@ def test_items_of_lines_are_those_read_one_by_one():
 
 
 def test_number_strings_are_found_in_batches(spark):
-    for name in ("error_scalars",):
+    for name in ("error_scalars", "error_normalisation"):
         plan = "\n".join(nodes(queries.QUERIES[name](spark, SF)))
         assert len(re.findall(r"ArrowEvalPython \[number_strings", plan)) == 1 and "regexp_extract_all" not in plan
 
